@@ -61,15 +61,12 @@ def _hypotheses(pages: list[str]):
         for batch in batches:
             found = []
             for text in batch["run"]:
-                have = {}
                 for p, table in tables.items():
-                    for _ in range(3):  # swapped again and again by the same page
-                        restored = _decode(have.get(p, text), table)
-                        if restored is None:
+                    restored: str | None = text
+                    for _ in range(3):  # swapped again and again by the same page: as often as reads best
+                        if (restored := _decode(restored, table)) is None:
                             break
-                        have[p] = restored
-                for p, restored in have.items():
-                    found.append((text, p, restored))
+                        found.append((text, p, restored))
                 found.append((text, "", text))
             yield pd.DataFrame(found, columns=["run", "page", "restored"])
 
@@ -85,7 +82,7 @@ def bigram_counts(mail: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, part(1).groupBy(F.col("x").alias("letter")).agg(F.sum("count").alias("n"))
 
 
-def _scored(options: DataFrame, pairs: DataFrame, letters: DataFrame, pull: float = 5.0, unseen: float = 0.01) -> DataFrame:
+def _scored(options: DataFrame, pairs: DataFrame, letters: DataFrame, pull: float = 50.0, unseen: float = 1e-4) -> DataFrame:
     """Log likelihood of left + restored + right, against the best option of the spot.
 
     A letter's probability after another is its share there, pulled towards its share of all letters by ``pull`` sightings; a
@@ -101,19 +98,19 @@ def _scored(options: DataFrame, pairs: DataFrame, letters: DataFrame, pull: floa
     share = (seen("n") + pull * (seen("n2") + unseen) / F.col("all")) / (seen("n1") + pull)
     keys = ["mailbox", "run", "left", "right", "page", "restored", "times"]
     likely = joined.groupBy(*keys).agg(F.sum(F.log(share)).alias("score"))
-    # a spot has at most one option per code page
+    # a spot has a few options per code page
     return likely.withColumn("score", F.col("score") - F.max("score").over(Window.partitionBy("mailbox", "run", "left", "right")))
 
 
-def learned_restorations(mail: DataFrame, pages: list[str], rounds: int = 4) -> DataFrame:
-    """(mailbox, run, left, right, restored) of each stretch that is better read through a code page."""
+def learned_restorations(mail: DataFrame, pages: list[str], model: tuple[DataFrame, DataFrame], rounds: int = 4) -> DataFrame:
+    """(mailbox, run, restored) of each stretch that is better read through a code page."""
     mailbox = F.coalesce(F.regexp_extract("source_file", r"^[^/]*/([^/]+)/", 1), F.lit(""))
     spot = F.regexp_extract_all(F.col("body"), F.lit("[\\x00-\\x7F]?" + _RUN + "[\\x00-\\x7F]?"), F.lit(0))
     seen = mail.filter(F.col("body").rlike(_RUN)).select(mailbox.alias("mailbox"), F.explode(spot).alias("spot"))
     seen = seen.select("mailbox", F.regexp_extract("spot", _RUN, 0).alias("run"), F.regexp_extract("spot", "^[\\x00-\\x7F]", 0).alias("left"), F.regexp_extract("spot", "[\\x00-\\x7F]$", 0).alias("right"))
     seen = checkpointed(seen.groupBy("mailbox", "run", "left", "right").agg(F.count(F.lit(1)).alias("times")))
     options = seen.select("run").distinct().mapInPandas(_hypotheses(pages), "run string, page string, restored string")
-    scored = checkpointed(_scored(seen.join(options, "run"), *bigram_counts(mail)))
+    scored = checkpointed(_scored(seen.join(options, "run"), *model))
     spotted = ["mailbox", "run", "left", "right"]
     # the identity is one more page; pages start equal
     weights = scored.select("mailbox", "page").distinct().withColumn("weight", F.lit(1.0))
@@ -125,9 +122,10 @@ def learned_restorations(mail: DataFrame, pages: list[str], rounds: int = 4) ->
         # add-one over the pages keeps rare swaps possible
         weights = checkpointed(sums.select("mailbox", "page", (F.col("weight") + 1.0).alias("weight")))
     final = scored.join(weights, ["mailbox", "page"]).withColumn("p", F.col("weight") * F.exp("score"))
-    # pages that read a stretch alike add up
-    best = final.groupBy(*spotted, "restored").agg(F.sum("p").alias("p"))
-    top = best.groupBy(*spotted).agg(F.max_by("restored", F.struct("p", "restored")).alias("restored"), F.sum("p").alias("weight"))
+    # pages that read a stretch alike add up, and so do the places where a mailbox has it
+    total = final.groupBy(*spotted).agg(F.sum("p").alias("total"))
+    shares = final.join(total, spotted).groupBy("mailbox", "run", "restored").agg(F.sum(F.col("p") / F.col("total") * F.col("times")).alias("share"))
+    top = shares.groupBy("mailbox", "run").agg(F.max_by("restored", F.struct("share", "restored")).alias("restored"))
     return top.filter("restored <> run")
 
 
@@ -136,12 +134,14 @@ def restored_bodies(mail: DataFrame, pages: list[str] | None = None, passes: int
     rows = mail.select("row_idx", "body", "source_file").filter(F.col("body").rlike(_ODD))
     mailbox = F.coalesce(F.regexp_extract("source_file", r"^[^/]*/([^/]+)/", 1), F.lit(""))
     current = rows.withColumn("first_body", F.col("body"))
+    # the language is learned from the text as it came, never from restorations
+    pairs, letters = bigram_counts(mail)
+    model = checkpointed(pairs), checkpointed(letters)
     for _ in range(passes):
-        learned = learned_restorations(current, pages or CODE_PAGES)
+        learned = learned_restorations(current, pages or CODE_PAGES, model)
         spot = F.regexp_extract_all(F.col("body"), F.lit(_RUN), F.lit(0))
         marked = current.filter(F.col("body").rlike(_RUN))
-        by_run = learned.groupBy("mailbox", "run").agg(F.max_by("restored", F.struct("weight", "restored")).alias("restored"))
-        found = marked.select("row_idx", mailbox.alias("mailbox"), F.posexplode(spot).alias("pos", "run")).join(by_run, ["mailbox", "run"])
+        found = marked.select("row_idx", mailbox.alias("mailbox"), F.posexplode(spot).alias("pos", "run")).join(learned, ["mailbox", "run"])
         per_row = found.groupBy("row_idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "restored"))).alias("by_pos"))
         gaps = F.split("body", _RUN, -1)
         pieces = F.transform(spot, lambda r, i: F.concat(F.coalesce(F.element_at("by_pos", i), r), F.get(gaps, i + 1)))
