@@ -104,9 +104,9 @@ def _probe(index, run_words: int, miss: float, bits: int = 22):
 
 
 def _runs(text, n: int):
-    """The distinct runs of n words of a text as strings."""
+    """The distinct runs of n words of a text, each between blanks."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(words, i, n), " "), F.lit(" ")))
     return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
@@ -129,5 +129,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run_words: int = 12, mi
         hits = documents.select("doc_id", "text").mapInPandas(_probe(shared, run_words, miss), "doc_id long, item_id long, passage string")
         found = hits if found is None else found.unionByName(hits)
     item_runs = test.select(F.col("item_id"), _runs(F.col("text"), run_words).alias("item_runs"))
-    verified = found.join(item_runs, "item_id").filter(F.arrays_overlap(_runs(F.col("passage"), run_words), F.col("item_runs")))
+    # passages come lower-cased
+    words = F.concat(F.lit(" "), F.regexp_replace("passage", "[^a-z0-9]+", " "), F.lit(" "))
+    verified = found.withColumn("words", words).join(item_runs, "item_id").filter(F.exists("item_runs", lambda r: F.contains(F.col("words"), r)))
     return verified.select("doc_id", "item_id").distinct()

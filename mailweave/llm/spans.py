@@ -2,8 +2,8 @@
 
 Each text is cut into maximal runs of consecutive windows of ``width`` characters that have the same minimiser (the least
 hash of their m-grams). Runs whose minimiser occurs in one text only are dropped before any text is moved; the others travel
-as one packed string each to their minimiser's bucket. There the windows are counted exactly; windows found in the same set
-of texts are represented by one of them, and its texts are paired on the window itself, character by character.
+as one packed string each. Their windows are told apart by 128 bits and counted exactly; windows found in the same set of
+texts are represented by one of them, whose texts are paired.
 
 Defined results: texts that are null or shorter than ``width`` share nothing; equal texts are worked on once and expanded at
 the end; an empty table gives no rows; other columns are ignored; document ids are taken as unique.
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailweave.llm.arrays import chunks, sliding_min, span_hashes
+from mailweave.llm.arrays import chunks, mix, sliding_min, span_hashes
 from mailweave.sources.tables import checkpointed
 
 
@@ -54,6 +54,27 @@ def _super_kmers(width: int, m: int):
     return run
 
 
+def _window_digests(width: int):
+    """Task: (doc_id, digest, second) of each window of each packed run."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["packed"].tolist()
+            ids = batch["doc_id"].to_numpy()
+            for part in chunks(texts):
+                own = texts[part]
+                units = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                length = np.fromiter((len(t) for t in own), np.int64, len(own))
+                each = length - width + 1
+                first = np.cumsum(length) - length
+                at = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                digest = span_hashes(units, at, at + width)
+                second = span_hashes(mix(units.astype(np.uint64) + np.uint64(5)) >> np.uint64(1), at, at + width)
+                yield pd.DataFrame({"doc_id": np.repeat(ids[part], each), "digest": digest.astype(np.int64), "second": second.astype(np.int64)})
+
+    return run
+
+
 def _representatives(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """One document of each distinct text of at least ``width`` characters, and (doc_id, rep) of them all."""
     long = documents.filter(F.length("text") >= width)
@@ -84,15 +105,13 @@ def _pairs_of_texts(documents: DataFrame, width: int, m: int) -> tuple[DataFrame
     # one exchange by minimiser serves both the count and the filter
     kmers = texts.mapInPandas(_super_kmers(width, m), "doc_id long, start int, windows int, minimiser long").repartition("minimiser")
     common = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("minimiser")
-    kept = checkpointed(kmers.join(common, "minimiser", "left_semi"))
-    packed = documents.select("doc_id", "text").join(kept, "doc_id").select(
-        "doc_id", "windows", F.substring("text", F.col("start") + 1, F.col("windows") + (width - 1)).alias("packed")
-    )
-    windows = packed.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.substring("packed", i, F.lit(width)))).alias("window"))
-    digests = checkpointed(windows.select("doc_id", F.xxhash64("window").alias("digest")).distinct())
-    # windows held by the same set of texts: one stands for all; the set is told by its size and a sum over its members
-    counted = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).filter("texts > 1")
-    chosen = counted.groupBy("texts", "who").agg(F.min("digest").alias("digest")).select("digest")
-    held = checkpointed(windows.withColumn("digest", F.xxhash64("window")).join(chosen, "digest", "left_semi").select("doc_id", "window").distinct())
-    left, right = held.select(F.col("doc_id").alias("a"), "window"), held.select(F.col("doc_id").alias("b"), "window")
-    return left.join(right, "window").filter("a < b").select("a", "b").distinct(), copies
+    kept = kmers.join(common, "minimiser", "left_semi")
+    packed = documents.select("doc_id", "text").join(kept, "doc_id").select("doc_id", F.substring("text", F.col("start") + 1, F.col("windows") + (width - 1)).alias("packed"))
+    # 128 bits tell windows apart; one exchange serves the count and the join again
+    windows = packed.mapInPandas(_window_digests(width), "doc_id long, digest long, second long").repartition("digest")
+    counted = windows.groupBy("digest", "second").agg(F.count_distinct("doc_id").alias("texts"), F.sum_distinct(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).filter("texts > 1")
+    # windows held by the same set of texts, told by its size and a sum over its members: one stands for all
+    chosen = counted.groupBy("texts", "who").agg(F.min(F.struct("digest", "second")).alias("w")).select("w.digest", "w.second")
+    held = checkpointed(windows.join(chosen, ["digest", "second"], "left_semi").distinct())
+    left, right = held.withColumnRenamed("doc_id", "a"), held.withColumnRenamed("doc_id", "b")
+    return left.join(right, ["digest", "second"]).filter("a < b").select("a", "b").distinct(), copies
