@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +25,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         where = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     return df.checkpoint(eager=True)
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
+    """Join with a broadcast of ``small`` where it proves to have at most ``max_rows`` rows, by shuffles beyond that.
+
+    For narrow rows of numbers: a million take some tens of megabytes.
+    """
+    held = checkpointed(small)
+    return big.join(F.broadcast(held) if held.count() <= max_rows else held, on, how)
