@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,17 +103,17 @@ def _pairs_of_texts(documents: DataFrame, width: int, m: int) -> tuple[DataFrame
     long, copies = _representatives(documents, width)
     copies = checkpointed(copies)
     texts = sized_join(long.select("doc_id", "text"), copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    # one exchange by minimiser serves both the count and the filter: both read all columns
-    kmers = texts.mapInPandas(_super_kmers(width, m), "doc_id long, start int, windows int, minimiser long").repartition("minimiser")
-    spread = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("start").alias("s"), F.min("windows").alias("w"))
-    common = spread.filter("a < b and s >= 0 and w > 0").select("minimiser")
-    kept = kmers.join(common, "minimiser", "left_semi").select("doc_id", "start", "windows")
+    # kept on the executors' disks for two readings; what a lost executor held is made again
+    kmers = texts.mapInPandas(_super_kmers(width, m), "doc_id long, start int, windows int, minimiser long").persist(StorageLevel.DISK_ONLY)
+    common = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("minimiser")
+    kept = sized_join(kmers, common, "minimiser", "left_semi").select("doc_id", "start", "windows")
     packed = sized_join(documents.select("doc_id", "text"), kept, "doc_id").select("doc_id", F.substring("text", F.col("start") + 1, F.col("windows") + (width - 1)).alias("packed"))
-    # 128 bits tell windows apart; one exchange serves the count and the join again
-    windows = packed.mapInPandas(_window_digests(width), "doc_id long, digest long, second long").repartition("digest").distinct()
-    counted = windows.groupBy("digest", "second").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).filter("texts > 1")
+    # 128 bits tell windows apart
+    windows = packed.mapInPandas(_window_digests(width), "doc_id long, digest long, second long")
+    counted = windows.repartition("digest").distinct().groupBy("digest", "second").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).filter("texts > 1")
     # windows held by the same set of texts, told by its size and a sum over its members: one stands for all
     chosen = counted.groupBy("texts", "who").agg(F.min(F.struct("digest", "second")).alias("w")).select("w.digest", "w.second")
-    held = checkpointed(windows.join(chosen, ["digest", "second"], "left_semi"))
+    held = checkpointed(sized_join(windows, chosen, ["digest", "second"], "left_semi").distinct())
+    kmers.unpersist()
     left, right = held.withColumnRenamed("doc_id", "a"), held.withColumnRenamed("doc_id", "b")
     return left.join(right, ["digest", "second"]).filter("a < b").select("a", "b").distinct(), copies
