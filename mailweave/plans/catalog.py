@@ -2,17 +2,355 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mailweave.functions import text as T
+from mailweave.operators import answers, chunks, cleaning, retrieval, sessions, slicer, threads
 from mailweave.operators.instants import to_instants
+from mailweave.plans.sql import SQL as SQL
+from mailweave.sources import mailcsv
 from mailweave.sources.tables import load
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return to_instants(load(spark, d, "email_structure"), load(spark, d, "mailboxes")).distinct()
 
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+
+def _mail(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "email_structure")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "ingest").select("doc_id", "row_idx", "thread_id", "message_id", "subject", "date_text", "sender", "recipients", "cc", "chunk_text", "chunk_type")
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.distinct_turns(load(spark, d, "trace_turns"))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).select(F.col("trace_id").alias("query_id"), "thread_id", F.col("user_text").alias("text"), F.col("rewrite").alias("evidence_text"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct question once, for searches over all threads."""
+    return load(spark, d, "trace_turns").filter("length(user_text) > 0").select(F.col("user_text").alias("query_id"), F.col("user_text").alias("text"), F.lit(None).cast("string").alias("thread_id")).distinct()
+
+
+def _digest(col) -> F.Column:
+    return F.md5(col)
+
+
+@query
+def p1_found(spark, d):
+    return to_instants(_mail(spark, d), load(spark, d, "mailboxes")).distinct()
+
+
+@query
+def bm25_topk_partition(spark, d):
+    return retrieval.search(retrieval.build_index(_chunks(spark, d)), _questions(spark, d)).select("query_id", "rank", "doc_id", "score")
+
+
+@query
+def bm25_topk_global(spark, d):
+    return retrieval.search(retrieval.build_index(_chunks(spark, d)), _texts(spark, d), scoped=False).select("query_id", "rank", "doc_id", "score")
+
+
+@query
+def bm25_repeated_terms(spark, d):
+    asked = _questions(spark, d).withColumn("text", F.concat_ws(" ", "text", "evidence_text"))
+    return retrieval.scores(retrieval.build_index(_chunks(spark, d)), asked, True)
+
+
+@query
+def retrieval_cascade(spark, d):
+    return retrieval.cascade(retrieval.build_index(_chunks(spark, d)), _questions(spark, d)).select("query_id", "tier", "rank", "doc_id")
+
+
+@query
+def term_doc_freq(spark, d):
+    return retrieval.build_index(_chunks(spark, d)).terms
+
+
+@query
+def doc_length_stats(spark, d):
+    return retrieval.build_index(_chunks(spark, d)).corpus.select("docs", F.round("avg_length", 4).alias("avg_length"))
+
+
+@query
+def search_dedupe_signature(spark, d):
+    return retrieval.first_per_signature(_chunks(spark, d), []).select("doc_id")
+
+
+@query
+def list_first_per_key(spark, d):
+    return retrieval.listing(_chunks(spark, d)).select("thread_id", "rank", "doc_id")
+
+
+@query
+def thread_counts(spark, d):
+    return retrieval.thread_counts(_chunks(spark, d))
+
+
+@query
+def chunk_pack(spark, d):
+    packed = _mail(spark, d).select("row_idx", F.posexplode(chunks.packed_sections(F.col("body"), 60)).alias("pos", "section_text"))
+    return packed.select("row_idx", (F.col("pos") + 1).alias("section"), F.size(T.tokens(F.col("section_text"))).alias("token_count"), _digest(F.col("section_text")).alias("digest"))
+
+
+@query
+def chunk_rows(spark, d):
+    return chunks.chunked(_mail(spark, d)).select("doc_id", "row_idx", "section", "message_id", "token_count", _digest(F.col("chunk_text")).alias("digest"))
+
+
+@query
+def subject_normalize(spark, d):
+    return _mail(spark, d).select("row_idx", T.normalize_subject(F.col("subject")).alias("normalized_subject"))
+
+
+@query
+def participants(spark, d):
+    return _mail(spark, d).select("row_idx", F.array_join(F.array_sort(T.participants(F.col("sender"), F.col("recipients"), F.col("cc"))), "|").alias("participants"))
+
+
+@query
+def gap_sessions(spark, d):
+    return threads.gap_sessions(_mail(spark, d), "loaded_at")
+
+
+@query
+def thread_components(spark, d):
+    return threads.infer_threads(_mail(spark, d)).select("row_idx", "thread_row")
+
+
+@query
+def whitespace_normalize(spark, d):
+    return _mail(spark, d).select("row_idx", _digest(T.squeeze(T.text_or_empty(F.col("body")))).alias("digest"))
+
+
+@query
+def html_strip(spark, d):
+    return _mail(spark, d).select("row_idx", _digest(cleaning.strip_markup(F.col("body"))).alias("digest"))
+
+
+@query
+def forward_header_runs(spark, d):
+    return _mail(spark, d).select("row_idx", _digest(cleaning.drop_header_runs(F.col("body"))).alias("digest"))
+
+
+@query
+def disclaimer_cut(spark, d):
+    return _mail(spark, d).select("row_idx", _digest(cleaning.cut_disclaimer(F.col("body"))).alias("digest"))
+
+
+@query
+def newsletter_noise(spark, d):
+    return _mail(spark, d).select("row_idx", _digest(cleaning.drop_newsletter_noise(F.col("body"))).alias("digest"))
+
+
+@query
+def unwrap_lines(spark, d):
+    return _mail(spark, d).select("row_idx", _digest(cleaning.unwrap_lines(F.col("body"))).alias("digest"))
+
+
+@query
+def clean_body(spark, d):
+    return cleaning.with_clean_body(_mail(spark, d).select("row_idx", "body")).select("row_idx", _digest(F.col("clean_body")).alias("digest"))
+
+
+def _slice_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The slicer's rows: wall time of loading; a message counts as flagged if it has copies."""
+    subject = T.blank_to_null(T.normalize_subject(F.col("subject")))
+    return _mail(spark, d).select("row_idx", subject.alias("subject"), F.col("loaded_at").alias("at"), (F.coalesce(F.size("cc"), F.lit(0)) > 0).alias("flagged"), F.octet_length(T.text_or_empty(F.col("body"))).alias("size"))
+
+
+@query
+def month_stats(spark, d):
+    return slicer.month_stats(_slice_rows(spark, d))
+
+
+@query
+def window_scores(spark, d):
+    return slicer.window_scores(_slice_rows(spark, d)).select("start", "span", "messages", "flagged", "viable", "score")
+
+
+@query
+def window_choice(spark, d):
+    return slicer.choose_window(_slice_rows(spark, d)).select("start", "span", "last", "messages", "flagged", "viable", "score")
+
+
+@query
+def thread_rank(spark, d):
+    rows = _slice_rows(spark, d)
+    return slicer.thread_ranks(rows, slicer.choose_window(rows)).select("rank", "subject", "messages", "flagged")
+
+
+@query
+def slice_cap(spark, d):
+    rows = _slice_rows(spark, d)
+    window = slicer.choose_window(rows)
+    chosen = slicer.select_threads(slicer.thread_ranks(rows, window))
+    return slicer.slice_rows(rows, window, chosen).select("row_idx", "subject", "running_bytes")
+
+
+@query
+def slice_summary(spark, d):
+    rows = _slice_rows(spark, d)
+    window = slicer.choose_window(rows)
+    chosen = slicer.select_threads(slicer.thread_ranks(rows, window))
+    return slicer.slice_summary(slicer.slice_rows(rows, window, chosen), window)
+
+
+@query
+def history_last_n(spark, d):
+    return sessions.history(_turns(spark, d)).select("trace_id", "epoch", F.array_join("history", " | ").alias("history"))
+
+
+@query
+def prev_reference(spark, d):
+    return sessions.previous_reference(_turns(spark, d)).select("trace_id", "reference")
+
+
+@query
+def entity_notes_running(spark, d):
+    noted = sessions.with_notes(_turns(spark, d))
+    return noted.select("trace_id", *[F.array_join(k, "|").alias(k) for k in sessions.NOTE_PATTERNS], "last_topic")
+
+
+@query
+def needs_rewrite(spark, d):
+    return _turns(spark, d).select("trace_id", sessions.needs_rewrite(F.col("user_text")).alias("needs"))
+
+
+@query
+def rule_rewrite(spark, d):
+    return sessions.rule_rewrite(_turns(spark, d)).select("trace_id", "needs", "rewritten")
+
+
+@query
+def intent_route(spark, d):
+    return _turns(spark, d).select("trace_id", answers.intent(T.text_or_empty(F.col("user_text"))).alias("intent"))
+
+
+@query
+def sentence_rank(spark, d):
+    pairs = _chunks(spark, d).select("doc_id", "subject", "chunk_text")
+    return pairs.select("doc_id", F.md5(F.array_join(answers.best_sentences(F.col("subject"), F.col("chunk_text")), "|")).alias("digest"))
+
+
+@query
+def content_sentences(spark, d):
+    return _chunks(spark, d).select("doc_id", F.size(answers.content_sentences(F.col("chunk_text"))).alias("n"), F.md5(F.array_join(answers.content_sentences(F.col("chunk_text")), "|")).alias("digest"))
+
+
+@query
+def entity_extract(spark, d):
+    return load(spark, d, "documents").select("doc_id", *[F.array_join(sessions.extract(F.col("text"), k), "|").alias(k) for k in ("people", "dates", "amounts")])
+
+
+@query
+def value_extract(spark, d):
+    return _chunks(spark, d).select("doc_id", F.array_join(answers.values(T.text_or_empty(F.col("chunk_text"))), "|").alias("found"))
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.listing(_chunks(spark, d)).withColumn("query_id", F.col("thread_id"))
+
+
+@query
+def item_dedupe(spark, d):
+    return answers.distinct_items(_listed(spark, d)).select("query_id", "place", "doc_id")
+
+
+@query
+def people_answer(spark, d):
+    return answers.distinct_people(answers.distinct_items(_listed(spark, d)))
+
+
+@query
+def answer_turns(spark, d):
+    asked = _questions(spark, d)
+    index = retrieval.build_index(_chunks(spark, d))
+    found = retrieval.cascade(index, asked).select("query_id", "rank", "doc_id").join(index.chunks, "doc_id").withColumn("text_preview", F.substring(T.text_or_empty(F.col("chunk_text")), 1, retrieval.PREVIEW))
+    return answers.answers(asked, found)
+
+
+def _listed_answers(text: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        items = _listed(spark, d)
+        asked = items.select("query_id").distinct().withColumns({"text": F.lit(text), "evidence_text": F.lit(text)})
+        return answers.answers(asked, items)
+
+    return run
+
+
+for _name, _text in {
+    "timeline_answer": "show the timeline", "people_reply": "who is involved", "decision_answer": "what was the decision", "why_answer": "why was it forwarded", "meeting_answer": "which meeting", "location_answer": "where is it connected to", "value_answer": "what is the price",
+    "date_answer": "when was the mail", "summary_answer": "give me a summary", "grounded_answer": "the pension and the tariff",
+}.items():
+    QUERIES[_name] = _listed_answers(_text)
+
+
+@query
+def rule_table_hint(spark, d):
+    rules = spark.createDataFrame([(1, "pension", "This thread is about pensions."), (2, "tariff", "This thread is about tariffs.")], "priority int, phrase string, template string")
+    items = _listed(spark, d)
+    asked = items.select("query_id").distinct().withColumns({"text": F.lit("give me a summary"), "evidence_text": F.lit(None).cast("string")})
+    return answers.answers(asked, items, rules)
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Each mail written out as a raw message."""
+    m = _mail(spark, d)
+    head = F.concat_ws("\n", F.concat(F.lit("Message-ID: "), T.text_or_empty(F.col("message_id"))), F.concat(F.lit("Subject: "), F.regexp_replace(T.text_or_empty(F.col("subject")), " ", "\n ")), F.concat(F.lit("Date: "), T.text_or_empty(F.col("date_text"))), F.concat(F.lit("To: "), F.array_join(F.coalesce("recipients", F.array().cast("array<string>")), ", ")))
+    return m.select("row_idx", F.col("source_file").alias("file"), F.concat(head, F.lit("\n\n"), T.text_or_empty(F.col("body"))).alias("message"))
+
+
+@query
+def mime_parse(spark, d):
+    raw = _raw(spark, d)
+    h = mailcsv.header_map(F.col("message"))
+    return raw.select("row_idx", F.element_at(h, "message-id").alias("message_id"), F.element_at(h, "subject").alias("subject"), F.md5(mailcsv.body_of(F.col("message"))).alias("digest"))
+
+
+@query
+def structured_records(spark, d):
+    s = mailcsv.structured(_raw(spark, d))
+    return s.select("source_file", "message_id", "subject", "date_text", F.array_join("recipients", "|").alias("recipients"), F.md5("body").alias("digest"))
+
+
+@query
+def address_list(spark, d):
+    joined = F.array_join(F.coalesce("recipients", F.array().cast("array<string>")), ", ")
+    return _mail(spark, d).select("row_idx", F.array_join(mailcsv.list_field(joined), "|").alias("entries"))
+
+
+@query
+def date_normalize(spark, d):
+    return _mail(spark, d).select("row_idx", mailcsv.iso_date(F.col("date_text")).alias("iso"))
+
+
+@query
+def quoted_printable(spark, d):
+    """Bodies written with every byte escaped, decoded again."""
+    escaped = F.regexp_replace(F.hex(F.encode(T.text_or_empty(F.col("body")), "UTF-8")), "(..)", "=$1")
+    return _mail(spark, d).select("row_idx", F.md5(mailcsv.quoted_printable(escaped)).alias("digest"))
+
+
+@query
+def trace_roundtrip(spark, d):
+    """Turns written as JSON lines under a run and read back."""
+    turns = _turns(spark, d).select("trace_id", "session_id", "thread_id", "user_text", "rewrite", "answer", "citations", "latency_ms", "search_outside_thread")
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    path = f"{root}/trace-{os.urandom(6).hex()}"
+    mailcsv.write_trace(turns, path, "run")
+    back = mailcsv.read_trace(spark, path, turns.schema)
+    return back.select("trace_id", "session_id", "thread_id", "user_text", F.size("citations").alias("cited"), F.col("latency_ms"))
