@@ -10,8 +10,8 @@ SQL: dict[str, str] = {
     "p3_found": f"""WITH w AS (SELECT row_idx, {_WORDS.format("concat(coalesce(subject, ''), ' ', coalesce(body, ''))")} AS w FROM email_structure),
 s AS (SELECT DISTINCT row_idx, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS t FROM (SELECT row_idx, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 n AS (SELECT row_idx, count(*) AS n FROM s GROUP BY row_idx HAVING count(*) >= 20),
-c AS (SELECT a.row_idx AS a, b.row_idx AS b, count(*) AS both FROM s a JOIN s b ON a.t = b.t AND a.row_idx < b.row_idx GROUP BY ALL)
-SELECT a AS row_idx_a, b AS row_idx_b FROM c JOIN n x ON x.row_idx = a JOIN n y ON y.row_idx = b WHERE both >= 0.6 * (x.n + y.n - both)""",
+c AS (SELECT a.row_idx AS a, b.row_idx AS b, count(*) AS shared FROM s a JOIN s b ON a.t = b.t AND a.row_idx < b.row_idx GROUP BY ALL)
+SELECT a AS row_idx_a, b AS row_idx_b FROM c JOIN n x ON x.row_idx = a JOIN n y ON y.row_idx = b WHERE shared >= 0.6 * (x.n + y.n - shared)""",
     "p4_found": f"""WITH RECURSIVE r AS (SELECT row_idx, {_IDS.format("message_id")}[1] AS own, in_reply_to, ref_ids FROM email_structure),
 v AS (SELECT own, min(row_idx) AS v FROM r WHERE own IS NOT NULL GROUP BY own), rv AS (SELECT r.*, coalesce(v.v, r.row_idx) AS v FROM r LEFT JOIN v USING (own)),
 named AS (SELECT v, unnest({_IDS.format("t")}) AS own FROM (SELECT v, unnest(list_concat([in_reply_to], coalesce(ref_ids, []))) AS t FROM rv)),
