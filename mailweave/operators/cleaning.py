@@ -86,18 +86,22 @@ def tidy_space(col: Column) -> Column:
     return strip(F.regexp_replace(F.array_join(each, "\n"), r"\n{3,}", "\n\n"))
 
 
-def clean_body(unescaped_body: Column) -> Column:
-    """All steps in order on a body whose entities are characters already; '' for null."""
-    bare = F.regexp_replace(F.regexp_replace(text_or_empty(unescaped_body), r"\r\n?", "\n"), r"<[^>]+>", " ")
-    return tidy_space(unwrap_lines(drop_newsletter_noise(cut_disclaimer(drop_header_runs(bare)))))
+def _cleaned(mail: DataFrame, body: str) -> DataFrame:
+    """Adds clean_body, a column per step so that no step's input is computed more than once; '' for null."""
+    steps = [lambda c: F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\r\n?", "\n"), r"<[^>]+>", " "), drop_header_runs, cut_disclaimer, drop_newsletter_noise, unwrap_lines, tidy_space]
+    out = mail.withColumn("clean_body", F.col(body))
+    for step in steps:
+        out = out.withColumn("clean_body", step(F.col("clean_body")))
+    return out
 
 
 def with_clean_body(mail: DataFrame, body: str = "body") -> DataFrame:
     """The mail with ``clean_body``; bodies without an entity don't leave the JVM."""
-    plain = mail.filter(~F.coalesce(F.col(body).contains("&"), F.lit(False))).withColumn("clean_body", clean_body(F.col(body)))
-    coded = mail.filter(F.col(body).contains("&"))
-    decoded = coded.mapInPandas(_unescape_rows(body), coded.schema)
-    return plain.unionByName(decoded.withColumn("clean_body", clean_body(F.col(body))).drop(body).join(coded.select("row_idx", body), "row_idx").select(plain.columns))
+    plain = mail.filter(~F.coalesce(F.col(body).contains("&"), F.lit(False)))
+    coded = mail.filter(F.col(body).contains("&")).withColumn("_body", F.col(body))
+    schema = coded.schema
+    decoded = coded.mapInPandas(_unescape_rows("_body"), schema)
+    return _cleaned(plain, body).unionByName(_cleaned(decoded, "_body").drop("_body"))
 
 
 def _unescape_rows(body: str):
