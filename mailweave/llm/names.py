@@ -151,7 +151,7 @@ def linked_names(names: DataFrame, contacts: DataFrame, jaccard: float = 0.3, ac
     score = (family_weight * F.col("family_like") + F.col("given_like") * F.greatest(plus("given", lambda t: t["weight"]), F.lit(1e-9))) / (family_weight + plus("given", lambda t: t["weight"]) + F.col("strange") * family_weight)
     # firms drop words: one other word must match and none may be strange
     firm_score = F.when((F.col("strange") == 0) & (F.col("hits") >= 1), 0.8 + 0.1 * F.col("family_like") * F.col("given_like"))
-    scored = candidates.withColumn("score", F.when(person, F.when(F.col("given_like") >= 0.7, score)).otherwise(firm_score))
+    scored = candidates.withColumn("score", F.when(person, F.when(F.col("given_like") >= 0.69, score)).otherwise(firm_score))
     # a personal mailbox of someone else overrules an initial
     scored = scored.filter((F.col("score") >= accept) & ~(person & (F.col("given_like") < 0.75) & F.col("own_box") & ~F.col("same_box")))
     ranked = scored.withColumn("rank", F.struct(F.round(F.col("family_like") + F.col("given_like"), 3).alias("s"), F.col("exact_address").cast("int").alias("e")))
