@@ -15,7 +15,7 @@ from __future__ import annotations
 import bisect
 import zoneinfo
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,13 +54,8 @@ def _number(col: Column) -> Column:
     return F.when(F.length(col) > 0, col.try_cast("int"))
 
 
-def parsed(text: Column) -> Column:
-    """Struct of the parts of a time text; null where no notation fits.
-
-    ``epoch_us`` is set for all-digit texts; ``offset_s`` for a numeric offset or zone letters; ``zone`` for a tz name.
-    ``known`` is false where a zone is written that nothing defines.
-    """
-    t = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+def parsed(t: Column) -> Column:
+    """Struct of the number an all-digit text is and the parts of a lower-case time text; null where no notation fits."""
     canonical = F.coalesce(*[F.when(t.rlike(p), F.regexp_replace(t, p, form)) for p, form in NOTATIONS])
     return F.struct(F.when(t.rlike(r"^\d{8,14}$"), t.cast("long")).alias("number"), F.split(canonical, r"\|").alias("part"))
 
@@ -71,7 +66,7 @@ def local_times(rows: DataFrame, text: str, day_first: str, home_zone: str) -> D
     month_names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
     letters = F.create_map(*[F.lit(x) for k, m in ZONE_LETTERS.items() for x in (k.lower(), m * 60)])
     days = F.create_map(*[F.lit(x) for i, d in enumerate(DAYS) for x in (d, i + 1)])
-    full = rows.withColumn("_p", parsed(F.col(text)))
+    full = rows.withColumn("_t", F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))).withColumn("_p", parsed(F.col("_t")))
     swapped = (part(10) == "/") & F.coalesce(F.col(day_first), F.lit(False))
     month_text = F.when(swapped, part(2)).otherwise(part(1))
     day_text = F.when(swapped, part(1)).otherwise(part(2))
@@ -109,15 +104,14 @@ def local_times(rows: DataFrame, text: str, day_first: str, home_zone: str) -> D
             "epoch_us": F.when(F.col("_p.number") >= 100_000_000_000, F.col("_p.number") * 1000).otherwise(F.col("_p.number") * 1_000_000),
         }
     )
-    return full.drop("_p", "_year", "_month", "_day", "_hour", "_minute", "_second", "_fraction", "_offset", "_bad_offset", "_name", "_weekday")
+    return full.drop("_t", "_p", "_year", "_month", "_day", "_hour", "_minute", "_second", "_fraction", "_offset", "_bad_offset", "_name", "_weekday")
 
 
 def _zone_intervals(first_year: int, last_year: int):
     """Task that turns zone names into (zone, start_us, end_us, offset_s) with start and end in local time."""
 
     def offsets(zone: zoneinfo.ZoneInfo, at: int) -> int:
-        when = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=at)
-        return int(when.astimezone(zone).utcoffset().total_seconds())
+        return int(datetime.fromtimestamp(at, zone).utcoffset().total_seconds())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         epoch = datetime(1970, 1, 1)
@@ -148,7 +142,7 @@ def _zone_intervals(first_year: int, last_year: int):
 def zone_intervals(spark: SparkSession, first_year: int = 1970, last_year: int = 2099) -> DataFrame:
     """One row per zone and local year with its offset intervals. Bounded by the tz database: 600 zones, a few intervals a year."""
     names = sorted(zoneinfo.available_timezones() - {"localtime", "posixrules", "Factory"})
-    zones = spark.createDataFrame(pd.DataFrame({"zone": names})).repartition(6)
+    zones = spark.createDataFrame(pd.DataFrame({"zone": names})).repartition(spark.sparkContext.defaultParallelism)
     spans = zones.mapInPandas(_zone_intervals(first_year, last_year), "zone string, start_us long, end_us long, offset_s int")
     year = lambda us: F.year(F.timestamp_micros(us))
     exploded = spans.withColumn("year", F.explode(F.sequence(year(F.col("start_us")), year(F.col("end_us")))))
@@ -166,7 +160,8 @@ def to_instants(mail: DataFrame, mailboxes: DataFrame, key: str = "row_idx", tex
     times = local_times(rows.join(homes, "_mailbox", "left"), "_text", "_day_first", "_home")
     fixed = F.coalesce(F.col("epoch_us"), F.col("local_us") - F.col("offset_s").cast("long") * 1_000_000)
     times = times.select("_key", "local_us", fixed.alias("fixed_us"), F.when(fixed.isNull() & F.col("local_us").isNotNull(), F.col("zone")).alias("zone"))
-    times = times.filter(F.col("fixed_us").isNotNull() | F.col("zone").isNotNull()).withColumn("year", F.year(F.timestamp_micros("local_us")))
+    # no filter before the join: pushed below the projections it would repeat all of the parsing in one expression
+    times = times.withColumn("year", F.year(F.timestamp_micros("local_us")))
     # Bounded by the tz database, whatever the size of the mail.
     spans = F.broadcast(zone_intervals(spark))
     joined = times.join(spans, ["zone", "year"], "left")
