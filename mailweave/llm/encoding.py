@@ -12,6 +12,7 @@ is lost; repeated rows count once each; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,7 +67,8 @@ def _hypotheses(pages: list[str]):
                     for _ in range(3):  # swapped again and again by the same page: as often as reads best
                         if (restored := _decode(restored, table)) is None:
                             break
-                        found.append((text, p, restored))
+                        if not any(unicodedata.category(c) in ("Co", "Cn") for c in restored):  # nobody writes these
+                            found.append((text, p, restored))
                 found.append((text, "", text))
             yield pd.DataFrame(found, columns=["run", "page", "restored"])
 
