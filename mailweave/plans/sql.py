@@ -60,6 +60,27 @@ _HEAD = "'(?i)^(from|sent|to|cc|subject|date)[ \\t\\n\\r\\f\\v]*:'"
 _CUT = "'(?i)^(this e-mail and any attachment|the information contained in this email|this message may contain confidential|if you are not the intended recipient|legal stuff|this story appeared on|here is the story we were requested to send you|the information contained in this newsletter|attachment part|content-disposition:[ \\t]*attachment|[-_]{10,}$)'"
 _NEWS = "'(?i)^(welcome new hires|transfers to|nuggets & notes|in the news)'"
 
+_CITE = "'[msg: ' || coalesce(message_id, '') || ']'"
+_UNKNOWN = "'I found relevant messages in the active thread, but I do not have enough clear evidence to answer directly. Please narrow the question slightly.'"
+_ITEMS = f"""{_LISTED}, sig AS (SELECT *, row_number() OVER (PARTITION BY thread_id, lower({_strip("coalesce(subject, '')")}), lower({_strip("substr(coalesce(chunk_text, ''), 1, 280)")}) ORDER BY rank) AS m FROM listed WHERE rank <= 5),
+items AS (SELECT *, thread_id AS query_id, row_number() OVER (PARTITION BY thread_id ORDER BY rank) AS place, {_CITE} AS cite FROM sig WHERE m = 1),
+cites AS (SELECT query_id, string_agg(cite, ' ' ORDER BY place) AS cites FROM items WHERE place <= 3 GROUP BY query_id)"""
+
+
+def _cleaned(x: str) -> str:
+    """SQL of a sentence without bylines, datelines and legal tails."""
+    x = f"replace({x}, '>', ' ')"
+    for pattern, to in [(r"(?i)\(MORE\)", " "), (rf"(?i){_SP}*Dow Jones Newswires{_SP}*\d{{1,2}}-\d{{1,2}}-\d{{2}}{_SP}*\d{{3,4}}GMT.*", ""), (r"\bBy\s+[A-Z][A-Z\s.\-'']+\b(?:\s+Of\s+[A-Z][A-Z\s.\-'']+)?", ""), (r"\bOf\s+DOW JONES NEWSWIRES\b.*", ""), (r"(?i)\bLEGAL STUFF\b.*", ""), (r"(?i)\bThis story appeared on\b.*", "")]:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    x = f"regexp_replace({_strip(x)}, '^[A-Z\\s]+\\(Dow Jones\\)--', '')"
+    x = f"regexp_replace({_strip(x)}, '^[A-Z][A-Za-z\\s]+--', '')"
+    return _strip(f"regexp_replace({x}, '{_SP}+', ' ', 'g')")
+
+
+_VALUES = """list_concat(regexp_extract_all(c, '(?i)(?:\\$|USD\\s*)\\s*\\d[\\d,]*(?:\\.\\d+)?(?:/[A-Za-z]+)?'), regexp_extract_all(c, '\\d+(?:\\.\\d+)?\\s*/\\s*[A-Za-z]+'))"""
+_LINES = rf"""list_filter(list_transform(string_split(regexp_replace(coalesce(chunk_text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: {_strip("x")}), lambda x: x <> '')"""
+_SENTENCES = rf"""string_split(regexp_replace({{0}}, '([.!?]){_SP}+', '\1' || chr(1), 'g'), chr(1))"""
+
 SQL: dict[str, str] = {
     "bm25_topk_partition": f"WITH {_TURNS}, {_scored(_BY_TRACE, True)} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 5",
     "bm25_topk_global": f"WITH {_scored('SELECT DISTINCT user_text AS query_id, NULL::VARCHAR AS thread_id, user_text AS text FROM trace_turns WHERE length(user_text) > 0', False)} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 5",
@@ -126,3 +147,34 @@ b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), s0 AS (SELECT row_idx, min(w
 reach(a, z) AS (SELECT row_idx, lab FROM s0 UNION SELECT reach.a, b.v FROM reach JOIN b ON b.u = reach.z WHERE b.v < reach.a OR TRUE)
 SELECT a AS row_idx, min(z) AS thread_row FROM reach GROUP BY a""",
 }
+
+SQL |= {
+    "date_answer": f"""WITH {_ITEMS} SELECT query_id, 'date' AS intent, 'The message was sent on ' || coalesce(date_text, 'an unknown date') || '. ' || cite AS answer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(coalesce(date_text, '')) = 0, place) AS n FROM items) WHERE n = 1""",
+    "people_reply": f"""WITH {_ITEMS}, people AS ({SQL["people_answer"]}) SELECT query_id, 'people' AS intent, coalesce('The conversation involves: ' || people || '. ' || cites, {_UNKNOWN}) AS answer FROM cites LEFT JOIN people USING (query_id)""",
+    "timeline_answer": f"""WITH {_ITEMS}, told AS (SELECT query_id, coalesce(date_text, '') AS d, coalesce(message_id, '') AS m, coalesce(nullif(date_text, ''), 'Unknown date') || ': ' || coalesce(nullif(sender, ''), 'Unknown sender') || ' re ' || coalesce(nullif(subject, ''), 'No subject') || ' ' || cite AS l, count(*) OVER (PARTITION BY query_id) AS n FROM items),
+once AS (SELECT query_id, l, min(d) AS d, min(m) AS m, min(n) AS n FROM told GROUP BY query_id, l)
+SELECT query_id, 'timeline' AS intent, {_strip("CASE WHEN min(n) = 1 THEN 'This thread has one indexed message. ' ELSE '' END || string_agg(l, chr(10) ORDER BY d, m, l)")} AS answer FROM once GROUP BY query_id""",
+    "meeting_answer": rf"""WITH {_ITEMS} SELECT query_id, 'meeting' AS intent, coalesce('The thread refers to a meeting scheduled for ' || nullif(regexp_extract(coalesce(chunk_text, ''), '(?i)\b(?:meeting|luncheon meeting).{{0,60}}?(Monday,\s+[A-Za-z]+\s+\d{{1,2}})', 1), '') || '. ' || cite, {_UNKNOWN}) AS answer FROM items WHERE place = 1""",
+    "location_answer": rf"""WITH {_ITEMS} SELECT query_id, 'location' AS intent, coalesce('The meeting is connected to the law offices of ' || {_strip(r"nullif(regexp_extract(coalesce(chunk_text, ''), '(?i)\blaw offices?\s+of\s+([^.,]+)', 1), '')")} || '. ' || cite, {_UNKNOWN}) AS answer FROM items WHERE place = 1""",
+    "value_answer": f"""WITH {_ITEMS}, found AS (SELECT query_id, place, {_VALUES} AS v FROM (SELECT query_id, place, {_cleaned("chunk_text")} AS c FROM items)),
+chosen AS (SELECT query_id, place, coalesce(list_filter(v, lambda x: contains(x, '/') OR contains(lower(x), 'mwh'))[1], v[1]) AS v FROM found),
+first_value AS (SELECT query_id, arg_min(v, place) AS v FROM chosen WHERE v <> '' GROUP BY query_id)
+SELECT query_id, 'value' AS intent, coalesce('The key value mentioned is ' || v || '. ' || cites, {_UNKNOWN}) AS answer FROM cites LEFT JOIN first_value USING (query_id)""",
+    "value_extract": f"""SELECT doc_id, array_to_string({_VALUES}, '|') AS found FROM (SELECT doc_id, {_cleaned("coalesce(chunk_text, '')")} AS c FROM ingest)""",
+    "content_sentences": f"""WITH a AS (SELECT doc_id, coalesce(chunk_text, '') AS t, {_LINES} AS lines FROM ingest), b AS (SELECT doc_id, CASE WHEN len(lines) > 3 THEN array_to_string(lines[4:], chr(10)) ELSE t END AS body FROM a),
+s AS (SELECT doc_id, list_filter(list_transform({_SENTENCES.format("body")}, lambda x: {_cleaned("x")}), lambda x: len(regexp_extract_all(x, '[^ \\t\\n\\r\\f\\v]+')) > 8 AND NOT regexp_matches(x, '(?i)^By\\s+[A-Z][A-Za-z\\s.\\-'']+(?:\\s+Of\\s+[A-Z][A-Za-z\\s.\\-'']+)?$') AND NOT regexp_matches(x, '(?i)^(?:if there was an inch|more|final order|legal stuff)')) AS s FROM b)
+SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM s""",
+    "sentence_rank": f"""WITH a AS (SELECT doc_id, {_WORDS.format("subject")} AS asked, list_filter(list_transform({_SENTENCES.format("coalesce(chunk_text, '')")}, lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM ingest),
+b AS (SELECT doc_id, i, s[i] AS x, len(list_intersect(asked, {_WORDS.format("s[i]")})) AS o FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM a)),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, i) AS k FROM b), best AS (SELECT doc_id, string_agg(x, '|' ORDER BY k) AS t FROM c WHERE k <= 2 GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(t, '')) AS digest FROM ingest LEFT JOIN best USING (doc_id)""",
+    "entity_notes_running": f"""WITH {_EPOCHS}, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id) AS o, concat_ws(' ', nullif(user_text, ''), nullif(rewrite, ''), nullif(answer, '')) AS t, coalesce(nullif({_strip("coalesce(rewrite, '')")}, ''), nullif({_strip("coalesce(user_text, '')")}, '')) AS topic FROM epochs),
+f AS (SELECT session_id, epoch, o, 'people' AS kind, regexp_extract_all(t, '[A-Z][a-z]+(?:{_SP}+[A-Z][a-z]+)+') AS xs FROM placed
+UNION ALL SELECT session_id, epoch, o, 'dates', regexp_extract_all(t, '\\d{{4}}-\\d{{2}}-\\d{{2}}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*{_SP}+\\d{{1,2}},?{_SP}+\\d{{4}}') FROM placed
+UNION ALL SELECT session_id, epoch, o, 'amounts', regexp_extract_all(t, '(?:\\$|(?:USD|usd){_SP}?)\\d[\\d,]*(?:\\.\\d+)?') FROM placed
+UNION ALL SELECT session_id, epoch, o, 'message_ids', list_concat(regexp_extract_all(t, '<[^> \\t\\n\\r\\f\\v]+>'), list_filter(list_transform(coalesce(citations, []), lambda c: c.message_id), lambda m: length(m) > 0)) FROM placed),
+x AS (SELECT session_id, epoch, kind, o, unnest(xs) AS item, unnest(range(len(xs))) AS j FROM f), firsts AS (SELECT session_id, epoch, kind, item, min((o, j)) AS p FROM x GROUP BY ALL),
+notes AS (SELECT t.trace_id, kind, string_agg(item, '|' ORDER BY p) AS xs FROM placed t JOIN firsts i ON i.session_id IS NOT DISTINCT FROM t.session_id AND i.epoch = t.epoch AND i.p[1] <= t.o GROUP BY ALL),
+topics AS (SELECT trace_id, last_value(topic IGNORE NULLS) OVER (PARTITION BY session_id, epoch ORDER BY o ROWS UNBOUNDED PRECEDING) AS last_topic FROM placed)
+SELECT trace_id, coalesce(max(xs) FILTER (kind = 'people'), '') AS people, coalesce(max(xs) FILTER (kind = 'dates'), '') AS dates, coalesce(max(xs) FILTER (kind = 'amounts'), '') AS amounts, coalesce(max(xs) FILTER (kind = 'message_ids'), '') AS message_ids, last_topic FROM topics LEFT JOIN notes USING (trace_id) GROUP BY trace_id, last_topic""",
+}
