@@ -177,4 +177,10 @@ x AS (SELECT session_id, epoch, kind, o, unnest(xs) AS item, unnest(range(len(xs
 notes AS (SELECT t.trace_id, kind, string_agg(item, '|' ORDER BY p) AS xs FROM placed t JOIN firsts i ON i.session_id IS NOT DISTINCT FROM t.session_id AND i.epoch = t.epoch AND i.p[1] <= t.o GROUP BY ALL),
 topics AS (SELECT trace_id, last_value(topic IGNORE NULLS) OVER (PARTITION BY session_id, epoch ORDER BY o ROWS UNBOUNDED PRECEDING) AS last_topic FROM placed)
 SELECT trace_id, coalesce(max(xs) FILTER (kind = 'people'), '') AS people, coalesce(max(xs) FILTER (kind = 'dates'), '') AS dates, coalesce(max(xs) FILTER (kind = 'amounts'), '') AS amounts, coalesce(max(xs) FILTER (kind = 'message_ids'), '') AS message_ids, last_topic FROM topics LEFT JOIN notes USING (trace_id) GROUP BY trace_id, last_topic""",
+    "chunk_rows": rf"""WITH RECURSIVE texts AS (SELECT row_idx, message_id, {_strip("concat_ws(chr(10), nullif(subject, ''), nullif(sender, ''), nullif(array_to_string(coalesce(recipients, []), ' '), ''), nullif(array_to_string(coalesce(cc, []), ' '), ''), nullif(body, ''))")} AS body FROM email_structure),
+cut AS (SELECT row_idx, string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10) || chr(10)) AS xs FROM texts), pieces AS (SELECT row_idx, i, {_strip("xs[i]")} AS p FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM cut)),
+paras AS (SELECT row_idx, p, len({_WORDS.format("p")}) AS n, row_number() OVER (PARTITION BY row_idx ORDER BY i) AS k FROM pieces WHERE p <> ''),
+fold(row_idx, k, n, section) AS (SELECT row_idx, k, n, CAST(1 AS BIGINT) FROM paras WHERE k = 1 UNION ALL SELECT p.row_idx, p.k, CASE WHEN f.n + p.n <= 220 THEN f.n + p.n ELSE p.n END, CASE WHEN f.n + p.n <= 220 THEN f.section ELSE f.section + 1 END FROM fold f JOIN paras p ON p.row_idx = f.row_idx AND p.k = f.k + 1),
+packed AS (SELECT row_idx, section, string_agg(p, chr(10) || chr(10) ORDER BY k) AS t FROM fold JOIN paras USING (row_idx, k) GROUP BY ALL UNION ALL SELECT row_idx, 1, body FROM texts WHERE row_idx NOT IN (SELECT row_idx FROM paras))
+SELECT printf('email_%04d_%02d', row_idx, section) AS doc_id, row_idx, section, coalesce(nullif(message_id, ''), 'row_' || row_idx) AS message_id, len({_WORDS.format("t")}) AS token_count, md5(t) AS digest FROM packed JOIN texts USING (row_idx)""",
 }
