@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailweave.sources.tables import checkpointed
+
 
 @dataclass(frozen=True)
 class Targets:
@@ -57,14 +59,21 @@ def thread_ranks(rows: DataFrame, window: DataFrame) -> DataFrame:
     """Subjects of the window's messages, ranked: with attachments first, then by attachments and messages, then as they came."""
     inside = _month(rows).join(F.broadcast(window.select("start", "last")), F.col("month").between(F.col("start"), F.col("last")))  # one row
     stats = inside.groupBy("subject").agg(F.count(F.lit(1)).alias("messages"), F.count_if("flagged").alias("flagged"), F.min("row_idx").alias("first_row"))
-    order = Window.orderBy((F.col("flagged") > 0).desc(), F.desc("flagged"), F.desc("messages"), "first_row")
-    top = stats.orderBy((F.col("flagged") > 0).desc(), F.desc("flagged"), F.desc("messages"), "first_row").limit(10_000)  # far beyond what any slice can take
-    return top.withColumn("rank", F.row_number().over(order))
+    # range-sorted positions, no single task: the high bits of a row's number are its range, the low 33 its place there
+    placed = checkpointed(stats.orderBy((F.col("flagged") > 0).desc(), F.desc("flagged"), F.desc("messages"), "first_row").withColumn("_at", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = ranges.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    ranked = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(before), "_range")
+    return ranked.select("subject", "messages", "flagged", "first_row", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
 
 
 def select_threads(ranks: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """Greedy choice down the ranks: the first ``thread_min`` always, then threads that fit, until the targets are met or the slice is full."""
-    ordered = ranks.filter(F.col("messages") > 0).agg(F.array_sort(F.collect_list(F.struct("rank", "subject", "messages", "flagged"))).alias("t"))  # bounded by thread_ranks
+    # beyond the first thread_min, no more than thread_max of one size are taken, and once one doesn't fit none of its size does
+    equal = F.row_number().over(Window.partitionBy("messages").orderBy("rank"))
+    rest = ranks.filter((F.col("rank") > targets.thread_min) & F.col("messages").between(1, targets.message_max)).withColumn("_place", equal).filter(F.col("_place") <= targets.thread_max).drop("_place")
+    usable = ranks.filter((F.col("rank") <= targets.thread_min) & (F.col("messages") > 0)).unionByName(rest)
+    ordered = usable.agg(F.array_sort(F.collect_list(F.struct("rank", "subject", "messages", "flagged"))).alias("t"))  # at most thread_min + message_max * thread_max
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("chosen"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("f"), F.lit(False).alias("over"))
 

@@ -90,6 +90,20 @@ def test_empty_slice(spark):
     assert slicer.choose_window(rows).collect() == [] and slicer.month_stats(rows).collect() == []
 
 
+def test_ranks_of_all_threads(spark):
+    """Every subject has a rank, and a thread that fits is taken however late it stands."""
+    sizes = [(f"big{i}", 30 if i else 29) for i in range(10)] + [(f"pair{i}", 2) for i in range(10_500)] + [("last", 1)]
+    rows = spark.createDataFrame(sizes, "subject string, n int").select("subject", F.explode(F.sequence(F.lit(1), "n"))).select("subject", F.monotonically_increasing_id().alias("row_idx"))
+    rows = rows.withColumns({"at": F.lit("2001-01-05").cast("timestamp_ntz"), "flagged": F.lit(False), "size": F.lit(1)})
+    month = 2001 * 12
+    window = spark.createDataFrame([(month, 1, month)], "start int, span int, last int")
+    ranks = slicer.thread_ranks(rows, window)
+    got = sorted((r["rank"], r.subject, r.messages) for r in ranks.collect())
+    first = dict(rows.groupBy("subject").agg(F.min("row_idx")).collect())
+    assert got == [(k, s, n) for k, (s, n) in enumerate(sorted(sizes, key=lambda x: (-x[1], first[x[0]])), 1)]
+    assert {r.subject for r in slicer.select_threads(ranks).collect()} == {f"big{i}" for i in range(10)} | {"last"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
