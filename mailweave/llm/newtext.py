@@ -3,8 +3,8 @@
 Marked history is cut by its marks: the body ends at the first header block of an older mail, quoted lines and the lines
 introducing them go, and what follows a closing phrase, a separator or the sender's name line goes up to the next quotation.
 What is left is exploded into normalised paragraphs. Ranked by date within its thread, a paragraph stays only where it was
-first authored; short lines that recur as closings of one sender, and long ones that recur across many threads (notices),
-are removed by their counts.
+first authored; short lines that recur as closings of one sender are removed by their counts, and long ones that end many
+mails which have nothing else in common (notices) where they end a mail.
 
 Defined results: null bodies count as empty and are no case; a body of nothing but old text has empty new text; rows without
 a thread are compared with themselves only; a mail delivered twice, told by its id or its equal body, does not quote itself;
@@ -63,11 +63,12 @@ def _paragraphs(body: Column) -> Column:
     return F.filter(F.split(text, rf"\n[ \t]*\n|[{_BREAK}{_GONE}]"), lambda p: p.rlike(r"[A-Za-z0-9]"))
 
 
-def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: int = 25, notice: int = 40, notice_threads: int = 25, closings: int = 3) -> DataFrame:
+def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: int = 25, notice: int = 40, notice_share: float = 0.003, notice_mails: int = 5, closings: int = 3) -> DataFrame:
     """(row_idx, old_key, new_key): the key of each body and of its new text.
 
     ``pasted`` and ``notice`` are the least lengths of a paragraph's key to be compared within its thread and counted across
-    threads; ``closings`` is how many mails of a sender a short name-like line must close.
+    mails; ``notice_share`` and ``notice_mails`` are the share of all different bodies, and their least number, that a notice
+    must end; ``closings`` is how many mails of a sender a short name-like line must close.
     """
     cue = "(?is)" + "|".join(NOTICE_CUES).replace(" ", r"\s+")
     rows = mail.filter("body is not null").select(
@@ -83,7 +84,7 @@ def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: in
     rows = rows.withColumn("keys", F.transform("paragraphs", key))
     # a name line of the sender closes the mail, unless it opens it
     rows = rows.withColumn("own", F.transform("paragraphs", lambda p, i: (i > 0) & F.get(F.col("signed"), i) & F.arrays_overlap(plain_words(p), F.col("by"))))
-    rows = checkpointed(rows.select("row_idx", "mail", "whole", "mailbox", "old_key", "keys", "signed", "own"))
+    rows = checkpointed(rows.select("row_idx", "mail", "whole", "mailbox", "by", "old_key", "keys", "signed", "own"))
 
     times = mail.select("row_idx", F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("loaded_us")).join(to_instants(mail, mailboxes), "row_idx", "left").select("row_idx", F.coalesce("utc_us", "loaded_us").alias("us"))
     threads = ingest.groupBy("row_idx").agg(F.min("thread_id").alias("thread"))
@@ -96,9 +97,8 @@ def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: in
     authored = placed.filter(F.col("n") >= pasted)
     first = authored.groupBy("thread", "digest").agg(F.min(F.struct("us", "row_idx", "mail", "whole")).alias("first"), F.count_distinct("mail").alias("mails")).filter("mails > 1").drop("mails")
     late = authored.join(first, ["thread", "digest"]).filter("mail <> first.mail and whole <> first.whole").select("row_idx", "pos")
-    # notices recur across threads, closings within a sender
-    common = placed.filter(F.col("n") >= notice).groupBy("digest").agg(F.approx_count_distinct("thread", 0.02).alias("threads")).filter(F.col("threads") >= notice_threads).select("digest")
-    notices = placed.filter(F.col("n") >= notice).join(common, "digest", "left_semi").select("row_idx", "pos")
+    # notices recur across mails, closings within a sender
+    notices = _notices(rows, placed, notice, max(notice_mails, notice_share * rows.select("whole").distinct().count()), notice_mails)
     recurring = placed.filter("signed and pos > 0").groupBy("mailbox", "digest").agg(F.count_distinct("mail").alias("mails")).filter(F.col("mails") >= closings).select("mailbox", "digest")
     closing = placed.filter("signed and pos > 0").join(recurring, ["mailbox", "digest"], "left_semi").select("row_idx", "pos").unionByName(placed.filter("own").select("row_idx", "pos"))
     gone = late.unionByName(notices).unionByName(closing).groupBy("row_idx").agg(F.collect_set("pos").alias("gone"))  # of one mail
@@ -106,6 +106,33 @@ def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: in
     return rows.join(gone, "row_idx", "left").select("row_idx", "old_key", F.array_join(kept, "").alias("new_key"))
 
 
+def _notices(rows: DataFrame, placed: DataFrame, notice: int, least: float, senders: int, common: float = 0.1) -> DataFrame:
+    """(row_idx, pos) of the paragraphs that end a mail and are notices.
+
+    Evidence is the text in front of such a paragraph: a notice has at least ``least`` different ones, of ``senders`` senders,
+    and half of all its texts have little in common. A text has much in common if half of its pieces, cut at fixed letters,
+    stand in the share ``common`` of the texts each; so copies of one mail, changed or not, are no evidence.
+    """
+    long = placed.filter(F.col("n") >= notice)
+    often = long.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least).select("digest")
+    marked = long.join(often, "digest", "left_semi").groupBy("row_idx").agg(F.collect_set("pos").alias("marked"))  # of one mail
+    # the run of such paragraphs at the end of a mail begins behind its last other one
+    other = F.array_except(F.sequence(F.lit(0), F.size("keys") - 1), "marked")
+    ends = rows.join(marked, "row_idx").withColumn("end", F.coalesce(F.array_max(other), F.lit(-1)))
+    front = F.array_join(F.slice("keys", 1, F.col("end") + 1), "")
+    ends = ends.select("row_idx", "end", F.array_join(F.array_sort("by"), " ").alias("by"), F.array_distinct(F.filter(F.split(front, "(?<=th|er|st|nd)"), lambda x: F.length(x) >= 10)).alias("pieces"))
+    candidates = checkpointed(placed.select("row_idx", "pos", "digest").join(ends, "row_idx").filter("pos > end").drop("end"))
+    texts = candidates.filter(F.size("pieces") > 0).groupBy("digest", F.xxhash64("pieces").alias("text")).agg(F.first("pieces").alias("pieces"), F.min("by").alias("by"))
+    number = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    parts = texts.select("digest", "text", F.explode("pieces").alias("piece"))
+    shared = parts.groupBy("digest", "piece").agg(F.count(F.lit(1)).alias("held")).join(number, "digest").filter((F.col("held") > 1) & (F.col("held") >= common * F.col("texts"))).select("digest", "piece")
+    tied = parts.join(shared, ["digest", "piece"], "left_semi").groupBy("digest", "text").agg(F.count(F.lit(1)).alias("tied"))
+    alone = F.coalesce("tied", F.lit(0)) * 2 < F.size("pieces")
+    counted = texts.join(tied, ["digest", "text"], "left").groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.count_if(alone).alias("alone"), F.count_distinct(F.when(alone, F.col("by"))).alias("senders"))
+    proven = counted.filter((F.col("alone") >= least) & (F.col("alone") * 2 >= F.col("texts")) & (F.col("senders") >= senders)).select("digest")
+    return candidates.join(proven, "digest", "left_semi").select("row_idx", "pos")
+
+
 def plain_words(text: Column) -> Column:
     """Words of three letters or more of a name, without an address's domain."""
     return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"@\S+", "")), F.lit(r"\p{L}{3,}"), F.lit(0))

@@ -10,6 +10,7 @@ from mailweave.llm import components, encoding, leakage, mixture, names, neardup
 MAIL = "row_idx long, message_id string, subject string, date_text string, sender string, recipients array<string>, cc array<string>, body string, in_reply_to string, ref_ids array<string>, source_file string, loaded_at timestamp_ntz, mailbox string, source string"
 SMALL = "/root/testdata/sf0.001"
 WORDS = re.compile("[a-z0-9]+")
+WHO = ["Anna", "Bertram", "Cosima", "Dorian", "Edwina", "Fabian", "Gerda", "Hanno", "Irina", "Jasper"]
 
 
 def mail(spark, rows):
@@ -124,6 +125,20 @@ def test_new_text(spark):
     assert got == {2: key("New words of mine."), 3: key("Inline answer."), 4: key("Top text."), 7: key("")}
 
 
+def test_notices(spark):
+    """Copies of a mail in many threads stay new text; a line that ends unrelated mails of several senders is a notice."""
+    copied = "A paragraph of some length that one person wrote and many others had sent to them."
+    closing = "The last words of that mail, which every changed copy of it has at its very end too."
+    line = "Registered seat of our firm is Harbour Road, entered in the register of companies."
+    rows = [{"message_id": f"<c{i}@x>", "sender": "Carla Veltin", "body": copied} for i in range(30)]
+    rows += [{"message_id": f"<d{i}@x>", "sender": f"{w} Veltin", "body": f"{copied} Changed {w}.\n\nThe middle part of the same mail that few people changed.\n\n{closing}"} for i, w in enumerate(WHO * 3)]
+    first = len(rows)
+    rows += [{"message_id": f"<n{i}@x>", "sender": f"{w} Pello", "body": f"Something of {w} alone about the {w.lower()} matter.\n\n{line}"} for i, w in enumerate(WHO)]
+    threads = ingest(spark, [(i, f"t{i}") for i in range(1, len(rows) + 1)])
+    got = {r.row_idx: r.new_md5 for r in newtext.found(mail(spark, rows), threads, boxes(spark)).collect()}
+    assert got == {first + i: key(f"Something of {w} alone about the {w.lower()} matter.") for i, w in enumerate(WHO, 1)}
+
+
 def test_leaks(spark):
     rng = random.Random(5)
     items = {i: [f"w{rng.randrange(900)}" for _ in range(24)] for i in range(20)}
