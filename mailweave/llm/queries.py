@@ -56,6 +56,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.span_pairs(load(spark, d, "documents"))
 
 
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared(load(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_found)
+    f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_found, p10_shared)
 }

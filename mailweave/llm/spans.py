@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailweave.llm.arrays import chunks, mix, sliding_min, span_hashes
@@ -56,7 +56,7 @@ def _super_kmers(width: int, m: int):
 
 
 def _window_digests(width: int):
-    """Task: (doc_id, digest, second) of each window of each packed run."""
+    """Task: (doc_id, digest, second) of each window of each packed run, and its start where the runs have theirs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -71,7 +71,10 @@ def _window_digests(width: int):
                 at = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
                 digest = span_hashes(units, at, at + width)
                 second = span_hashes(mix(units.astype(np.uint64) + np.uint64(5)) >> np.uint64(1), at, at + width)
-                yield pd.DataFrame({"doc_id": np.repeat(ids[part], each), "digest": digest.astype(np.int64), "second": second.astype(np.int64)})
+                out = {"doc_id": np.repeat(ids[part], each), "digest": digest.astype(np.int64), "second": second.astype(np.int64)}
+                if "start" in batch:
+                    out["start"] = (np.repeat(batch["start"].to_numpy()[part] - (np.cumsum(each) - each), each) + np.arange(each.sum())).astype(np.int32)
+                yield pd.DataFrame(out)
 
     return run
 
@@ -87,7 +90,25 @@ def _representatives(documents: DataFrame, width: int) -> tuple[DataFrame, DataF
 
 def span_pairs(documents: DataFrame, width: int = 200, m: int = 100) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: pairs of documents with at least ``width`` consecutive characters in common."""
-    between, copies = _pairs_of_texts(documents, width, m)
+    between, copies, _ = _pairs_of_texts(documents, width, m)
+    return _of_documents(between, copies)
+
+
+def shared(documents: DataFrame, width: int = 200, m: int = 100) -> DataFrame:
+    """(doc_id, shared_chars, share, partners) of every document: how many of its characters lie in a span of at least ``width`` that another document holds too, and the documents that hold one."""
+    between, copies, covered = _pairs_of_texts(documents, width, m, places=True)
+    pairs = checkpointed(_of_documents(between, copies))
+    both = pairs.select(F.col("doc_id_a").alias("doc_id"), F.col("doc_id_b").alias("other")).unionByName(pairs.select(F.col("doc_id_b").alias("doc_id"), F.col("doc_id_a").alias("other")))
+    partners = both.groupBy("doc_id").agg(F.array_sort(F.collect_list("other")).alias("partners"))  # the result
+    whole = copies.select("doc_id", F.lit(True).alias("whole"))
+    joined = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(covered, "doc_id", "left").join(whole, "doc_id", "left").join(partners, "doc_id", "left")
+    chars = F.when(F.col("whole"), F.col("n").cast("long")).otherwise(F.coalesce("chars", F.lit(0).cast("long")))
+    share = F.when(F.col("n") > 0, chars / F.col("n")).otherwise(0.0)
+    return joined.select("doc_id", chars.alias("shared_chars"), share.alias("share"), F.coalesce("partners", F.array().cast("array<long>")).alias("partners"))
+
+
+def _of_documents(between: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs of documents of the pairs of their texts."""
     group = copies.select("rep", F.col("doc_id").alias("member"))
     # a text stands for its copies: those of a, those of b, and the copies among themselves
     of_a, of_b = group.select(F.col("rep").alias("a"), F.col("member").alias("ma")), group.select(F.col("rep").alias("b"), F.col("member").alias("mb"))
@@ -98,8 +119,8 @@ def span_pairs(documents: DataFrame, width: int = 200, m: int = 100) -> DataFram
     return crossed.unionByName(inside.select("doc_id_a", "doc_id_b"))
 
 
-def _pairs_of_texts(documents: DataFrame, width: int, m: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of representatives that share a window, and (doc_id, rep) of equal texts."""
+def _pairs_of_texts(documents: DataFrame, width: int, m: int, places: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Pairs (a, b) of representatives that share a window, (doc_id, rep) of equal texts and, with ``places``, (doc_id, chars): how many characters of a representative the windows shared with others cover."""
     long, copies = _representatives(documents, width)
     copies = checkpointed(copies)
     texts = sized_join(long.select("doc_id", "text"), copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
@@ -107,13 +128,20 @@ def _pairs_of_texts(documents: DataFrame, width: int, m: int) -> tuple[DataFrame
     kmers = texts.mapInPandas(_super_kmers(width, m), "doc_id long, start int, windows int, minimiser long").persist(StorageLevel.DISK_ONLY)
     common = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("minimiser")
     kept = sized_join(kmers, common, "minimiser", "left_semi").select("doc_id", "start", "windows")
-    packed = sized_join(documents.select("doc_id", "text"), kept, "doc_id").select("doc_id", F.substring("text", F.col("start") + 1, F.col("windows") + (width - 1)).alias("packed"))
+    packed = sized_join(documents.select("doc_id", "text"), kept, "doc_id").select("doc_id", *["start"] * places, F.substring("text", F.col("start") + 1, F.col("windows") + (width - 1)).alias("packed"))
     # 128 bits tell windows apart
-    windows = packed.mapInPandas(_window_digests(width), "doc_id long, digest long, second long")
+    placed = packed.mapInPandas(_window_digests(width), "doc_id long, digest long, second long" + ", start int" * places)
+    windows = placed.select("doc_id", "digest", "second")
     counted = windows.repartition("digest").distinct().groupBy("digest", "second").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).filter("texts > 1")
+    counted = checkpointed(counted) if places else counted
     # windows held by the same set of texts, told by its size and a sum over its members: one stands for all
     chosen = counted.groupBy("texts", "who").agg(F.min(F.struct("digest", "second")).alias("w")).select("w.digest", "w.second")
     held = checkpointed(sized_join(windows, chosen, ["digest", "second"], "left_semi").distinct())
+    covered = None
+    if places:
+        mine = sized_join(placed, counted.select("digest", "second"), ["digest", "second"], "left_semi")
+        after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")) - F.col("start")  # of one document
+        covered = checkpointed(mine.select("doc_id", F.least(F.coalesce(after, F.lit(width)), F.lit(width)).alias("own")).groupBy("doc_id").agg(F.sum("own").alias("chars")))
     kmers.unpersist()
     left, right = held.withColumnRenamed("doc_id", "a"), held.withColumnRenamed("doc_id", "b")
-    return left.join(right, ["digest", "second"]).filter("a < b").select("a", "b").distinct(), copies
+    return left.join(right, ["digest", "second"]).filter("a < b").select("a", "b").distinct(), copies, covered

@@ -198,6 +198,25 @@ def test_spans(spark):
     assert spans.span_pairs(df.limit(0)).collect() == []
 
 
+def test_shared_amounts(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdé ") for _ in range(900)) for _ in range(3)]
+    docs = {1: base[0], 2: "x" + base[0][100:320] + "yy" + base[0][300:700] + "z", 3: base[1], 4: base[1], 5: base[2], 6: base[2][:199] + "-", 7: None, 8: "", 9: base[1][:250] + base[2][500:760] + base[2][600:800]}
+    seen = {}
+    for d, t in docs.items():
+        for k in range(len(t or "") - 199):
+            seen.setdefault(t[k : k + 200], {}).setdefault(d, []).append(k)
+    cover, whom = {d: set() for d in docs}, {d: set() for d in docs}
+    for held in seen.values():
+        for d, starts in held.items():
+            if len(held) > 1:
+                whom[d] |= held.keys() - {d}
+                cover[d] |= {c for k in starts for c in range(k, k + 200)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.shared_chars, round(r.share, 9), r.partners) for r in spans.shared(df).collect()}
+    assert got == {d: (len(cover[d]), round(len(cover[d]) / max(1, len(t or "")), 9), sorted(whom[d])) for d, t in docs.items()}
+
+
 def test_empty_mail(spark):
     none = mail(spark, [{}]).limit(0)
     assert pii.found(none, contacts(spark)).collect() == [] and components.reply_groups(none).collect() == [] and encoding.found(none).collect() == []
