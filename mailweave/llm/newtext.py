@@ -52,6 +52,11 @@ def key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
+def _same(text: Column) -> Column:
+    """What paragraphs are compared by: the key, or all letters and digits where the script leaves little to the key."""
+    return F.when(F.length(key(text)) * 3 < F.length(text), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")).otherwise(key(text))
+
+
 def _paragraphs(body: Column) -> Column:
     """Paragraphs of a body without marked history, signatures and marked notices."""
     text = F.regexp_replace(body, r"\r\n?", "\n")
@@ -60,11 +65,11 @@ def _paragraphs(body: Column) -> Column:
     text = F.regexp_replace(text, rf"(?m)^(?:{_CLOSING})[^{_BREAK}]*", _GONE + "\n")
     text = F.regexp_replace(text, rf"(?m)(?<=\A|\n[ \t]?\n|{_BREAK}\n)^{_NAME}[ \t]*\n{_DETAIL}[^{_BREAK}]*", _GONE + "\n")
     text = F.regexp_replace(text, rf"(?m)^[_*=]{{8,}}[ \t]*(?:\n[^\n{_BREAK}{_GONE}]+)*", _GONE)
-    return F.filter(F.split(text, rf"\n[ \t]*\n|[{_BREAK}{_GONE}]"), lambda p: p.rlike(r"[A-Za-z0-9]"))
+    return F.filter(F.split(text, rf"\n[ \t]*\n|[{_BREAK}{_GONE}]"), lambda p: p.rlike(r"\S"))
 
 
-def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: int = 25, notice: int = 40, notice_share: float = 0.003, notice_mails: int = 5, closings: int = 3) -> DataFrame:
-    """(row_idx, old_key, new_key): the key of each body and of its new text.
+def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: int = 25, notice: int = 40, notice_share: float = 0.003, notice_mails: int = 5, closings: int = 3, texts: bool = False) -> DataFrame:
+    """(row_idx, old_key, new_key): the key of each body and of its new text; with ``texts`` also the new text itself, its paragraphs parted by blank lines.
 
     ``pasted`` and ``notice`` are the least lengths of a paragraph's key to be compared within its thread and counted across
     mails; ``notice_share`` and ``notice_mails`` are the share of all different bodies, and their least number, that a notice
@@ -80,15 +85,17 @@ def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: in
         key(F.col("body")).alias("old_key"),
         F.filter(_paragraphs(F.col("body")), lambda p: ~p.rlike(cue)).alias("paragraphs"),
     )
-    rows = rows.withColumn("signed", F.transform("paragraphs", lambda p: p.rlike(rf"^\s*{_NAME}\s*$")))
-    rows = rows.withColumn("keys", F.transform("paragraphs", key))
     # a name line of the sender closes the mail, unless it opens it
-    rows = rows.withColumn("own", F.transform("paragraphs", lambda p, i: (i > 0) & F.get(F.col("signed"), i) & F.arrays_overlap(plain_words(p), F.col("by"))))
-    rows = checkpointed(rows.select("row_idx", "mail", "whole", "mailbox", "by", "old_key", "keys", "signed", "own"))
+    opens = F.array_position(F.transform("paragraphs", lambda p: p.rlike(r"[\p{L}\p{N}]")), True) - 1
+    rows = rows.withColumn("opens", opens)
+    rows = rows.withColumn("signed", F.transform("paragraphs", lambda p, i: (i > F.col("opens")) & p.rlike(rf"^\s*{_NAME}\s*$")))
+    rows = rows.withColumn("keys", F.transform("paragraphs", _same))
+    rows = rows.withColumn("own", F.transform("paragraphs", lambda p, i: F.get(F.col("signed"), i) & F.arrays_overlap(plain_words(p), F.col("by"))))
+    rows = checkpointed(rows.select("row_idx", "mail", "whole", "mailbox", "by", "old_key", "keys", "signed", "own", *["paragraphs"] * texts))
 
     times = mail.select("row_idx", F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("loaded_us")).join(to_instants(mail, mailboxes), "row_idx", "left").select("row_idx", F.coalesce("utc_us", "loaded_us").alias("us"))
     threads = ingest.groupBy("row_idx").agg(F.min("thread_id").alias("thread"))
-    placed = rows.select("row_idx", "mail", "whole", "mailbox", F.posexplode(F.arrays_zip("keys", "signed", "own")).alias("pos", "p")).select(
+    placed = rows.select("row_idx", "mail", "whole", "mailbox", F.posexplode(F.arrays_zip("keys", "signed", "own")).alias("pos", "p")).filter("p.keys <> ''").select(
         "row_idx", "mail", "whole", "mailbox", "pos", F.xxhash64("p.keys").alias("digest"), F.length("p.keys").alias("n"), F.col("p.signed").alias("signed"), F.col("p.own").alias("own")
     )
     placed = placed.join(times.join(threads, "row_idx", "left"), "row_idx", "left").withColumn("thread", F.coalesce("thread", F.concat(F.lit("row "), "row_idx")))
@@ -99,11 +106,18 @@ def reduced(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, pasted: in
     late = authored.join(first, ["thread", "digest"]).filter("mail <> first.mail and whole <> first.whole").select("row_idx", "pos")
     # notices recur across mails, closings within a sender
     notices = _notices(rows, placed, notice, max(notice_mails, notice_share * rows.select("whole").distinct().count()), notice_mails)
-    recurring = placed.filter("signed and pos > 0").groupBy("mailbox", "digest").agg(F.count_distinct("mail").alias("mails")).filter(F.col("mails") >= closings).select("mailbox", "digest")
-    closing = placed.filter("signed and pos > 0").join(recurring, ["mailbox", "digest"], "left_semi").select("row_idx", "pos").unionByName(placed.filter("own").select("row_idx", "pos"))
+    recurring = placed.filter("signed").groupBy("mailbox", "digest").agg(F.count_distinct("mail").alias("mails")).filter(F.col("mails") >= closings).select("mailbox", "digest")
+    closing = placed.filter("signed").join(recurring, ["mailbox", "digest"], "left_semi").select("row_idx", "pos").unionByName(placed.filter("own").select("row_idx", "pos"))
     gone = late.unionByName(notices).unionByName(closing).groupBy("row_idx").agg(F.collect_set("pos").alias("gone"))  # of one mail
-    kept = F.filter("keys", lambda k, i: ~F.coalesce(F.array_contains(F.col("gone"), i), F.lit(False)))
-    return rows.join(gone, "row_idx", "left").select("row_idx", "old_key", F.array_join(kept, "").alias("new_key"))
+    kept = lambda c: F.filter(c, lambda _, i: ~F.coalesce(F.array_contains(F.col("gone"), i), F.lit(False)))
+    whole = [F.array_join(F.transform(kept("paragraphs"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), "\n\n").alias("new_text")] if texts else []
+    return rows.join(gone, "row_idx", "left").select("row_idx", "old_key", key(F.array_join(kept("keys"), "")).alias("new_key"), *whole)
+
+
+def new_texts(mail: DataFrame, ingest: DataFrame, mailboxes: DataFrame, **settings) -> DataFrame:
+    """(row_idx, new_text): every mail's body as only what its sender newly wrote; null where there is no body."""
+    new = reduced(mail, ingest, mailboxes, texts=True, **settings).select("row_idx", "new_text")
+    return new.unionByName(mail.filter("body is null").select("row_idx", F.lit(None).cast("string").alias("new_text")))
 
 
 def _notices(rows: DataFrame, placed: DataFrame, notice: int, least: float, senders: int, common: float = 0.1) -> DataFrame:
@@ -117,7 +131,7 @@ def _notices(rows: DataFrame, placed: DataFrame, notice: int, least: float, send
     often = long.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least).select("digest")
     marked = long.join(often, "digest", "left_semi").groupBy("row_idx").agg(F.collect_set("pos").alias("marked"))  # of one mail
     # the run of such paragraphs at the end of a mail begins behind its last other one
-    other = F.array_except(F.sequence(F.lit(0), F.size("keys") - 1), "marked")
+    other = F.array_except(F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.get("keys", i) != ""), "marked")
     ends = rows.join(marked, "row_idx").withColumn("end", F.coalesce(F.array_max(other), F.lit(-1)))
     front = F.array_join(F.slice("keys", 1, F.col("end") + 1), "")
     ends = ends.select("row_idx", "end", F.array_join(F.array_sort("by"), " ").alias("by"), F.array_distinct(F.filter(F.split(front, "(?<=th|er|st|nd)"), lambda x: F.length(x) >= 10)).alias("pieces"))

@@ -39,6 +39,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return newtext.found(load(spark, d, "email_structure"), load(spark, d, "ingest"), load(spark, d, "mailboxes"))
 
 
+def p7_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return newtext.new_texts(load(spark, d, "email_structure"), load(spark, d, "ingest"), load(spark, d, "mailboxes"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
@@ -61,5 +65,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_mixture, p9_shares, p10_found, p10_shared)
+    f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p5_found, p6_found, p7_found, p7_new_text, p8_found, p9_mixture, p9_shares, p10_found, p10_shared)
 }
