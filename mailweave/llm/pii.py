@@ -185,17 +185,17 @@ def _voted(mail: DataFrame, contacts: DataFrame, max_given: int = 100_000) -> Da
     few = given.count() <= max_given
     names = frozenset(r[0] for r in given.select("token").collect()) if few else frozenset()  # bounded by max_given
     known = mail.sparkSession.sparkContext.broadcast(names)
-    body = mail.select("row_idx", "body").filter("length(body) > 0").mapInPandas(_spans(known), "row_idx long, kind string, start int, stop int, run int, value string, left string, right string, first string, last string, turned boolean").withColumn("field", F.lit("body"))
-    entries = mail.select("row_idx", F.explode(F.concat(F.array(F.struct(F.lit("sender").alias("field"), F.col("sender").alias("e"))), F.transform(F.coalesce("recipients", F.array().cast("array<string>")), lambda e: F.struct(F.lit("recipients").alias("field"), e.alias("e"))))).alias("x")).select("row_idx", "x.field", F.coalesce("x.e", F.lit("")).alias("e"))
-    address = entries.select("row_idx", "field", F.lit("email").alias("kind"), F.regexp_extract("e", r"[^\s<>()\"]+@[^\s<>()\"]+\.[^\s<>()\"]+", 0).alias("value")).filter("value <> ''")
+    body = mail.select("row_idx", "body").filter("length(body) > 0").mapInPandas(_spans(known), "row_idx long, kind string, start int, stop int, run int, value string, left string, right string, first string, last string, turned boolean").withColumns({"field": F.lit("body"), "item": F.lit(0)})
+    entries = mail.select("row_idx", F.explode(F.concat(F.array(F.struct(F.lit("sender").alias("field"), F.lit(0).alias("item"), F.col("sender").alias("e"))), F.transform(F.coalesce("recipients", F.array().cast("array<string>")), lambda e, i: F.struct(F.lit("recipients").alias("field"), i.alias("item"), e.alias("e"))))).alias("x")).select("row_idx", "x.field", "x.item", F.coalesce("x.e", F.lit("")).alias("e"))
+    address = entries.select("row_idx", "field", "item", "e", F.lit("email").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("e", F.lit(r"[^\s<>()\"]+@[^\s<>()\"]+\.[^\s<>()\"]+"), F.lit(0)))).alias("value"))
     person = F.regexp_replace(F.regexp_replace(entry_name(F.col("e")), r"^(?i:cn=)", ""), r"[/@].*$", "")
     words = F.regexp_extract_all(person, F.lit(r"\p{L}[^\s,.]*"), F.lit(0))
-    named = entries.select("row_idx", "field", F.lit("name").alias("kind"), person.alias("value"), words.alias("w")).filter(F.size("w") >= 2)
+    named = entries.select("row_idx", "field", "item", "e", F.lit("name").alias("kind"), person.alias("value"), words.alias("w")).filter(F.size("w") >= 2)
     # a family name is written last, or first before a comma or an initial
     front = F.col("value").contains(",") | (F.length(F.element_at("w", -1)) == 1)
     first, last = _letters(F.when(front, F.element_at("w", 2)).otherwise(F.element_at("w", 1))), _letters(F.when(front, F.element_at("w", 1)).otherwise(F.element_at("w", -1)))
     empty = F.lit("")
-    whole = lambda df, a, b: df.select("row_idx", "kind", F.lit(0).alias("start"), F.length("value").alias("stop"), F.lit(0).alias("run"), "value", empty.alias("left"), empty.alias("right"), a.alias("first"), b.alias("last"), F.lit(False).alias("turned"), "field")
+    whole = lambda df, a, b: df.withColumn("start", F.explode(F.expr("filter(sequence(0, length(e) - 1), i -> substring(e, i + 1, length(value)) = value)"))).select("row_idx", "kind", "start", (F.col("start") + F.length("value")).alias("stop"), F.lit(0).alias("run"), "value", empty.alias("left"), empty.alias("right"), a.alias("first"), b.alias("last"), F.lit(False).alias("turned"), "field", "item")
     spans = body.unionByName(whole(address, empty, empty)).unionByName(whole(named, first, last))
 
     spans = sized_join(spans, given.withColumnRenamed("token", "first"), "first", "left")
@@ -220,7 +220,7 @@ def _voted(mail: DataFrame, contacts: DataFrame, max_given: int = 100_000) -> Da
     for n, vote in enumerate(VOTES):
         chosen = F.coalesce(*[F.when(F.col("kind") == k, votes[k][n]) for k in KINDS])
         spans = spans.withColumn(vote, F.coalesce(chosen, F.lit(False)))
-    return spans.select("row_idx", "field", "kind", "start", "stop", "run", key(F.col("value")).alias("value_key"), *VOTES)
+    return spans.select("row_idx", "field", "item", "kind", "start", "stop", "run", key(F.col("value")).alias("value_key"), *VOTES)
 
 
 def reliabilities(counts: pd.DataFrame, rounds: int = 50, belief: float = 0.9, weight: float = 0.25) -> pd.DataFrame:
@@ -264,7 +264,7 @@ def classifier(labelled: pd.DataFrame, rounds: int = 400, rate: float = 0.5) ->
 
 
 def personal_spans(mail: DataFrame, contacts: DataFrame, accept: float = 0.5) -> DataFrame:
-    """(row_idx, field, kind, start, stop, value_key): the accepted spans; start and stop are code points of the body."""
+    """(row_idx, field, item, kind, start, stop, value_key): the accepted spans; start and stop are code points of the body or of the entry, item is the entry's place in its field, from 0."""
     spans = checkpointed(_voted(mail, contacts))
     counts = spans.groupBy("kind", *VOTES).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most kinds x 2 ** votes
     judged = classifier(reliabilities(counts))
@@ -277,8 +277,8 @@ def personal_spans(mail: DataFrame, contacts: DataFrame, accept: float = 0.5) ->
     names = accepted.filter("kind = 'name' and field = 'body'")
     together = names.groupBy("row_idx", "run").agg(F.collect_list(F.struct("start", "stop", "value_key")).alias("s"))
     outer = F.filter("s", lambda a: ~F.exists("s", lambda b: (b["start"] <= a["start"]) & (b["stop"] >= a["stop"]) & ((b["stop"] - b["start"]) > (a["stop"] - a["start"]))))
-    kept = together.select("row_idx", F.explode(outer).alias("s")).select("row_idx", F.lit("body").alias("field"), F.lit("name").alias("kind"), "s.start", "s.stop", "s.value_key")
-    return alone.select("row_idx", "field", "kind", "start", "stop", "value_key").unionByName(kept).filter("value_key <> ''")
+    kept = together.select("row_idx", F.explode(outer).alias("s")).select("row_idx", F.lit("body").alias("field"), F.lit(0).alias("item"), F.lit("name").alias("kind"), "s.start", "s.stop", "s.value_key")
+    return alone.select("row_idx", "field", "item", "kind", "start", "stop", "value_key").unionByName(kept).filter("value_key <> ''")
 
 
 def found(mail: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -287,10 +287,16 @@ def found(mail: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def redacted(mail: DataFrame, contacts: DataFrame) -> DataFrame:
-    """(row_idx, body): bodies with each personal value replaced by a placeholder of its kind, such as [PHONE]."""
-    spans = personal_spans(mail, contacts).filter("field = 'body'").groupBy("row_idx").agg(F.array_sort(F.collect_set(F.struct("start", "stop", F.upper("kind").alias("kind")))).alias("spans"))  # of one body
+    """(row_idx, body, sender, recipients): each with its personal values replaced by placeholders of their kinds, such as [PHONE]."""
+    one = F.struct("item", "start", "stop", F.upper("kind").alias("kind"))
+    spans = personal_spans(mail, contacts).groupBy("row_idx").agg(*[F.array_sort(F.collect_set(F.when(F.col("field") == f, one))).alias(f"_{f}") for f in ("body", "sender", "recipients")])  # of one mail
     begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["done"], F.substring("body", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("done"), s["stop"].alias("at")))
-    rest = lambda acc: F.concat(acc["done"], F.substring("body", acc["at"] + 1, F.length("body")))
-    joined = mail.select("row_idx", "body").join(spans, "row_idx", "left")
-    return joined.select("row_idx", F.when(F.col("spans").isNull(), F.col("body")).otherwise(F.aggregate("spans", begin, step, rest)).alias("body"))
+
+    def filled(text: Column, own: Column) -> Column:
+        step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("done"), s["stop"].alias("at")))
+        rest = lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text)))
+        return F.when(F.coalesce(F.size(own), F.lit(0)) < 1, text).otherwise(F.aggregate(own, begin, step, rest))
+
+    joined = mail.select("row_idx", "body", "sender", "recipients").join(spans, "row_idx", "left")
+    entries = F.transform("recipients", lambda e, i: filled(e, F.filter("_recipients", lambda s: s["item"] == i)))
+    return joined.select("row_idx", filled(F.col("body"), F.col("_body")).alias("body"), filled(F.col("sender"), F.col("_sender")).alias("sender"), entries.alias("recipients"))

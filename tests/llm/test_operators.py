@@ -44,6 +44,20 @@ def test_personal_values(spark):
     assert "[PHONE]" in text[1] and "956-16-7045" not in text[1] and "will chair" in text[1] and text[2] is None and text[3] == ""
 
 
+def test_redacted_entries(spark):
+    rows = [
+        {"sender": "Siladale, Robert X <robert@firm.example>", "recipients": ["Moninova Energy Inc", None, '"Oskar Kelisemire" <oskar@firm.example>', "CN=Oskar Kelisemire/OU=HOU/O=X"], "body": "Call me on (313)555-0122."},
+        {"sender": "oskar@firm.example (Oskar Kelisemire)", "recipients": [], "body": None},
+        {"sender": "'robert@firm.example' <robert@firm.example>", "recipients": None},
+    ]
+    got = {r.row_idx: (r.body, r.sender, r.recipients) for r in pii.redacted(mail(spark, rows), contacts(spark)).collect()}
+    assert got == {
+        1: ("Call me on [PHONE].", "[NAME] <[EMAIL]>", ["Moninova Energy Inc", None, '"[NAME]" <[EMAIL]>', "CN=[NAME]/OU=HOU/O=X"]),
+        2: (None, "[EMAIL] ([NAME])", []),
+        3: (None, "'[EMAIL]' <[EMAIL]>", None),
+    }
+
+
 def brute_pairs(texts, width=3, least=20, j=0.6):
     sets = {}
     for i, t in texts.items():
