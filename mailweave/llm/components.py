@@ -1,9 +1,10 @@
 """Consolidating pairwise matches into groups: connected components over message ids.
 
-The component around the vertex of highest degree is peeled by breadth-first frontier joins while its frontier keeps at
-least ``frontier_share`` of all vertices; what was reached is contracted to its least vertex, which equals removing it by an
-anti-join when the search ends by itself. The rest is labelled by minimum propagation in rounds of a large and a small star,
-which shortcut long reply chains, so that the rounds grow with the logarithm of the component, not with its diameter.
+The component around the vertex of highest degree is searched breadth-first by frontier joins as long as the frontier widens
+or, past its widest, narrows: both take a number of rounds that grows with the logarithm of the component. A component
+searched to its end is peeled: its edges are removed by an anti-join. A search that stalls has met a long chain; what it
+reached is contracted to its least vertex, so that nothing found is lost. The rest is labelled by minimum propagation in
+rounds of a large and a small star, which shortcut long reply chains.
 
 Defined results: rows without an id that name nobody, and ids that no row has, tie nothing; null and empty values are no
 ids; repeated rows count once; an empty table gives no rows; other columns are ignored.
@@ -29,35 +30,52 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _peel(edges: DataFrame, frontier_share: float, max_rounds: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges with the part reached from the vertex of highest degree contracted, and (vertex, label) of that part."""
-    both = checkpointed(_both_ways(edges).distinct())
-    total = both.agg(F.count_distinct("u")).first()[0]
+def _search(both: DataFrame, patience: int, step: float) -> tuple[DataFrame, bool]:
+    """Vertices (x) reached from the vertex of highest degree, and whether they are its whole component.
+
+    A round counts as progress if its frontier is ``step`` times wider than the widest before, or that much narrower than the
+    narrowest since; ``patience`` rounds without progress end the search.
+    """
     top = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select(F.col("u").alias("x"))
     reached = frontier = checkpointed(top)
-    rounds = 0
-    while rounds < max_rounds:
-        rounds += 1
+    widest, narrowest, idle = 0, 0, 0
+    while idle < patience:
         frontier = checkpointed(both.join(frontier.select(F.col("x").alias("u")), "u").select(F.col("v").alias("x")).distinct().join(reached, "x", "left_anti"))
         size = frontier.count()
-        if size:
-            reached = reached.unionByName(frontier)
-        if size < max(1, frontier_share * total):
-            break
-    if rounds == 1:  # nothing giant here: leave all to the propagation
-        return edges, None
-    reached = checkpointed(reached)
+        if not size:
+            return checkpointed(reached), True
+        # the union of a few rounds; cut anew where it grows long
+        reached = reached.unionByName(frontier)
+        if size >= step * widest:
+            widest = narrowest = size
+            idle = 0
+        elif size * step <= narrowest:
+            narrowest, idle = size, 0
+        else:
+            idle += 1
+    return checkpointed(reached), False
+
+
+def _peel(edges: DataFrame, patience: int, step: float) -> tuple[DataFrame, DataFrame | None]:
+    """Edges without the component of the vertex of highest degree, or with what was reached of it contracted, and (vertex, label) of that part."""
+    reached, whole = _search(checkpointed(_both_ways(edges).distinct()), patience, step)
     least = reached.agg(F.min("x")).first()[0]
+    if least is None:
+        return edges, None
+    labels = reached.select(F.col("x").alias("vertex"), F.lit(least).alias("label"))
+    if whole:
+        return edges.join(reached.select(F.col("x").alias("u")), "u", "left_anti"), labels
     in_u, in_v = reached.select(F.col("x").alias("u"), F.lit(True).alias("ru")), reached.select(F.col("x").alias("v"), F.lit(True).alias("rv"))
     moved = edges.join(in_u, "u", "left").join(in_v, "v", "left").filter("ru is null or rv is null")
     rest = moved.select(F.when(F.col("ru"), F.lit(least)).otherwise(F.col("u")).alias("u"), F.when(F.col("rv"), F.lit(least)).otherwise(F.col("v")).alias("v"))
-    return rest.distinct(), reached.select(F.col("x").alias("vertex"), F.lit(least).alias("label"))
+    return rest.distinct(), labels
 
 
-def components(edges: DataFrame, frontier_share: float = 0.01, max_rounds: int = 20) -> DataFrame:
+def components(edges: DataFrame, patience: int = 3, step: float = 1.25) -> DataFrame:
     """(vertex, label): the least vertex of the component of each vertex of ``edges`` (u long, v long)."""
     clean = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    stars, peeled = _peel(clean, frontier_share, max_rounds)
+    stars, peeled = _peel(clean, patience, step)
+    stars = checkpointed(stars)
     before = None
     while True:
         both = _both_ways(stars)

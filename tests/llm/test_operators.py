@@ -88,14 +88,14 @@ def test_masks_cover():
         assert any(all(not (mask >> (9 * f)) & 511 for f in (a, b)) for mask in neardup.MASKS)
 
 
-@pytest.mark.parametrize("share", [0.0, 1.0])
+@pytest.mark.parametrize("share", [0, 1])
 def test_reply_groups(spark, share):
     rows = [{"message_id": "<A@x>"}, {"message_id": "<b@x>", "in_reply_to": "a@X of 3 May"}, {"message_id": None, "ref_ids": ["<B@x> <zz@x>", None]}, {"message_id": "<c@x>"}, {"message_id": "<c@x>"}, {"message_id": "<d@x>", "in_reply_to": "<gone@x>"}, {}]
     rows += [{"message_id": f"<n{i}@x>", "in_reply_to": f"<n{i - 1}@x>"} for i in range(1, 40)]
     got = {tuple(r) for r in components.reply_groups(mail(spark, rows)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} | {(i, 8) for i in range(8, 47)}
     edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 30) for i in range(1, 30)] + [(100, 101)], "u long, v long")
-    assert {tuple(r) for r in components.components(edges, frontier_share=share * 0.01).collect()} == {(i, 0) for i in [*range(31), *range(31, 60)] if i != 30} | {(100, 100), (101, 100)}
+    assert {tuple(r) for r in components.components(edges, patience=share).collect()} == {(i, 0) for i in [*range(31), *range(31, 60)] if i != 30} | {(100, 100), (101, 100)}
 
 
 def test_encoding(spark):
@@ -239,3 +239,31 @@ def test_empty_mail(spark):
 
 def test_names_of_queries():
     assert {f"p{n}_found" for n in (2, 3, 4, 5, 6, 7, 8, 10)} | {"p9_shares"} <= set(queries.QUERIES)
+
+
+def test_giant_component_without_a_hub_is_peeled(spark):
+    """Random edges: nearly all vertices hang together, and none is a hub."""
+    draw = random.Random(5)
+    edges = [(draw.randrange(3000), draw.randrange(3000)) for _ in range(6000)] + [(5001, 5000), (5002, 5001)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    rest, peeled = components._peel(df.filter("u <> v"), 3, 1.25)
+    assert peeled.count() > 2500 and rest.count() < 100  # anti-joined away, small ones left
+    parent = list(range(5003))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert {tuple(r) for r in components.components(df).collect()} == {(x, root(x)) for x in linked}
+
+
+def test_long_chain_is_contracted(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    rest, peeled = components._peel(df, 3, 1.25)
+    assert 0 < rest.count() < 60 and peeled.count() < 20
+    assert {tuple(r) for r in components.components(df).collect()} == {(i, 0) for i in range(61)}
