@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.sources.tables import checkpointed
+
 # Short forms of given names.
 NICKNAMES = {
     "alexander": ["alex", "al", "sandy"], "andrew": ["andy", "drew"], "anthony": ["tony"], "benjamin": ["ben"], "catherine": ["cathy", "kate", "cate"], "charles": ["charlie", "chuck", "chas"],
@@ -117,14 +119,21 @@ def linked_names(names: DataFrame, contacts: DataFrame, jaccard: float = 0.3, ac
     entry = weighted.groupBy("contact_id").agg(F.sort_array(F.collect_list(F.struct("weight", "pos", "token")), asc=False).alias("tokens"))
     entry = entry.join(directory.select("contact_id", "full_name", "contact_kind", "email"), "contact_id").withColumn("family", F.when(F.col("contact_kind") == "person", F.element_at(F.sort_array(F.transform("tokens", lambda t: F.struct(t["pos"], t["token"])), asc=False), 1)["token"]).otherwise(F.col("tokens")[0]["token"]))
 
-    typed = names.select("name", "address").distinct().withColumn("typed", name_tokens(F.col("name"))).filter(F.size("typed") > 0)
-    spelled = typed.select("name", "address", "typed", F.explode(F.filter("typed", lambda t: F.length(t) > 2)).alias("token"))
-    # login forms: an initial written before the family name
-    login = spelled.filter(F.size("typed") == 1).select("token", F.expr("substring(token, 2)").alias("rest"))
-    pairs = token_join(spelled, entry.select(F.col("family").alias("token")), jaccard).filter(_one_edit(F.col("token"), F.col("target")))
-    by_login = login.join(entry.select(F.col("family").alias("rest")).distinct(), "rest").select("token", F.col("rest").alias("target"))
-    pairs = pairs.unionByName(by_login).distinct()
-    candidates = spelled.join(pairs, "token").join(entry, F.col("family") == F.col("target")).select("name", "address", "typed", "token", "contact_id", "full_name", "contact_kind", "email", "tokens", "family").dropDuplicates(["name", "address", "contact_id"])
+    # the distinct spellings, far fewer than the mail, and all that follows is about them
+    typed = checkpointed(names.select("name", "address").distinct().withColumn("typed", name_tokens(F.col("name"))).filter(F.size("typed") > 0))
+    # single letters are initials; a lone token may be a login, an initial written before the family name
+    part = F.transform(F.filter("typed", lambda t: F.length(t) > 1), lambda t: F.struct(t.alias("token"), t.alias("part"), F.lit(False).alias("login")))
+    lone = F.get("typed", F.lit(0))
+    login = F.when((F.size("typed") == 1) & (F.length(lone) > 2), F.array(F.struct(lone.alias("token"), F.expr("substring(typed[0], 2)").alias("part"), F.lit(True).alias("login"))))
+    spelled = typed.select("name", "address", "typed", F.explode(F.concat(part, F.coalesce(login, F.array().cast("array<struct<token:string,part:string,login:boolean>>")))).alias("s")).select("name", "address", "typed", "s.token", "s.part", "s.login")
+    joined = token_join(spelled.select(F.col("part").alias("token")), entry.select(F.col("family").alias("token")), jaccard)
+    # an edit of a two-letter name is another name
+    close = F.when(F.least(F.length("token"), F.length("target")) > 2, _one_edit(F.col("token"), F.col("target"))).otherwise(F.col("token") == F.col("target"))
+    pairs = checkpointed(joined.filter(close).select(F.col("token").alias("part"), "target"))
+    found = spelled.join(pairs, "part").filter(~F.col("login") | (F.col("part") == F.col("target")))
+    # of the tokens of a spelling that are like a family name the likest; grouped by spelling, which spreads the costly scoring
+    likest = found.groupBy("name", "address", "typed", "target").agg(F.min(F.struct(F.levenshtein("part", "target").alias("far"), "login", "token")).alias("l"))
+    candidates = likest.join(entry, F.col("family") == F.col("target")).select("name", "address", "typed", "l.token", "contact_id", "full_name", "contact_kind", "email", "tokens", "family")
 
     person = F.col("contact_kind") == "person"
     is_login = person & (F.size("typed") == 1) & (F.col("token") != F.col("family"))
@@ -145,14 +154,14 @@ def linked_names(names: DataFrame, contacts: DataFrame, jaccard: float = 0.3, ac
             "strange": strange,
             "exact_address": F.col("address") == F.col("email"),
             "same_box": F.regexp_extract("address", "^([^@]+)@", 1) == F.regexp_extract("email", "^([^@]+)@", 1),
-            "own_box": F.regexp_extract("address", "^([^@]+)@", 1).rlike(r"^\p{L}+\.\p{L}+") & ~F.regexp_extract("address", "^([^@]+)@", 1).rlike(r"\.desk$"),
+            "own_box": F.exists(F.split(plain(F.regexp_extract("address", "^([^@]+)@", 1)), r"[^\p{L}\p{N}]+"), lambda b: b == F.col("family")),
         }
     )
     score = (family_weight * F.col("family_like") + F.col("given_like") * F.greatest(plus("given", lambda t: t["weight"]), F.lit(1e-9))) / (family_weight + plus("given", lambda t: t["weight"]) + F.col("strange") * family_weight)
     # firms drop words: one other word must match and none may be strange
     firm_score = F.when((F.col("strange") == 0) & (F.col("hits") >= 1), 0.8 + 0.1 * F.col("family_like") * F.col("given_like"))
     scored = candidates.withColumn("score", F.when(person, F.when(F.col("given_like") >= 0.69, score)).otherwise(firm_score))
-    # a personal mailbox of someone else overrules an initial
+    # a mailbox that spells out the family name is personal: one of someone else overrules an initial
     scored = scored.filter((F.col("score") >= accept) & ~(person & (F.col("given_like") < 0.75) & F.col("own_box") & ~F.col("same_box")))
     ranked = scored.withColumn("rank", F.struct(F.round(F.col("family_like") + F.col("given_like"), 3).alias("s"), F.col("exact_address").cast("int").alias("e")))
     best_of = ranked.groupBy("name", "address").agg(F.max("rank").alias("rank"))

@@ -267,3 +267,10 @@ def test_long_chain_is_contracted(spark):
     rest, peeled = components._peel(df, 3, 1.25)
     assert 0 < rest.count() < 60 and peeled.count() < 20
     assert {tuple(r) for r in components.components(df).collect()} == {(i, 0) for i in range(61)}
+
+
+def test_short_and_repeated_names(spark):
+    directory = contacts(spark, (("Robert Li", "person"), ("Ann Roberts", "person")))
+    rows = [{"sender": "Bob Li <robert@firm.example>"}, {"sender": "Bob Lu <robert@firm.example>"}, {"sender": "Robert Roberts <x@y.example>"}, {"sender": "RLi"}, {"sender": "A. Roberts <ann.roberts@firm.example>"}, {"sender": "A. Roberts <albert.roberts@firm.example>"}]
+    got = {tuple(r) for r in names.linked_entries(mail(spark, rows), directory).collect()}
+    assert got == {(1, "sender", 1), (4, "sender", 1)}
