@@ -2,9 +2,10 @@
 
 Broad patterns propose spans; a shape labeler (regular expressions), a gazetteer labeler (given names, family names, domains,
 street words), a context labeler (words beside the span) and a decoy labeler (words that name numbers and bodies of things)
-vote on each. The votes are counted by pattern; expectation-maximisation over these counts estimates how reliable each labeler
-is for each kind, and a logistic classifier trained on the posteriors decides for each span. The counts are at most kinds x
-fields x votes, whatever the data; spans, gazetteers and decisions stay in Spark.
+vote on each. The votes are counted by pattern over all spans; expectation-maximisation over these counts estimates how
+reliable each labeler is for each kind. A logistic classifier of the span's votes, shape, neighbouring words and field is
+trained on the posteriors of a bounded sample of spans, and decides for every span, so that two spans of one vote pattern may
+end differently. The counts are at most kinds x votes, whatever the data; spans, gazetteers and decisions stay in Spark.
 
 Defined results: null and empty fields hold nothing; a value that stands repeatedly in a field counts once; equal rows give
 equal results; an empty table gives no rows; other columns are ignored.
@@ -12,11 +13,14 @@ equal results; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +67,28 @@ _RUN = rf"(?:{_INITIAL}|{_PART})(?:{_G}(?:{_INITIAL}|{_PART}))+"
 _TURNED = rf"({_PART}),{_G}({_PART}|{_INITIAL})(?:{_G}[A-Z]\b\.?)?"
 
 
+#: Bits of the filter of given names: 2 MB, whatever their number.
+FILTER_BITS = 24
+#: Buckets of the classifier's hashed features.
+BUCKETS = 1 << 13
+
+
+def _name_filter(given: DataFrame) -> bytes:
+    """A Bloom filter of the tokens, two bits each, put together in Spark; its size is fixed by FILTER_BITS."""
+    h, mask = F.xxhash64("token"), F.lit((1 << FILTER_BITS) - 1)
+    places = given.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(mask))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toPandas()
+    whole = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    whole[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return whole.tobytes()
+
+
 def _spans(given):
-    """Task: candidate spans (row_idx, kind, start, stop, run, value, left, right, first, last, turned) of the bodies.
+    """Task: candidate spans (row_idx, kind, start, stop, run, value, left, right, first, m1, m2, last, turned) of the bodies.
 
-    Numbers are looked at from their digits on, names from their capitals. ``given`` holds the given names, or is empty where
-    they are too many: runs of capitalised words without one or an initial in front are no candidates.
+    Numbers are looked at from their digits on, names from their capitals. A name begins with an initial or a given name and
+    goes on over given names (m1, m2) and initials to its last part. ``given`` is a filter of the given names that lets all of
+    them pass and few others; those others are told by a join afterwards.
     """
     phone, ident, street = re.compile(_PHONE), re.compile(_ID), re.compile(_STREET)
     digits, capitals, letters = re.compile(r"\d+"), re.compile("[A-ZÀ-ÖØ-ÞŠŽ]"), re.compile("[^a-z]")
@@ -76,15 +97,24 @@ def _spans(given):
     runs, turned, parts = re.compile(_RUN), re.compile(_TURNED), re.compile(rf"{_INITIAL}|{_PART}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = given.value
+        bits, mask, seen = given.value, (1 << FILTER_BITS) - 1, {}
+
+        def known(word):
+            if (hit := seen.get(word)) is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                h = xxhash.xxh64_intdigest(word, seed=42)  # as Spark's xxhash64
+                hit = seen[word] = all(bits[p >> 3] >> (p & 7) & 1 for p in (h & mask, h >> FILTER_BITS & mask))
+            return hit
+
         for batch in batches:
             out = []
             for row, body in zip(batch["row_idx"], batch["body"]):
                 if not body:
                     continue
 
-                def add(kind, start, stop, run_no=0, first="", last="", is_turned=False):
-                    out.append((row, kind, start, stop, run_no, body[start:stop], body[max(0, start - 28) : start], body[stop : stop + 20], first, last, is_turned))  # noqa: B023
+                def add(kind, start, stop, run_no=0, first="", last="", is_turned=False, m1="", m2=""):
+                    out.append((row, kind, start, stop, run_no, body[start:stop], body[max(0, start - 28) : start], body[stop : stop + 20], first, m1, m2, last, is_turned))  # noqa: B023
 
                 if "@" in body:
                     for m in written.finditer(body):
@@ -137,24 +167,30 @@ def _spans(given):
                     if m:
                         number += 1
                         second = letters.sub("", m[2].lower()) if len(m[2]) > 2 else ""
-                        if not (known and second and second not in known):
+                        if not second or known(second):
                             add("name", m.start(), m.end(), -number, second, letters.sub("", m[1].lower()), True)
                     if at < done or not (m := runs.match(body, at)):
                         continue
                     done, number = m.end(), number + 1
                     found = [(p.start(), p.end()) for p in parts.finditer(body, m.start(), m.end())]
                     single = [body[e - 1] == "." or e - s == 1 for s, e in found]
+                    plain = ["" if x else letters.sub("", body[a:b].lower()) for x, (a, b) in zip(single, found)]
                     for i in range(len(found) - 1):
-                        first = "" if single[i] else letters.sub("", body[found[i][0] : found[i][1]].lower())
-                        if known and first and first not in known:
+                        if plain[i] and not known(plain[i]):
                             continue
                         if found[i][1] - found[i][0] == 1 and not body[found[i][0]].isascii():
                             continue  # a marked letter alone is a word, no initial
-                        for j in range(i + 1, min(i + 4, len(found))):
-                            if not single[j]:
-                                add("name", found[i][0], found[j][1], number, first, letters.sub("", body[found[j][0] : found[j][1]].lower()))
+                        middle = []
+                        for j in range(i + 1, len(found)):
+                            if single[j]:
+                                if j - i > 3 + len(middle):
+                                    break
+                                continue
+                            add("name", found[i][0], found[j][1], number, plain[i], plain[j], False, *middle)
+                            if len(middle) == 2 or not plain[j] or not known(plain[j]):
                                 break
-            yield pd.DataFrame(out, columns=["row_idx", "kind", "start", "stop", "run", "value", "left", "right", "first", "last", "turned"])
+                            middle.append(plain[j])
+            yield pd.DataFrame(out, columns=["row_idx", "kind", "start", "stop", "run", "value", "left", "right", "first", "m1", "m2", "last", "turned"])
 
     return run
 
@@ -178,14 +214,12 @@ def gazetteers(mail: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFra
     return given, family
 
 
-def _voted(mail: DataFrame, contacts: DataFrame, max_given: int = 100_000) -> DataFrame:
-    """Candidate spans of all fields with their four votes."""
+def _voted(mail: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Candidate spans of all fields with their four votes and the classifier's features."""
     given, family = gazetteers(mail, contacts)
     given = checkpointed(given)
-    few = given.count() <= max_given
-    names = frozenset(r[0] for r in given.select("token").collect()) if few else frozenset()  # bounded by max_given
-    known = mail.sparkSession.sparkContext.broadcast(names)
-    body = mail.select("row_idx", "body").filter("length(body) > 0").mapInPandas(_spans(known), "row_idx long, kind string, start int, stop int, run int, value string, left string, right string, first string, last string, turned boolean").withColumns({"field": F.lit("body"), "item": F.lit(0)})
+    names = mail.sparkSession.sparkContext.broadcast(_name_filter(given))
+    body = mail.select("row_idx", "body").filter("length(body) > 0").mapInPandas(_spans(names), "row_idx long, kind string, start int, stop int, run int, value string, left string, right string, first string, m1 string, m2 string, last string, turned boolean").withColumns({"field": F.lit("body"), "item": F.lit(0)})
     entries = mail.select("row_idx", F.explode(F.concat(F.array(F.struct(F.lit("sender").alias("field"), F.lit(0).alias("item"), F.col("sender").alias("e"))), F.transform(F.coalesce("recipients", F.array().cast("array<string>")), lambda e, i: F.struct(F.lit("recipients").alias("field"), i.alias("item"), e.alias("e"))))).alias("x")).select("row_idx", "x.field", "x.item", F.coalesce("x.e", F.lit("")).alias("e"))
     address = entries.select("row_idx", "field", "item", "e", F.lit("email").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("e", F.lit(r"[^\s<>()\"]+@[^\s<>()\"]+\.[^\s<>()\"]+"), F.lit(0)))).alias("value"))
     person = F.regexp_replace(F.regexp_replace(entry_name(F.col("e")), r"^(?i:cn=)", ""), r"[/@].*$", "")
@@ -195,10 +229,14 @@ def _voted(mail: DataFrame, contacts: DataFrame, max_given: int = 100_000) -> Da
     front = F.col("value").contains(",") | (F.length(F.element_at("w", -1)) == 1)
     first, last = _letters(F.when(front, F.element_at("w", 2)).otherwise(F.element_at("w", 1))), _letters(F.when(front, F.element_at("w", 1)).otherwise(F.element_at("w", -1)))
     empty = F.lit("")
-    whole = lambda df, a, b: df.withColumn("start", F.explode(F.expr("filter(sequence(0, length(e) - 1), i -> substring(e, i + 1, length(value)) = value)"))).select("row_idx", "kind", "start", (F.col("start") + F.length("value")).alias("stop"), F.lit(0).alias("run"), "value", empty.alias("left"), empty.alias("right"), a.alias("first"), b.alias("last"), F.lit(False).alias("turned"), "field", "item")
+    whole = lambda df, a, b: df.withColumn("start", F.explode(F.expr("filter(sequence(0, length(e) - 1), i -> substring(e, i + 1, length(value)) = value)"))).select("row_idx", "kind", "start", (F.col("start") + F.length("value")).alias("stop"), F.lit(0).alias("run"), "value", empty.alias("left"), empty.alias("right"), a.alias("first"), empty.alias("m1"), empty.alias("m2"), b.alias("last"), F.lit(False).alias("turned"), "field", "item")
     spans = body.unionByName(whole(address, empty, empty)).unionByName(whole(named, first, last))
 
     spans = sized_join(spans, given.withColumnRenamed("token", "first"), "first", "left")
+    # what the filter let pass and is no given name
+    spans = spans.filter((F.col("kind") != "name") | (F.col("field") != "body") | (F.col("first") == "") | F.col("given"))
+    for middle in ("m1", "m2"):
+        spans = sized_join(spans, given.select(F.col("token").alias(middle), F.col("given").alias(f"{middle}_given")), middle, "left").filter(f"{middle} = '' or {middle}_given").drop(f"{middle}_given")
     spans = sized_join(spans, family.withColumnRenamed("token", "last"), "last", "left")
     left, right, value, field = F.lower("left"), F.lower("right"), F.lower("value"), F.col("field")
     flat = F.regexp_replace(left, r"[\s>|]+", " ")  # cues may be broken over lines
@@ -206,7 +244,7 @@ def _voted(mail: DataFrame, contacts: DataFrame, max_given: int = 100_000) -> Da
     own = flat.rlike(rf"{_any(PERSON_NUMBER_WORDS)}(?:[^.;]|no\.){{0,24}}$")
     firm = value.rlike(rf"\b{_any(BODY_WORDS + sorted(FIRM_WORDS))}\b") | right.rlike(rf"^[\s>|]+{_any(BODY_WORDS)}\b")
     is_given, is_family, initial = F.coalesce("given", F.lit(False)), F.coalesce("family", F.lit(False)), F.coalesce(F.length("first") <= 1, F.lit(False))
-    turned, broken = F.col("turned"), F.col("value").contains("\n")
+    turned, broken, long = F.col("turned"), F.col("value").contains("\n"), F.col("m1") != ""
     name_before = flat.rlike(r"(?:\bto:|\bfrom:|\bcc:|\bfrom|\bby|\bwith|\bcopy|\bschrieb|\bwrote|\b\d{4},|\bdr\.|\bmr\.|\bms\.|\bmrs\.|\bprof\.|\basked|\btell) $|^$") | left.rlike(r"\n[>| \t]*$")
     name_after = right.rlike(r"^[\s>|]*(?:wrote|called|will|said|asked|who|on the|about|<|\[mailto|\n|-----|on \d|:)") | (F.col("right") == "")
     address_like = value.rlike(r"@[a-z0-9.-]+\.[a-z]{2,}$|(?:at|@)\W*[a-z0-9-]+\W+(?:dot|\.)\W*[a-z]{2,}")
@@ -215,12 +253,16 @@ def _voted(mail: DataFrame, contacts: DataFrame, max_given: int = 100_000) -> Da
         "phone": (F.length(F.regexp_replace("value", r"(?i)(?:x|ext).*$|\D", "")).between(9, 15) & ~value.rlike(r"^\d{10}$"), value.rlike(r"^\+|^\(|^1[-.]|\d{3}[-.]\d{3}[-.]\d{4}"), left.rlike(r"(?:phone|tel|fax|mobile|cell|call|line is|me on|\bt|\bm|to|at|\n)[.:]?[\s>|]*$"), ~thing),
         "id_number": (value.rlike(r"^\d{3}[-\s].|^[a-z]-|^[a-z]{1,2}\s*\d|^\d{9}$"), own & ~value.rlike(r"^\d{3}-\d{4}-"), own, ~thing),
         "street": (F.lit(True), F.col("value").rlike(rf"(?i)\b(?:{_STREET_WORDS}|rue|avenue|boulevard|place)\b|weg\b|stra|str\.|platz|gasse|allee"), left.rlike(r"(?:\n[>| \t]*|\bto|\bat|\bof)\s*$") | right.rlike(r"^\.?\s*\n"), ~thing),
-        "name": ((is_given | initial | (field != "body")) & ~firm & (~turned | (is_family & (field == "body")) | (field != "body")), (is_given & (is_family | ~broken)) | (initial & is_family) | (is_family & (field != "body")), F.when(field != "body", True).otherwise(name_before | name_after), ~firm & ~left.rlike(r"\d[\s>|]+$") & ~value.rlike(rf"\s(?:{_STREET_WORDS.lower()})$")),
+        "name": ((is_given | initial | (field != "body")) & ~firm & (~turned | (is_family & (field == "body")) | (field != "body")) & (~long | is_family), (is_given & (is_family | ~(broken | long))) | (initial & is_family) | (is_family & (field != "body")), F.when(field != "body", True).otherwise(name_before | name_after), ~firm & ~left.rlike(r"\d[\s>|]+$") & ~value.rlike(rf"\s(?:{_STREET_WORDS.lower()})$")),
     }
     for n, vote in enumerate(VOTES):
         chosen = F.coalesce(*[F.when(F.col("kind") == k, votes[k][n]) for k in KINDS])
         spans = spans.withColumn(vote, F.coalesce(chosen, F.lit(False)))
-    return spans.select("row_idx", "field", "item", "kind", "start", "stop", "run", key(F.col("value")).alias("value_key"), *VOTES)
+    pattern = F.concat_ws("", *[F.col(v).cast("int").cast("string") for v in VOTES])
+    shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("value"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\d", "9"), 1, 24)
+    told = [F.lit(""), pattern, F.concat(pattern, F.lit(" "), shape), F.regexp_extract(flat, r"(\S+) ?$", 1), F.regexp_extract(right, r"^[\s>|]*(\S+)", 1), field]
+    features = F.array(*[F.pmod(F.xxhash64("kind", F.lit(n), f), F.lit(BUCKETS)).cast("int") for n, f in enumerate(told)])
+    return spans.select("row_idx", "field", "item", "kind", "start", "stop", "run", key(F.col("value")).alias("value_key"), *VOTES, features.alias("features"))
 
 
 def reliabilities(counts: pd.DataFrame, rounds: int = 50, belief: float = 0.9, weight: float = 0.25) -> pd.DataFrame:
@@ -246,32 +288,42 @@ def reliabilities(counts: pd.DataFrame, rounds: int = 50, belief: float = 0.9, w
     return pd.concat(found) if found else counts.assign(posterior=0.0)
 
 
-def classifier(labelled: pd.DataFrame, rounds: int = 400, rate: float = 0.5) -> pd.DataFrame:
-    """Probability of each pattern by a logistic model of kind and votes, trained on the posteriors weighted by their counts."""
-    if labelled.empty:
-        return labelled.assign(p=0.0)
-    kinds = np.stack([(labelled["kind"] == k).to_numpy(float) for k in KINDS], 1)
-    votes = labelled[VOTES].to_numpy(float) * 2 - 1
-    x = np.concatenate([kinds, (kinds[:, :, None] * votes[:, None, :]).reshape(len(labelled), -1)], 1)
-    y = labelled["posterior"].to_numpy()
-    share = labelled["n"].to_numpy(float) / labelled.groupby("kind")["n"].transform("sum").to_numpy()
-    share = share + 0.02  # rare patterns count a little
-    w = np.zeros(x.shape[1])
+def classifier(features: np.ndarray, belief: np.ndarray, share: np.ndarray, rounds: int = 300, rate: float = 0.5, pull: float = 1e-5) -> np.ndarray:
+    """Weights by bucket of a logistic model of the spans' features (n x k buckets), trained on their posteriors ``belief``."""
+    w, seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= rate * (x.T @ (share * (p - y)) + 1e-4 * w)
-    return labelled.assign(p=1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
-
-
-def personal_spans(mail: DataFrame, contacts: DataFrame, accept: float = 0.5) -> DataFrame:
-    """(row_idx, field, item, kind, start, stop, value_key): the accepted spans; start and stop are code points of the body or of the entry, item is the entry's place in its field, from 0."""
+        p = 1 / (1 + np.exp(-np.clip(w[features].sum(1), -30, 30)))
+        slope = np.bincount(features.ravel(), np.repeat(share * (p - belief), features.shape[1]), BUCKETS) + pull * w
+        seen += slope**2
+        w -= rate * slope / np.sqrt(seen)
+    return w
+
+
+def _trained(spans: DataFrame, sample: int) -> np.ndarray:
+    """Weights of the span classifier: posteriors from the votes of all spans, trained on about ``sample`` spans of each kind and vote pattern, chosen by hash."""
+    by = ["kind", *VOTES]
+    counts = spans.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most kinds x 2 ** votes
+    if counts.empty:
+        return np.zeros(BUCKETS)
+    judged, parts = reliabilities(counts), 1 << 20
+    judged["keep"] = np.minimum(parts, np.ceil(parts * sample / judged["n"])).astype(int)
+    rates = F.broadcast(spans.sparkSession.createDataFrame(judged[[*by, "keep"]]))  # a row for each pattern
+    chosen = spans.join(rates, by).filter(F.pmod(F.xxhash64("row_idx", "field", "item", "start", "stop"), F.lit(parts)) < F.col("keep"))
+    local = chosen.select(*by, "features").limit(2 * sample * len(judged)).toPandas().merge(judged, on=by)
+    # a pattern weighs as its part of its kind; rare ones count a little
+    part = judged["n"] / judged.groupby("kind")["n"].transform("sum") + 0.02
+    share = local[by].merge(judged[by].assign(part=part), on=by)["part"].to_numpy() / local.groupby(by)["n"].transform("size").to_numpy(float)
+    return classifier(np.stack(local["features"].to_numpy()), local["posterior"].to_numpy(), share)
+
+
+def personal_spans(mail: DataFrame, contacts: DataFrame, sample: int = 4_000) -> DataFrame:
+    """(row_idx, field, item, kind, start, stop, value_key): the accepted spans; start and stop are code points of the body or of the entry, item is the entry's place in its field, from 0.
+
+    ``sample`` is about the number of spans of each kind and vote pattern that the classifier is trained on.
+    """
     spans = checkpointed(_voted(mail, contacts))
-    counts = spans.groupBy("kind", *VOTES).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most kinds x 2 ** votes
-    judged = classifier(reliabilities(counts))
-    good = {(r.kind, *(bool(getattr(r, v)) for v in VOTES)) for r in judged.itertuples() if r.p >= accept}
-    schema = "kind string, " + ", ".join(f"{v} boolean" for v in VOTES)
-    patterns = mail.sparkSession.createDataFrame(sorted(good), schema)
-    accepted = spans.join(F.broadcast(patterns), ["kind", *VOTES], "left_semi")
+    weights = F.from_json(F.lit(json.dumps([round(x, 6) for x in _trained(spans, sample)])), "array<double>")
+    accepted = spans.filter(F.aggregate("features", F.lit(0.0), lambda s, i: s + F.get(weights, i)) > 0)
     alone = accepted.filter("kind <> 'name' or field <> 'body'")
     # of the candidates of one run of words, those inside no other
     names = accepted.filter("kind = 'name' and field = 'body'")

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import xxhash
 
 from mailweave.llm import components, encoding, leakage, mixture, names, neardup, newtext, pii, queries, spans
 
@@ -274,3 +275,21 @@ def test_short_and_repeated_names(spark):
     rows = [{"sender": "Bob Li <robert@firm.example>"}, {"sender": "Bob Lu <robert@firm.example>"}, {"sender": "Robert Roberts <x@y.example>"}, {"sender": "RLi"}, {"sender": "A. Roberts <ann.roberts@firm.example>"}, {"sender": "A. Roberts <albert.roberts@firm.example>"}]
     got = {tuple(r) for r in names.linked_entries(mail(spark, rows), directory).collect()}
     assert got == {(1, "sender", 1), (4, "sender", 1)}
+
+
+def test_names_of_three_parts(spark):
+    directory = contacts(spark, (("Anna Silver", "person"), ("Maria Kelisemire", "person"), ("Peter Schmidt", "person")))
+    body = "Yesterday Anna Maria Schmidt called.\nRegards from Maria P. Schmidt and Anna Maria.\nAnna Maria Monday Report"
+    got = {r.value_key for r in pii.found(mail(spark, [{"body": body}]), directory).collect()}
+    assert "annamariaschmidt" in got and "mariapschmidt" in got and not got & {"mariaschmidt", "annamariamonday", "annamariamondayreport"}
+
+
+def test_name_filter_lets_all_given_names_pass(spark):
+    words = [f"name{i}" for i in range(2000)]
+    bits, mask = pii._name_filter(spark.createDataFrame([(w,) for w in words], "token string")), (1 << pii.FILTER_BITS) - 1
+
+    def held(word):
+        h = xxhash.xxh64_intdigest(word, seed=42)
+        return all(bits[p >> 3] >> (p & 7) & 1 for p in (h & mask, h >> pii.FILTER_BITS & mask))
+
+    assert all(map(held, words)) and sum(held(f"other{i}") for i in range(2000)) < 20
