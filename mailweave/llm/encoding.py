@@ -1,10 +1,12 @@
-"""Garbled text from wrong character encoding: code-page swaps as substitution ciphers, weighed by expectation-maximisation.
+"""Garbled text from wrong character encoding: code-page swaps as substitution ciphers, learned by expectation-maximisation.
 
-A swap writes each byte of the original UTF-8 as one symbol of another code page. Such a page is a substitution cipher from
-symbols to bytes; its table turns the symbols of a stretch back into bytes with ``translate()``, and the bytes into letters.
-Which cipher a mailbox's stretches went through is unknown: every stretch has one hypothesis per distinct restoration, scored
-by bigrams of characters counted over the clean text of all rows, and expectation-maximisation learns each mailbox's weights
-of the pages and from them the restoration of each stretch. Text that was swapped twice is restored in as many passes.
+A swap writes each byte of the original UTF-8 as one symbol of another code page, which makes it a substitution cipher of
+symbols for bytes. Which ciphers a source (a mailbox) went through is unknown. Public code pages are the prior: each proposes
+readings of a stretch of symbols. Every reading is scored by bigrams of characters counted over the clean text of all rows,
+and expectation-maximisation learns each source's weights of the ciphers and from them the reading of each stretch. The
+readings that win give each source its own table of symbols to bytes, of nothing but symbols that occur there; the table is
+applied with ``translate()``, whose result holds one character per byte, and the bytes are read as UTF-8. Text that was
+swapped twice by one page is restored by applying the table as often; by different pages, in as many passes.
 
 Defined results: null, empty and pure ASCII bodies are no case; a body with a replacement character is a case whose original
 is lost; repeated rows count once each; an empty table gives no rows; other columns are ignored.
@@ -12,11 +14,7 @@ is lost; repeated rows count once each; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailweave.sources.tables import checkpointed
@@ -31,48 +29,56 @@ _RUN = "[^\\x00-\\x7F]{2,}"
 _ODD = "[^\\x00-\\x7F]"
 
 
+#: Characters that stand for the bytes from 128 on.
+_BYTES = "".join(chr(b) for b in range(128, 256))
+#: UTF-8 of one character beyond ASCII, a character for each byte.
+_UTF8 = "|".join(["[\u00C2-\u00DF][\u0080-\u00BF]", "\u00E0[\u00A0-\u00BF][\u0080-\u00BF]", "[\u00E1-\u00EC\u00EE\u00EF][\u0080-\u00BF]{2}", "\u00ED[\u0080-\u009F][\u0080-\u00BF]", "\u00F0[\u0090-\u00BF][\u0080-\u00BF]{2}", "[\u00F1-\u00F3][\u0080-\u00BF]{3}", "\u00F4[\u0080-\u008F][\u0080-\u00BF]{2}"])
+#: Stands for what is no symbol of a table.
+_NONE = "\ue000"
+_SWAPPED = 3
+
+
 def symbols(page: str) -> str:
-    """The 256 symbols of a code page by byte; bytes that it leaves open stand for themselves."""
-    return "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in range(256))
-
-
-def _decode(run: str, table: dict[str, int]) -> str | None:
-    """The run with every stretch that is UTF-8 under the page's table restored; null where there is none."""
-    out, i, hit = [], 0, False
-    while i < len(run):
-        lead = table.get(run[i], 0)
-        n = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
-        if n and i + n <= len(run):
-            try:
-                out.append(bytes(table[c] for c in run[i : i + n]).decode("utf-8"))
-                i, hit = i + n, True
-                continue
-            except (KeyError, UnicodeDecodeError):
-                pass
-        out.append(run[i])
-        i += 1
-    return "".join(out) if hit else None
-
-
-def _hypotheses(pages: list[str]):
-    """Task: the restorations of each run (run, page, restored); page '' leaves it as it is."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = {p: {s: b for b, s in enumerate(symbols(p)) if b >= 128} for p in pages}
-        for batch in batches:
-            found = []
-            for text in batch["run"]:
-                for p, table in tables.items():
-                    restored: str | None = text
-                    for _ in range(3):  # swapped again and again by the same page: as often as reads best
-                        if (restored := _decode(restored, table)) is None:
-                            break
-                        if not any(unicodedata.category(c) in ("Co", "Cn") for c in restored):  # nobody writes these
-                            found.append((text, p, restored))
-                found.append((text, "", text))
-            yield pd.DataFrame(found, columns=["run", "page", "restored"])
-
-    return run
+    """The symbols of a code page for the bytes from 128 on; bytes that it leaves open stand for themselves."""
+    return "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in range(128, 256))
+
+
+def _translate(text: Column, symbols: Column, by: Column) -> Column:
+    return F.call_function("translate", text, symbols, by)
+
+
+def _bytes_of(text: Column, table: Column) -> Column:
+    """The text with each symbol of the table as the character of its byte, all others as none."""
+    others = _translate(F.lit(_BYTES), table["symbols"], F.lit(""))  # characters of bytes that are no symbols here
+    marked = _translate(text, others, F.rpad(F.lit(""), F.length(others), F.lit(_NONE)))
+    return _translate(marked, table["symbols"], table["bytes"])
+
+
+def _with_read(df: DataFrame, text: str, table: str, out: str) -> DataFrame:
+    """Adds the text with every stretch that is UTF-8 under the table restored; null where there is none."""
+    step = lambda acc, x: F.struct(
+        F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(x["gap"])), F.decode(F.encode(x["unit"], "ISO-8859-1"), "UTF-8")).alias("out"), (acc["at"] + F.length(x["gap"]) + F.length(x["unit"])).alias("at")
+    )
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
+    pairs = F.arrays_zip(F.slice("_gaps", 1, F.size("_units")).alias("gap"), F.col("_units").alias("unit"))
+    read = F.when(F.size("_units") > 0, F.aggregate(pairs, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, rest))
+    coded = df.withColumn("_coded", _bytes_of(F.col(text), F.col(table)))
+    coded = coded.withColumns({"_units": F.regexp_extract_all("_coded", F.lit(_UTF8), F.lit(0)), "_gaps": F.split("_coded", _UTF8, -1)})
+    return coded.withColumn(out, read).drop("_coded", "_units", "_gaps")
+
+
+def _readings(runs: DataFrame, pages: list[str]) -> DataFrame:
+    """(run, page, restored, steps): the readings of each run, with what it read before each; page '' leaves it as it is."""
+    tables = F.array(*[F.struct(F.lit(p).alias("page"), F.lit(symbols(p)).alias("symbols"), F.lit(_BYTES).alias("bytes")) for p in pages])
+    # rows of one table together: translate() keeps its last table
+    each = runs.withColumn("t", F.explode(tables)).withColumn("r0", F.col("run")).sortWithinPartitions("t.page")
+    for k in range(_SWAPPED):  # swapped again and again by the same page: as often as reads best
+        each = _with_read(each, f"r{k}", "t", f"r{k + 1}")
+    found = F.array(*[F.struct(F.col(f"r{k + 1}").alias("restored"), F.array(*[f"r{j}" for j in range(k + 1)]).alias("steps")) for k in range(_SWAPPED)])
+    read = each.select("run", F.col("t.page").alias("page"), F.explode(found).alias("f")).select("run", "page", "f.restored", "f.steps")
+    # nobody writes private and unassigned characters
+    read = read.filter(F.col("restored").isNotNull() & ~F.col("restored").rlike(r"[\p{Co}\p{Cn}]"))
+    return read.unionByName(runs.select("run", F.lit("").alias("page"), F.col("run").alias("restored"), F.array().cast("array<string>").alias("steps")))
 
 
 def bigram_counts(mail: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,8 +117,9 @@ def learned_restorations(mail: DataFrame, pages: list[str], model: tuple[DataFra
     seen = mail.filter(F.col("body").rlike(_RUN)).select(mailbox.alias("mailbox"), F.explode(spot).alias("spot"))
     seen = seen.select("mailbox", F.regexp_extract("spot", _RUN, 0).alias("run"), F.regexp_extract("spot", "^[\\x00-\\x7F]", 0).alias("left"), F.regexp_extract("spot", "[\\x00-\\x7F]$", 0).alias("right"))
     seen = checkpointed(seen.groupBy("mailbox", "run", "left", "right").agg(F.count(F.lit(1)).alias("times")))
-    options = seen.select("run").distinct().mapInPandas(_hypotheses(pages), "run string, page string, restored string")
-    scored = checkpointed(_scored(seen.join(options, "run"), *model))
+    runs = seen.select("run").distinct().repartition(int(mail.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run")  # narrow rows, much work each
+    options = checkpointed(_readings(runs, pages))
+    scored = checkpointed(_scored(seen.join(options.drop("steps"), "run"), *model))
     spotted = ["mailbox", "run", "left", "right"]
     # the identity is one more page; pages start equal
     weights = scored.select("mailbox", "page").distinct().withColumn("weight", F.lit(1.0))
@@ -126,9 +133,20 @@ def learned_restorations(mail: DataFrame, pages: list[str], model: tuple[DataFra
     final = scored.join(weights, ["mailbox", "page"]).withColumn("p", F.col("weight") * F.exp("score"))
     # pages that read a stretch alike add up, and so do the places where a mailbox has it
     total = final.groupBy(*spotted).agg(F.sum("p").alias("total"))
-    shares = final.join(total, spotted).groupBy("mailbox", "run", "restored").agg(F.sum(F.col("p") / F.col("total") * F.col("times")).alias("share"))
-    top = shares.groupBy("mailbox", "run").agg(F.max_by("restored", F.struct("share", "restored")).alias("restored"))
-    return top.filter("restored <> run")
+    shares = checkpointed(final.join(total, spotted).groupBy("mailbox", "run", "restored", "page").agg(F.sum(F.col("p") / F.col("total") * F.col("times")).alias("share")))
+    alike = shares.groupBy("mailbox", "run", "restored").agg(F.sum("share").alias("share"), F.max_by("page", F.struct("share", "page")).alias("page"))
+    won = alike.groupBy("mailbox", "run").agg(F.max_by(F.struct("restored", "page"), F.struct("share", "restored")).alias("w"))
+    won = won.select("mailbox", "run", "w.restored", "w.page").filter("restored <> run").join(options, ["run", "restored", "page"])
+    # each source's own table of every cipher, of the symbols that its readings turned into bytes
+    public = F.create_map(*[x for p in pages for x in (F.lit(p), F.struct(F.lit(symbols(p)).alias("symbols"), F.lit(_BYTES).alias("bytes")))])
+    used = won.select("mailbox", "page", F.explode(F.array_distinct(F.split(F.array_join("steps", ""), ""))).alias("symbol")).distinct().withColumn("byte", _translate(F.col("symbol"), public[F.col("page")]["symbols"], F.lit(_BYTES))).filter(F.length("symbol") > 0).filter(F.contains(public[F.col("page")]["symbols"], F.col("symbol")))
+    tables = used.groupBy("mailbox", "page").agg(F.array_sort(F.collect_list(F.struct("symbol", "byte"))).alias("s"))  # at most 128 symbols
+    tables = tables.select("mailbox", "page", F.struct(F.array_join("s.symbol", "").alias("symbols"), F.array_join("s.byte", "").alias("bytes")).alias("table"))
+    out = won.join(tables, ["mailbox", "page"]).select("mailbox", "run", "table", F.size("steps").alias("times"))
+    out = out.withColumn("restored", F.col("run"))
+    for k in range(_SWAPPED):
+        out = _with_read(out, "restored", "table", "_next").withColumn("restored", F.when(F.col("times") > k, F.col("_next")).otherwise(F.col("restored"))).drop("_next")
+    return out.select("mailbox", "run", "restored")
 
 
 def restored_bodies(mail: DataFrame, pages: list[str] | None = None, passes: int = 2) -> DataFrame:

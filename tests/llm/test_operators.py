@@ -293,3 +293,13 @@ def test_name_filter_lets_all_given_names_pass(spark):
         return all(bits[p >> 3] >> (p & 7) & 1 for p in (h & mask, h >> pii.FILTER_BITS & mask))
 
     assert all(map(held, words)) and sum(held(f"other{i}") for i in range(2000)) < 20
+
+
+def test_readings_by_translate(spark):
+    """The readings of a page undo the page, in part where the rest is no symbol of it, and as often as it was applied."""
+    once = "é€’".encode().decode("cp1252")
+    runs = [once, once.encode().decode("cp1252"), "é".encode().decode("mac_roman"), "çã", "├──"]
+    read = encoding._readings(spark.createDataFrame([(r,) for r in runs], "run string"), ["cp1252", "mac_roman"])
+    got = {(r.run, r.page, len(r.steps)): r.restored for r in read.collect()}
+    assert got[(once, "cp1252", 1)] == "é€’" and got[(runs[1], "cp1252", 2)] == "é€’" and got[(runs[2], "mac_roman", 1)] == "é"
+    assert {k for k in got if k[0] in ("çã", "├──")} == {("çã", "", 0), ("├──", "", 0)}
