@@ -4,10 +4,12 @@ Each record's set of word shingles is sketched as ``groups`` 64-bit words of sev
 the points of the projective plane of order two; for each of its seven lines there is one bit mask that ignores the line's
 three fields and keeps the other four. Any two differing fields lie on a line, so two words that differ in at most two fields
 agree under some mask: every pair of records that differs in fewer than ``3 * groups`` fields collides in some table. Beyond
-that radius collisions are likely, not certain. Colliding pairs are thinned by their sketches, well below the threshold, and
-verified by the exact Jaccard similarity of their shingle sets.
+that radius collisions are likely, not certain. Every colliding pair whose sizes allow the similarity is verified by the
+Jaccard similarity of the whole shingle sets; in a pair of texts shingles are told apart by 32 bits, which takes two different
+ones for equal once in a hundred thousand pairs and so can only matter for a pair that misses the threshold by one shingle.
 
-Records with equal shingle sets are sketched once; the pairs between them and their partners are written out at the end.
+Records with equal shingle sets are sketched once. ``similar_groups`` gives every record its group; ``similar_pairs`` writes
+out the pairs between copies and their partners as well.
 
 Defined results: null texts count as empty; records of fewer than ``least`` distinct shingles have no partner; an empty table
 gives no rows; other columns are ignored; row ids are taken as unique.
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweave.llm.arrays import Words, chunks, mix, seeds
+from mailweave.llm.components import components
 from mailweave.sources.tables import checkpointed, sized_join
 
 FIELDS, BITS = 7, 9
@@ -81,25 +84,8 @@ def _shingle_sets(width: int):
     return run
 
 
-def _agreement(x: str, y: str, groups: int) -> Column:
-    """Fields in which two sketches agree."""
-    low = sum(1 << (BITS * f) for f in range(FIELDS))
-    total = F.lit(0)
-    for g in range(groups):
-        differ = F.col(x)[g].bitwiseXOR(F.col(y)[g])
-        any_bit = differ
-        for k in range(1, BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(differ, k))
-        total = total + (FIELDS - F.bit_count(any_bit.bitwiseAND(F.lit(low))))
-    return total
-
-
-def similar_pairs(texts: DataFrame, similarity: float = 0.6, width: int = 3, least: int = 20, groups: int = 9, thinning: float = 0.35) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of ``texts`` (id long, text string) whose shingle sets reach ``similarity``.
-
-    ``thinning`` is the share of agreeing fields below which a colliding pair is dropped unverified; with 63 fields a pair at
-    similarity 0.6 falls below 0.35 less often than once in ten thousand.
-    """
+def representative_pairs(texts: DataFrame, similarity: float = 0.6, width: int = 3, least: int = 20, groups: int = 9) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of representatives whose shingle sets reach ``similarity``, and (id, rep) of the records that have copies."""
     sketched = texts.select("id", "text").mapInPandas(_sketches(width, groups, least), "id long, size int, set_a long, set_b long, words array<long>")
     sketched = checkpointed(sketched)
     sets = sketched.groupBy("set_a", "set_b", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -109,19 +95,21 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.6, width: int = 3, lea
     masks = F.array(*[F.lit(x) for x in MASKS])
     keyed = F.transform(F.col("words"), lambda w, g: F.transform(masks, lambda k, t: F.xxhash64(w.bitwiseAND(k), g * len(MASKS) + t)))
     tables = single.select("id", F.explode(F.flatten(keyed)).alias("key"))
-    a, b = tables.withColumnRenamed("id", "a"), tables.withColumnRenamed("id", "b")
-    collided = a.join(b, "key").filter("a < b").select("a", "b").distinct()
-    words_a, words_b = single.select(F.col("id").alias("a"), F.col("size").alias("n"), F.col("words").alias("x")), single.select(F.col("id").alias("b"), F.col("size").alias("m"), F.col("words").alias("y"))
+    collided = tables.withColumnRenamed("id", "a").join(tables.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b").distinct()
     near = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    likely = collided.join(words_a, "a").join(words_b, "b").filter(near).filter(_agreement("x", "y", groups) >= int(thinning * FIELDS * groups)).select("a", "b")
-    likely = checkpointed(likely)
-    # exact: sets of the texts that are still in question only
+    sized = collided.join(single.select(F.col("id").alias("a"), F.col("size").alias("n")), "a").join(single.select(F.col("id").alias("b"), F.col("size").alias("m")), "b")
+    likely = checkpointed(sized.filter(near).select("a", "b"))
+    # whole sets of the texts that are still in question only
     asked = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     exact = checkpointed(sized_join(texts.select("id", "text"), asked, "id", "left_semi").mapInPandas(_shingle_sets(width), "id long, set array<int>"))
     both = likely.join(exact.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(exact.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    pairs = both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), copies
 
+
+def similar_pairs(texts: DataFrame, **settings) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs of ``texts`` (id long, text string) whose shingle sets reach the similarity."""
+    pairs, copies = representative_pairs(texts, **settings)
     of_a, of_b = copies.select(F.col("rep").alias("a"), F.col("id").alias("ca")), copies.select(F.col("rep").alias("b"), F.col("id").alias("cb"))
     spread = pairs.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
     crossed = spread.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -129,8 +117,23 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.6, width: int = 3, lea
     return crossed.unionByName(inside)
 
 
+def similar_groups(texts: DataFrame, **settings) -> DataFrame:
+    """(id, group): the records of ``texts`` that have a similar one, and the least id of all that are tied to it, directly or through others."""
+    pairs, copies = representative_pairs(texts, **settings)
+    ties = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies.filter("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")))
+    return components(ties).select(F.col("vertex").alias("id"), F.col("label").alias("group"))
+
+
+def _texts(mail: DataFrame) -> DataFrame:
+    blank = F.lit("")
+    return mail.select(F.col("row_idx").alias("id"), F.concat_ws(" ", F.coalesce("subject", blank), F.coalesce("body", blank)).alias("text"))
+
+
 def similar_mail(mail: DataFrame, **settings) -> DataFrame:
     """(row_idx_a, row_idx_b): pairs of rows alike in subject and body."""
-    blank = F.lit("")
-    texts = mail.select(F.col("row_idx").alias("id"), F.concat_ws(" ", F.coalesce("subject", blank), F.coalesce("body", blank)).alias("text"))
-    return similar_pairs(texts, **settings).select(F.col("id_a").alias("row_idx_a"), F.col("id_b").alias("row_idx_b"))
+    return similar_pairs(_texts(mail), **settings).select(F.col("id_a").alias("row_idx_a"), F.col("id_b").alias("row_idx_b"))
+
+
+def grouped_mail(mail: DataFrame, **settings) -> DataFrame:
+    """(row_idx, group_row): the rows alike to others and the least row of each group."""
+    return similar_groups(_texts(mail), **settings).select(F.col("id").alias("row_idx"), F.col("group").alias("group_row"))

@@ -23,6 +23,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_mail(load(spark, d, "email_structure"))
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.grouped_mail(load(spark, d, "email_structure"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.reply_groups(load(spark, d, "email_structure"))
 
@@ -65,5 +69,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p5_found, p6_found, p7_found, p7_new_text, p8_found, p9_mixture, p9_shares, p10_found, p10_shared)
+    f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p7_new_text, p8_found, p9_mixture, p9_shares, p10_found, p10_shared)
 }

@@ -27,3 +27,6 @@ SELECT DISTINCT doc_id, item_id FROM gi JOIN gd USING (g)""",
 m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), x AS (SELECT * FROM w WHERE h IN (SELECT h FROM m))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
+
+SQL["p3_groups"] = f"""WITH RECURSIVE e AS ({SQL["p3_found"]}), b AS (SELECT row_idx_a AS u, row_idx_b AS v FROM e UNION SELECT row_idx_b, row_idx_a FROM e),
+reach(x, y) AS (SELECT DISTINCT u, u FROM b UNION SELECT reach.x, b.v FROM reach JOIN b ON b.u = reach.y) SELECT x AS row_idx, min(y) AS group_row FROM reach GROUP BY x"""
