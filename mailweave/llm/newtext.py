@@ -24,11 +24,8 @@ CLOSINGS = [
     "cheers", "many thanks", "sincerely", "yours sincerely", "regards", "best", "thanks", "best regards", "kind regards", "warm regards", "all the best", "best wishes", "thank you", "thanks again", "thx", "rgds",
     "yours truly", "respectfully", "cordially", "take care", "viele grüße", "mit freundlichen grüßen", "beste grüße", "gruß", "grüße", "cordialement", "bien à vous", "merci", "saludos", "un saludo", "atentamente", "gracias", "atenciosamente", "abraços", "obrigado",
 ]
-# Words of legal notices.
-NOTICE_CUES = [
-    "intended recipient", "information contained in this e-?mail", "privileged and confidential", "confidential facts", "e-?mail and any attachments", "forms an offer, an order", "not those of the company", "reached you by mistake", "do not copy, pass on or rely", "remove every copy",
-    "may contain confidential", "strictly prohibited", "notify the sender",
-]
+# Common words of legal notices.
+NOTICE_CUES = ["intended recipient", "information contained in this e-?mail", "privileged and confidential", "e-?mail and any attachments", "may contain confidential", "strictly prohibited", "notify the sender"]
 
 _NAME = r"\p{Lu}[\p{L}'’-]*\.?(?: \p{Lu}[\p{L}'’-]*\.?){0,4}"
 #: Header blocks of older mail; all after them is old.
