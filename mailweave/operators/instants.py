@@ -3,7 +3,7 @@
 The text is brought to one pipe-separated form by a regular expression per notation, then to a local time plus either a
 numeric offset or a time zone name. Local times of a named zone are joined, as of their local year, to the zone's offset
 intervals laid out in local time: two intervals that hold the time make it ambiguous, none makes it nonexistent, one gives
-the offset.
+the offset. Intervals are laid out for the zones and years that occur, whatever they are.
 
 Defined results: a null, empty, partial, impossible, ambiguous or nonexistent time gives no row; an empty table gives no
 rows; a row whose mailbox is unknown is usable only if its text carries a zone; repeated rows give repeated results; other
@@ -15,12 +15,14 @@ from __future__ import annotations
 import bisect
 import zoneinfo
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailweave.sources.tables import checkpointed, sized_join
+
 # Zone letters and their offsets in minutes.
 ZONE_LETTERS = {
     "AKDT": -480, "AKST": -540, "ADT": -180, "AST": -240, "BST": 60, "CDT": -300, "CEST": 120, "CET": 60, "CST": -360,
@@ -61,7 +63,7 @@ def parsed(t: Column) -> Column:
 
 
 def local_times(rows: DataFrame, text: str, day_first: str, home_zone: str) -> DataFrame:
-    """Adds local_us (wall time in microseconds), offset_s or zone, and epoch_us to each row that denotes a real wall time."""
+    """Adds year, local_us (wall time in microseconds), offset_s or zone, and epoch_us to each row that denotes a real wall time."""
     part = lambda k: F.col("_p.part")[k]
     month_names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
     letters = F.create_map(*[F.lit(x) for k, m in ZONE_LETTERS.items() for x in (k.lower(), m * 60)])
@@ -98,6 +100,7 @@ def local_times(rows: DataFrame, text: str, day_first: str, home_zone: str) -> D
     seconds = F.datediff(date, F.lit("1970-01-01").cast("timestamp_ntz")).cast("long") * 86400 + F.col("_hour") * 3600 + F.col("_minute") * 60 + F.col("_second")
     full = full.withColumns(
         {
+            "year": F.year(date),
             "local_us": F.when(real & (F.col("_weekday").isNull() | (F.col("_weekday") == F.dayofweek(date))), seconds * 1_000_000 + F.coalesce(F.col("_fraction"), F.lit(0))),
             "offset_s": F.coalesce(F.col("_offset"), F.when(~F.col("_bad_offset"), letters[F.col("_name")])),
             "zone": F.when(F.col("_name").isNull(), F.lower(F.col(home_zone))).when(~F.col("_bad_offset") & F.col("_name").contains("/"), F.col("_name")),
@@ -107,46 +110,40 @@ def local_times(rows: DataFrame, text: str, day_first: str, home_zone: str) -> D
     return full.drop("_t", "_p", "_year", "_month", "_day", "_hour", "_minute", "_second", "_fraction", "_offset", "_bad_offset", "_name", "_weekday")
 
 
-def _zone_intervals(first_year: int, last_year: int):
-    """Task that turns zone names into (zone, start_us, end_us, offset_s) with start and end in local time."""
-
-    def offsets(zone: zoneinfo.ZoneInfo, at: int) -> int:
-        return int(datetime.fromtimestamp(at, zone).utcoffset().total_seconds())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        epoch = datetime(1970, 1, 1)
-        ends = [int((datetime(y, 1, 1) - epoch).total_seconds()) for y in (first_year, last_year + 1)]
-        for batch in batches:
-            found = []
-            for name in batch["zone"]:
-                zone = zoneinfo.ZoneInfo(name)
-                at, since, offset = ends[0], ends[0], offsets(zone, ends[0])
-                while at < ends[1]:
-                    then = min(at + 14 * 86400, ends[1])
-                    if (new := offsets(zone, then)) != offset:
-                        # the first second of the new offset
-                        turn = at + 1 + bisect.bisect_left(range(at + 1, then), True, key=lambda s: offsets(zone, s) != offset)  # noqa: B023
-                        found.append((name.lower(), since + offset, turn + offset, offset))
-                        since, offset = turn, offsets(zone, turn)
-                        at = turn
-                        continue
+def _zone_years(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Task: (zone, year, intervals) of each zone and local year; intervals hold start and end in local time. Unknown zones give none."""
+    names = {n.lower(): n for n in zoneinfo.available_timezones() - {"localtime", "posixrules", "Factory"}}
+    epoch, day = datetime(1970, 1, 1), 86400
+    first, last = ((t - epoch).days * day for t in (datetime(1, 1, 3), datetime(9999, 12, 29)))
+
+    def offset_at(zone: zoneinfo.ZoneInfo, at: int) -> int:
+        return int((epoch + timedelta(seconds=at)).replace(tzinfo=UTC).astimezone(zone).utcoffset().total_seconds())
+
+    for batch in batches:
+        found = []
+        for name, year in zip(batch["zone"], batch["year"]):
+            if name not in names or not 1 <= year <= 9999:
+                continue
+            zone, begin = zoneinfo.ZoneInfo(names[name]), (datetime(year, 1, 1) - epoch).days * day
+            at, end = max(first, begin - 2 * day), min(last, begin + 368 * day)
+            since, offset, spans = at, offset_at(zone, at), []
+            while at < end:
+                then = min(at + 14 * day, end)
+                if offset_at(zone, then) == offset:
                     at = then
-                found.append((name.lower(), since + offset, ends[1] + offset, offset))
-            yield pd.DataFrame(
-                [(z, a * 1_000_000, b * 1_000_000, o) for z, a, b, o in found], columns=["zone", "start_us", "end_us", "offset_s"]
-            )
-
-    return run
+                    continue
+                # the first second of the new offset
+                at = at + 1 + bisect.bisect_left(range(at + 1, then), True, key=lambda s: offset_at(zone, s) != offset)  # noqa: B023
+                spans.append((since + offset, at + offset, offset))
+                since, offset = at, offset_at(zone, at)
+            spans.append((since + offset, end + offset, offset))
+            found.append((name, year, [{"start_us": a * 1_000_000, "end_us": b * 1_000_000, "offset_s": o} for a, b, o in spans]))
+        yield pd.DataFrame(found, columns=["zone", "year", "intervals"])
 
 
-def zone_intervals(spark: SparkSession, first_year: int = 1970, last_year: int = 2099) -> DataFrame:
-    """One row per zone and local year with its offset intervals. Bounded by the tz database: 600 zones, a few intervals a year."""
-    names = sorted(zoneinfo.available_timezones() - {"localtime", "posixrules", "Factory"})
-    zones = spark.createDataFrame(pd.DataFrame({"zone": names})).repartition(spark.sparkContext.defaultParallelism)
-    spans = zones.mapInPandas(_zone_intervals(first_year, last_year), "zone string, start_us long, end_us long, offset_s int")
-    year = lambda us: F.year(F.timestamp_micros(us))
-    exploded = spans.withColumn("year", F.explode(F.sequence(year(F.col("start_us")), year(F.col("end_us")))))
-    return exploded.groupBy("zone", "year").agg(F.collect_list(F.struct("start_us", "end_us", "offset_s")).alias("intervals"))
+def zone_intervals(years: DataFrame) -> DataFrame:
+    """(zone, year, intervals): the offset intervals of each distinct (zone, year), a few each."""
+    return years.mapInPandas(_zone_years, "zone string, year int, intervals array<struct<start_us:long,end_us:long,offset_s:int>>")
 
 
 def to_instants(mail: DataFrame, mailboxes: DataFrame, key: str = "row_idx", text: str = "date_text", source_file: str = "source_file") -> DataFrame:
@@ -154,17 +151,16 @@ def to_instants(mail: DataFrame, mailboxes: DataFrame, key: str = "row_idx", tex
 
     ``mailboxes`` is a directory of one row per mailbox; it is broadcast by size, not by hint.
     """
-    spark = mail.sparkSession
     rows = mail.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.regexp_extract(F.col(source_file), r"^[^/]*/([^/]+)/", 1).alias("_mailbox"))
     homes = mailboxes.groupBy(F.col("mailbox").alias("_mailbox")).agg(F.first("home_zone").alias("_home"), F.first("day_first").alias("_day_first"))
     times = local_times(rows.join(homes, "_mailbox", "left"), "_text", "_day_first", "_home")
     fixed = F.coalesce(F.col("epoch_us"), F.col("local_us") - F.col("offset_s").cast("long") * 1_000_000)
-    times = times.select("_key", "local_us", fixed.alias("fixed_us"), F.when(fixed.isNull() & F.col("local_us").isNotNull(), F.col("zone")).alias("zone"))
-    # no filter before the join: pushed below the projections it would repeat all of the parsing in one expression
-    times = times.withColumn("year", F.year(F.timestamp_micros("local_us")))
-    # Bounded by the tz database, whatever the size of the mail.
-    spans = F.broadcast(zone_intervals(spark))
-    joined = times.join(spans, ["zone", "year"], "left")
+    zoned = fixed.isNull() & F.col("local_us").isNotNull()
+    # narrow rows, read twice: the parsing is the work. No filter before: pushed below the projections it would repeat all of
+    # the parsing in one expression
+    times = checkpointed(times.select("_key", "local_us", fixed.alias("fixed_us"), F.when(zoned, F.col("zone")).alias("zone"), F.when(zoned, F.col("year")).alias("year")))
+    occurring = times.filter("zone is not null").select("zone", "year").distinct().repartition(int(mail.sparkSession.conf.get("spark.sql.shuffle.partitions")), "zone", "year")
+    joined = sized_join(times, zone_intervals(occurring), ["zone", "year"], "left", max_rows=100_000)
     holding = F.filter("intervals", lambda i: (i["start_us"] <= F.col("local_us")) & (F.col("local_us") < i["end_us"]))
     joined = joined.withColumn("holding", holding)
     zoned = F.when(F.size("holding") == 1, F.col("local_us") - F.col("holding")[0]["offset_s"].cast("long") * 1_000_000)

@@ -29,6 +29,9 @@ CASES = [
     ("25 Sep 01 19:14:46 -0500", us(2001, 9, 26, 0, 14, 46)),
     ("Thu, 28 Feb", None),
     (" 03/04/2001 05:00 pm ", us(2001, 3, 4, 23, 0)),
+    ("1969-07-20 20:17:40", us(1969, 7, 21, 1, 17, 40)),
+    ("2101-07-20 20:17:40[America/New_York]", us(2101, 7, 21, 0, 17, 40)),
+    ("2001-05-01 02:55:41 Nowhere/Town", None),
     ("", None),
     (None, None),
 ]
