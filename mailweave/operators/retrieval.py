@@ -1,87 +1,209 @@
 """Lexical retrieval: an inverted index of chunks and BM25 over batches of questions.
 
 Statistics of terms are those of the whole corpus, also where a question is scoped to a thread; a word that a question repeats
-counts as often. Scores are rounded to four digits; equal ones keep the order of the index.
+counts as often. Scores are rounded to four digits; equal ones keep the order of the index. Of chunks with one message and one
+leading text only the first that shares a word with the question is ranked.
+
+All joins and rankings move narrow rows of numbers and ids; texts are joined to the few chunks that are left.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailweave.functions.text import blank_to_null, strip, text_or_empty, tokens
+from mailweave.sources.tables import checkpointed
 
 K1, B = 1.5, 0.75
 SIGNATURE, PREVIEW, TOP_K = 180, 280, 5
+#: What rounding to four digits may hide.
+_ROUNDING = 1e-4
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (doc_id, thread_id, term, tf, dl), term statistics (term, df) and one row of corpus statistics (docs, avg_length)."""
+    """The chunks and the index over them.
+
+    ``docs`` (doc_id, thread_id, row_idx, grp, dl, first): grp is that of message and leading text, first whether the chunk is
+    the first of its group. ``postings`` (term, doc_id, thread_id, row_idx, grp, first, part): part is the chunk's share of the
+    score per unit of the term's weight. ``terms`` (term, df, idf, top, fifth): the greatest part, and the TOP_K-th greatest
+    among first chunks. ``corpus``: one row (docs, avg_length).
+    """
 
     chunks: DataFrame
+    docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
 
+def signature(text: str = "chunk_text") -> Column:
+    return F.lower(strip(F.substring(text_or_empty(F.col(text)), 1, SIGNATURE)))
+
+
+def _docs(chunks: DataFrame, text: str) -> DataFrame:
+    narrow = chunks.select("doc_id", "thread_id", "row_idx", F.xxhash64("message_id", signature(text)).alias("grp"), F.size(tokens(F.col(text))).alias("dl"))
+    first = narrow.groupBy("grp").agg(F.min(F.struct("row_idx", "doc_id")).alias("f"))
+    return narrow.join(first.select("grp", F.col("f.doc_id").alias("first_id")), "grp").select("doc_id", "thread_id", "row_idx", "grp", "dl", (F.col("doc_id") == F.col("first_id")).alias("first"))
+
+
+def _corpus(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_length"))
+
+
+def _postings(chunks: DataFrame, docs: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
+    words = chunks.select("doc_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_length")))
+    joined = words.join(docs, "doc_id").join(F.broadcast(corpus))  # one row of corpus statistics
+    return joined.select("term", "doc_id", "thread_id", "row_idx", "grp", "first", part.alias("part"))
+
+
+def _terms(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("top"))
+    # no more than TOP_K rows of a term leave a task
+    ranked = postings.filter("first").select("term", "part", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("part"))).alias("n")).filter(F.col("n") <= TOP_K)
+    fifth = ranked.filter(F.col("n") == TOP_K).select("term", F.col("part").alias("fifth"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return counted.join(fifth, "term", "left").join(F.broadcast(corpus)).select("term", "df", idf.alias("idf"), "top", F.coalesce("fifth", F.lit(0.0)).alias("fifth"))
+
+
 def build_index(chunks: DataFrame, text: str = "chunk_text") -> Index:
-    words = chunks.select("doc_id", "thread_id", tokens(F.col(text)).alias("words"))
-    lengths = words.select("doc_id", F.size("words").alias("dl"))
-    postings = words.select("doc_id", "thread_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc_id", "thread_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_length"))
-    return Index(chunks, postings, terms, corpus)
+    """The index as plans over the chunks, for a corpus that is searched once; ``store_index`` keeps it."""
+    docs = _docs(chunks, text)
+    corpus = _corpus(docs)
+    postings = _postings(chunks, docs, corpus, text)
+    return Index(chunks, docs, postings, _terms(postings, corpus), corpus)
 
 
-def scores(index: Index, questions: DataFrame, scoped: bool) -> DataFrame:
-    """(query_id, doc_id, score) of the chunks that share a word with the question (query_id, thread_id, text)."""
+def store_index(chunks: DataFrame, path: str, text: str = "chunk_text") -> Index:
+    """The index written under ``path``, each part from the one before it, and read back; files of postings are sorted by term, so that scans skip what no question asks."""
+    spark = chunks.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    docs = kept(_docs(chunks, text), "docs")
+    corpus = kept(_corpus(docs), "corpus")
+    postings = kept(_postings(chunks, docs, corpus, text).sortWithinPartitions("term"), "postings")
+    return Index(chunks, docs, postings, kept(_terms(postings, corpus), "terms"), corpus)
+
+
+def open_index(spark: SparkSession, chunks: DataFrame, path: str) -> Index:
+    """An index stored before over the same chunks."""
+    return Index(chunks, *[spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "corpus")])
+
+
+def _weighted(index: Index, questions: DataFrame) -> DataFrame:
+    """(query_id, thread_id, term, weight, top, fifth): the terms of each question; top and fifth are of the weighted parts."""
     asked = questions.select("query_id", "thread_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "thread_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = asked.join(index.terms, "term").join(F.broadcast(index.corpus))  # one row of corpus statistics
-    postings = index.postings if scoped else index.postings.drop("thread_id")
-    hits = postings.join(weighted, ["thread_id", "term"] if scoped else ["term"])
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_length")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
+    weight = F.col("times") * F.col("idf")
+    return asked.join(index.terms, "term").select("query_id", "thread_id", "term", weight.alias("weight"), (weight * F.col("top")).alias("top"), (weight * F.col("fifth")).alias("fifth"))
 
 
-def _signature(text: str = "chunk_text"):
-    return F.lower(strip(F.substring(text_or_empty(F.col(text)), 1, SIGNATURE)))
+def _sums(hits: DataFrame) -> DataFrame:
+    total = F.round(F.sum(F.col("weight") * F.col("part")), 4)
+    return hits.groupBy("query_id", "doc_id", "row_idx", "grp").agg(total.alias("score")).filter("score > 0")
 
 
-def first_per_signature(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """The first chunk in index order of each message and leading text, within ``keys``."""
-    w = Window.partitionBy(*keys, "message_id", "signature").orderBy("row_idx", "doc_id")
-    return chunks.withColumn("signature", _signature()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "signature")
+def scores(index: Index, questions: DataFrame, scoped: bool) -> DataFrame:
+    """(query_id, doc_id, row_idx, grp, score) of all chunks that share a word with the question (query_id, thread_id, text)."""
+    weighted = _weighted(index, questions)
+    if scoped:
+        return _sums(index.postings.join(weighted, ["thread_id", "term"]))
+    return _sums(index.postings.drop("thread_id").join(weighted, "term"))
+
+
+def _leading(index: Index, questions: DataFrame, top_k: int) -> DataFrame:
+    """The scores, as ``scores`` has them unscoped, of all chunks in the groups that can be among a question's ``top_k``.
+
+    A question's ``top_k``-th score is at least the fifth greatest part of its heaviest term (of first chunks, which stand for
+    their group in any search). Terms whose greatest parts together stay below that can't bring a chunk there alone: chunks are
+    looked up by the others, and kept only if their sum and the rest could still reach the bound.
+    """
+    weighted = checkpointed(_weighted(index, questions).drop("thread_id"))
+    of_question = Window.partitionBy("query_id")  # a question's own terms
+    bound = F.max("fifth").over(of_question) if top_k <= TOP_K else F.lit(0.0)
+    up_to = F.sum("top").over(of_question.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = weighted.withColumns({"bound": bound - 2 * _ROUNDING, "up_to": up_to}).withColumn("light", F.col("up_to") < F.col("bound"))
+    split = split.withColumn("rest", F.coalesce(F.sum(F.when(F.col("light"), F.col("top"))).over(of_question), F.lit(0.0)))
+    heavy = split.filter("not light").select("query_id", "term", "weight", "bound", "rest")
+    hits = index.postings.select("term", "doc_id", "grp", "first", "part").join(heavy, "term")
+    sums = hits.groupBy("query_id", "doc_id", "grp", "first", "bound", "rest").agg(F.sum(F.col("weight") * F.col("part")).alias("sum")).filter(F.col("sum") + F.col("rest") >= F.col("bound"))
+    sums = checkpointed(sums)
+    # the sums of first chunks so far give a second, higher bound
+    ranked = sums.filter("first").select("query_id", "sum", F.row_number().over(of_question.orderBy(F.desc("sum"))).alias("n")).filter(F.col("n") <= top_k)
+    higher = ranked.filter(F.col("n") == top_k).select("query_id", (F.col("sum") - 2 * _ROUNDING).alias("higher"))
+    able = sums.join(higher, "query_id", "left").filter(F.col("higher").isNull() | (F.col("sum") + F.col("rest") >= F.col("higher"))).select("query_id", "grp").distinct()
+    # earlier chunks of the same message and leading text take their place, whatever they score
+    members = able.join(index.docs.select("grp", "doc_id", "row_idx"), "grp")
+    pairs = members.join(weighted.select("query_id", "term", "weight"), "query_id")
+    return _sums(pairs.join(index.postings.select("term", "doc_id", "part"), ["term", "doc_id"]))
+
+
+def ranked(index: Index, questions: DataFrame, scoped: bool = True, top_k: int = TOP_K) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``top_k`` chunks of each question."""
+    # numbers for the questions' ids, which may be long texts
+    asked = checkpointed(questions.select(F.col("query_id").alias("_id"), F.monotonically_increasing_id().alias("query_id"), "thread_id", "text"))
+    found = scores(index, asked, True) if scoped else _leading(index, asked, top_k)
+    one = found.groupBy("query_id", "grp").agg(F.min(F.struct("row_idx", "doc_id", "score")).alias("c")).select("query_id", "c.*")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_idx", "doc_id"))
+    best = one.withColumn("rank", place).filter(F.col("rank") <= top_k)
+    return best.join(asked.select("query_id", "_id"), "query_id").select(F.col("_id").alias("query_id"), "doc_id", "score", "rank")
+
+
+def with_chunks(index: Index, hits: DataFrame) -> DataFrame:
+    """Ranked hits with the columns of their chunks and the preview."""
+    return hits.join(index.chunks, "doc_id").withColumn("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW))
 
 
 def search(index: Index, questions: DataFrame, scoped: bool = True, top_k: int = TOP_K) -> DataFrame:
-    """The ``top_k`` chunks of each question with rank and score; near copies are dropped before ranking."""
-    found = scores(index, questions, scoped).join(index.chunks, "doc_id")
-    distinct = first_per_signature(found, ["query_id"])
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_idx", "doc_id")
-    ranked = distinct.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
-    return ranked.withColumn("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW))
+    """The ``top_k`` chunks of each question with rank, score and preview; near copies are dropped before ranking."""
+    return with_chunks(index, ranked(index, questions, scoped, top_k))
+
+
+def first_per_signature(chunks: DataFrame) -> DataFrame:
+    """(doc_id): the first chunk in index order of each message and leading text."""
+    return chunks.groupBy("message_id", signature().alias("signature")).agg(F.min(F.struct("row_idx", "doc_id")).alias("f")).select("f.doc_id")
+
+
+def listed(chunks: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """(thread_id, doc_id, rank): the first chunks of each thread, one per message, in the order of date, message and chunk as texts."""
+    order = F.struct(F.coalesce("date_text", F.lit("")).alias("d"), F.coalesce("message_id", F.lit("")).alias("m"), "doc_id")
+    one = chunks.groupBy("thread_id", "message_id").agg(F.min(order).alias("o"))
+    place = F.row_number().over(Window.partitionBy("thread_id").orderBy("o"))
+    return one.withColumn("rank", place).filter(F.col("rank") <= top_k).select("thread_id", "o.doc_id", "rank")
 
 
 def listing(chunks: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """The first chunks of each thread, one per message, in the order of date, message and chunk as texts."""
-    order = [F.coalesce("date_text", F.lit("")), F.coalesce("message_id", F.lit("")), F.col("doc_id")]
-    one = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("thread_id", "message_id").orderBy(*order))).filter("_n = 1").drop("_n")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("thread_id").orderBy(*order))).filter(F.col("rank") <= top_k).withColumn("score", F.lit(0.0)).withColumn("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW))
+    """``listed`` with the columns of the chunks, score 0 and preview."""
+    found = listed(chunks, top_k).select("doc_id", "rank").join(chunks, "doc_id")
+    return found.withColumn("score", F.lit(0.0)).withColumn("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW))
 
 
 def cascade(index: Index, questions: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """Thread search, else the thread's listing, else search over all; ``tier`` 1 to 3 tells which."""
-    cols = ["query_id", "doc_id", "message_id", "score", "rank", "tier"]
-    near = search(index, questions, True, top_k).withColumn("tier", F.lit(1)).select(*cols)
-    rest = questions.join(near.select("query_id").distinct(), "query_id", "left_anti")
-    listed = rest.select("query_id", "thread_id").join(listing(index.chunks, top_k), "thread_id").withColumn("tier", F.lit(2)).select(*cols)
-    last = rest.join(listed.select("query_id").distinct(), "query_id", "left_anti")
-    wide = search(index, last, False, top_k).withColumn("tier", F.lit(3)).select(*cols)
-    return near.unionByName(listed).unionByName(wide)
+    """(query_id, doc_id, score, rank, tier): thread search, else the thread's listing, else, where the question has search_outside_thread, search over all; ``tier`` 1 to 3 tells which.
+
+    Questions without the column search_outside_thread may all search outside.
+    """
+    cols = ["query_id", "doc_id", "score", "rank", "tier"]
+    near = checkpointed(ranked(index, questions, True, top_k).withColumn("tier", F.lit(1)).select(*cols))
+    rest = checkpointed(questions.join(near.select("query_id").distinct(), "query_id", "left_anti"))
+    listing_of = rest.select("query_id", "thread_id").join(listed(index.chunks, top_k), "thread_id").select("query_id", "doc_id", F.lit(0.0).alias("score"), "rank", F.lit(2).alias("tier"))
+    listing_of = checkpointed(listing_of)
+    last = rest.join(listing_of.select("query_id").distinct(), "query_id", "left_anti")
+    if "search_outside_thread" in last.columns:
+        last = last.filter("search_outside_thread")
+    wide = ranked(index, last, False, top_k).withColumn("tier", F.lit(3)).select(*cols)
+    return near.unionByName(listing_of).unionByName(wide)
+
+
+def slim(hits: DataFrame) -> Column:
+    """The ten fields of a retrieved chunk that traces and answers keep."""
+    return F.struct("doc_id", "thread_id", "message_id", F.col("page_no").cast("int").alias("page_no"), F.col("filename").cast("string").alias("filename"), "chunk_type", F.col("score").cast("double").alias("score"), "subject", "date_text", F.coalesce("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW)).alias("text_preview"))
 
 
 def thread_counts(chunks: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from mailweave.operators import answers, chunks, cleaning, retrieval, sessions,
 from mailweave.operators.instants import to_instants
 from mailweave.plans.sql import SQL as SQL
 from mailweave.sources import mailcsv
-from mailweave.sources.tables import load
+from mailweave.sources.tables import load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,7 +28,7 @@ def _mail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "ingest").select("doc_id", "row_idx", "thread_id", "message_id", "subject", "date_text", "sender", "recipients", "cc", "chunk_text", "chunk_type")
+    return load(spark, d, "ingest").select("doc_id", "row_idx", "thread_id", "message_id", "subject", "date_text", "sender", "recipients", "cc", "chunk_text", "chunk_type", "page_no", "filename")
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +36,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d).select(F.col("trace_id").alias("query_id"), "thread_id", F.col("user_text").alias("text"), F.col("rewrite").alias("evidence_text"))
+    return _turns(spark, d).select(F.col("trace_id").alias("query_id"), "thread_id", F.col("user_text").alias("text"), F.col("rewrite").alias("evidence_text"), "search_outside_thread")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -54,45 +53,70 @@ def p1_found(spark, d):
     return to_instants(_mail(spark, d), load(spark, d, "mailboxes")).distinct()
 
 
+_STORED: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> retrieval.Index:
+    """The index of a data directory, stored once in a session."""
+    kept = (spark.sparkContext.applicationId, d)
+    if kept not in _STORED:
+        _STORED[kept] = retrieval.store_index(_chunks(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _STORED[kept]
+
+
+@query
+def index_build(spark, d):
+    """Builds and stores the index anew; its terms with their statistics."""
+    _STORED.pop((spark.sparkContext.applicationId, d), None)
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query
 def bm25_topk_partition(spark, d):
-    return retrieval.search(retrieval.build_index(_chunks(spark, d)), _questions(spark, d)).select("query_id", "rank", "doc_id", "score")
+    return retrieval.ranked(_index(spark, d), _questions(spark, d)).select("query_id", "rank", "doc_id", "score")
 
 
 @query
 def bm25_topk_global(spark, d):
-    return retrieval.search(retrieval.build_index(_chunks(spark, d)), _texts(spark, d), scoped=False).select("query_id", "rank", "doc_id", "score")
+    return retrieval.ranked(_index(spark, d), _texts(spark, d), scoped=False).select("query_id", "rank", "doc_id", "score")
 
 
 @query
 def bm25_repeated_terms(spark, d):
     asked = _questions(spark, d).withColumn("text", F.concat_ws(" ", "text", "evidence_text"))
-    return retrieval.scores(retrieval.build_index(_chunks(spark, d)), asked, True)
+    return retrieval.scores(_index(spark, d), asked, True).select("query_id", "doc_id", "score")
 
 
 @query
 def retrieval_cascade(spark, d):
-    return retrieval.cascade(retrieval.build_index(_chunks(spark, d)), _questions(spark, d)).select("query_id", "tier", "rank", "doc_id")
+    return retrieval.cascade(_index(spark, d), _questions(spark, d).drop("search_outside_thread")).select("query_id", "tier", "rank", "doc_id")
+
+
+@query
+def retrieved_items(spark, d):
+    """What a search in the question's thread gives, field by field."""
+    found = retrieval.search(_index(spark, d), _questions(spark, d))
+    return found.select("query_id", "rank", "doc_id", "thread_id", "message_id", "page_no", "filename", "chunk_type", "score", "subject", "date_text", "sender", F.array_join(F.coalesce("recipients", F.array().cast("array<string>")), "|").alias("recipients"), F.array_join(F.coalesce("cc", F.array().cast("array<string>")), "|").alias("cc"), F.md5("chunk_text").alias("text_digest"), "text_preview")
 
 
 @query
 def term_doc_freq(spark, d):
-    return retrieval.build_index(_chunks(spark, d)).terms
+    return _index(spark, d).terms.select("term", "df")
 
 
 @query
 def doc_length_stats(spark, d):
-    return retrieval.build_index(_chunks(spark, d)).corpus.select("docs", F.round("avg_length", 4).alias("avg_length"))
+    return _index(spark, d).corpus.select("docs", F.round("avg_length", 4).alias("avg_length"))
 
 
 @query
 def search_dedupe_signature(spark, d):
-    return retrieval.first_per_signature(_chunks(spark, d), []).select("doc_id")
+    return retrieval.first_per_signature(_chunks(spark, d))
 
 
 @query
 def list_first_per_key(spark, d):
-    return retrieval.listing(_chunks(spark, d)).select("thread_id", "rank", "doc_id")
+    return retrieval.listed(_chunks(spark, d)).select("thread_id", "rank", "doc_id")
 
 
 @query
@@ -349,8 +373,7 @@ def quoted_printable(spark, d):
 def trace_roundtrip(spark, d):
     """Turns written as JSON lines under a run and read back."""
     turns = _turns(spark, d).select("trace_id", "session_id", "thread_id", "user_text", "rewrite", "answer", "citations", "latency_ms", "search_outside_thread")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    path = f"{root}/trace-{os.urandom(6).hex()}"
+    path = f"{shared_folder(spark)}/trace-{uuid.uuid4().hex}"
     mailcsv.write_trace(turns, path, "run")
     back = mailcsv.read_trace(spark, path, turns.schema)
     return back.select("trace_id", "session_id", "thread_id", "user_text", F.size("citations").alias("cited"), F.col("latency_ms"))
