@@ -36,8 +36,11 @@ def strip_markup(col: Column) -> Column:
 def drop_header_runs(col: Column) -> Column:
     """Keeps the first two of a run of header lines: a line goes if it and the two before it are headers."""
     split = lines(col)
-    marked = F.transform(split, lambda line: strip(line).rlike(HEADER_PATTERN))
-    kept = F.filter(F.arrays_zip(split.alias("line"), marked.alias("head"), F.sequence(F.lit(1), F.size(split)).alias("i")), lambda x: ~(x["head"] & (x["i"] > 2) & F.coalesce(F.get(marked, x["i"] - 2), F.lit(False)) & F.coalesce(F.get(marked, x["i"] - 3), F.lit(False))))
+    none = F.array(F.lit(""))
+    # each line beside the two before it
+    both = F.arrays_zip(split.alias("line"), F.concat(none, split).alias("one"), F.concat(none, none, split).alias("two"))
+    head = lambda line: strip(line).rlike(HEADER_PATTERN)
+    kept = F.filter(F.slice(both, 1, F.size(split)), lambda x: ~(head(x["line"]) & head(x["one"]) & head(x["two"])))
     return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
 
 

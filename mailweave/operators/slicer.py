@@ -1,7 +1,7 @@
 """Choice of a coherent slice of a corpus: month statistics, the best window of months, ranked threads, capped rows.
 
-Input rows are (row_idx, subject, at, flagged, size): a normalised subject, a wall-clock time, whether the message carries an
-attachment, and its bytes. Rows without subject or time are no candidates.
+Input rows are (row_idx, subject, at, flagged, size) as ``mailcsv.message_metadata`` gives them: a normalised subject, a
+wall-clock time, whether the message carries an attachment, and its bytes. Rows without subject or time are no candidates.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailweave.sources.tables import checkpointed
+from mailweave.operators.ranks import with_rank
 
 
 @dataclass(frozen=True)
@@ -59,12 +59,7 @@ def thread_ranks(rows: DataFrame, window: DataFrame) -> DataFrame:
     """Subjects of the window's messages, ranked: with attachments first, then by attachments and messages, then as they came."""
     inside = _month(rows).join(F.broadcast(window.select("start", "last")), F.col("month").between(F.col("start"), F.col("last")))  # one row
     stats = inside.groupBy("subject").agg(F.count(F.lit(1)).alias("messages"), F.count_if("flagged").alias("flagged"), F.min("row_idx").alias("first_row"))
-    # range-sorted positions, no single task: the high bits of a row's number are its range, the low 33 its place there
-    placed = checkpointed(stats.orderBy((F.col("flagged") > 0).desc(), F.desc("flagged"), F.desc("messages"), "first_row").withColumn("_at", F.monotonically_increasing_id()))
-    ranges = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("n"))  # a row for each range
-    before = ranges.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
-    ranked = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(before), "_range")
-    return ranked.select("subject", "messages", "flagged", "first_row", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
+    return with_rank(stats, (F.col("flagged") > 0).desc(), F.desc("flagged"), F.desc("messages"), "first_row")
 
 
 def select_threads(ranks: DataFrame, targets: Targets = Targets()) -> DataFrame:
@@ -99,7 +94,11 @@ def slice_rows(rows: DataFrame, window: DataFrame, threads: DataFrame, targets:
 
 
 def slice_summary(rows: DataFrame, window: DataFrame) -> DataFrame:
-    """One row: window, threads, messages, attachments and bytes of a slice."""
+    """One row: window, threads, messages, attachments and bytes of a slice, and its threads' messages, the most first, else as they came."""
     total = rows.agg(F.count_distinct("subject").alias("threads_selected"), F.count(F.lit(1)).alias("messages_selected"), F.count_if("flagged").alias("attachment_messages"), F.coalesce(F.sum("size"), F.lit(0)).alias("indexed_text_bytes"))
+    counts = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("messages"), F.min("row_idx").alias("first"))
+    # at most thread_max subjects
+    listed = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("messages")).alias("o"), "first", "subject", "messages"))), lambda t: F.struct(t["subject"], t["messages"])).alias("thread_message_counts"))
     text = lambda m: F.format_string("%04d-%02d", F.floor(F.col(m) / 12), F.col(m) % 12 + 1)
-    return total.join(F.broadcast(window)).select(text("start").alias("window_start"), text("last").alias("window_end"), F.col("span").alias("month_span"), "threads_selected", "messages_selected", "attachment_messages", "indexed_text_bytes", F.round(F.col("indexed_text_bytes") / 1048576, 2).alias("indexed_text_mb"))
+    joined = total.join(F.broadcast(listed)).join(F.broadcast(window))  # one row each
+    return joined.select(text("start").alias("window_start"), text("last").alias("window_end"), F.col("span").alias("month_span"), "threads_selected", "messages_selected", "attachment_messages", "indexed_text_bytes", F.round(F.col("indexed_text_bytes") / 1048576, 2).alias("indexed_text_mb"), "thread_message_counts")

@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailweave.functions.text import normalize_subject, participants
+from mailweave.operators.ranks import with_rank
 from mailweave.sources.tables import checkpointed
 
 GAP_DAYS = 14
 
 
 def gap_sessions(mail: DataFrame, time: str, gap_days: int = GAP_DAYS) -> DataFrame:
-    """(row_idx, normalized_subject, session): neighbours of one subject in time belong together if they share a participant, lack a time, or lie within the gap."""
+    """(row_idx, normalized_subject, session): neighbours of one subject in time, those without one first, belong together if they share a participant, lack a time, or lie within the gap.
+
+    Rows are range-partitioned in the order of subject and time, so that a subject of any size is worked on in several tasks;
+    the borders between ranges are mended with one row of each range and subject.
+    """
     rows = mail.select("row_idx", normalize_subject(F.col("subject")).alias("normalized_subject"), F.col(time).alias("_at"), participants(F.col("sender"), F.col("recipients"), F.col("cc")).alias("_who"))
-    w = Window.partitionBy("normalized_subject").orderBy(F.col("_at").asc_nulls_first(), "row_idx")
-    together = F.arrays_overlap("_who", F.lag("_who").over(w)) | F.col("_at").isNull() | F.lag("_at").over(w).isNull() | (F.col("_at") <= F.lag("_at").over(w) + F.make_dt_interval(F.lit(gap_days)))
-    starts = rows.withColumn("_new", F.when(F.lag("row_idx").over(w).isNull() | ~F.coalesce(together, F.lit(False)), 1).otherwise(0))
-    return starts.select("row_idx", "normalized_subject", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session"))
+    ranged = checkpointed(rows.repartitionByRange("normalized_subject", "_at", "row_idx").withColumn("_range", F.spark_partition_id()))
+    piece = Window.partitionBy("_range", "normalized_subject").orderBy(F.col("_at").asc_nulls_first(), "row_idx")
+    apart = lambda row, before: F.when(before["row_idx"].isNull() | ~F.coalesce(F.arrays_overlap(row["_who"], before["_who"]) | row["_at"].isNull() | before["_at"].isNull() | (row["_at"] <= before["_at"] + F.make_dt_interval(F.lit(gap_days))), F.lit(False)), 1).otherwise(0)
+    own = F.struct("_at", "row_idx", "_who")
+    starts = ranged.withColumn("_own", own).withColumn("_new", F.when(F.lag("row_idx").over(piece).isNotNull(), apart(F.col("_own"), F.lag("_own").over(piece))).otherwise(0))
+    starts = starts.withColumn("_in", F.sum("_new").over(piece.rowsBetween(Window.unboundedPreceding, 0))).select("row_idx", "normalized_subject", "_range", "_own", "_in")
+    # a row for each range and subject: its first and last mail and the starts inside
+    order = F.struct(F.col("_own._at").isNotNull(), F.col("_own._at"), F.col("_own.row_idx"))
+    borders = starts.groupBy("_range", "normalized_subject").agg(F.min_by("_own", order).alias("head"), F.max_by("_own", order).alias("tail"), F.max("_in").alias("inside"))
+    along = Window.partitionBy("normalized_subject").orderBy("_range")
+    mended = borders.withColumn("_first", apart(F.col("head"), F.lag("tail").over(along)))
+    offset = F.sum(F.col("_first") + F.col("inside")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside")
+    return starts.join(mended.select("_range", "normalized_subject", offset.alias("_offset")), ["_range", "normalized_subject"]).select("row_idx", "normalized_subject", (F.col("_offset") + F.col("_in")).alias("session"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def infer_threads(mail: DataFrame, time: str = "loaded_at", gap_days: int = GAP_DAYS) -> DataFrame:
+def infer_threads(mail: DataFrame, time: str, gap_days: int = GAP_DAYS) -> DataFrame:
     """(row_idx, normalized_subject, thread_row): components of reply links and sessions; ``thread_row`` is the least row of the thread.
 
     A repeated message id stands for its last row; an id that no row has links nothing.
@@ -55,7 +69,10 @@ def infer_threads(mail: DataFrame, time: str = "loaded_at", gap_days: int = GAP_
 
 def numbered(threads: DataFrame) -> DataFrame:
     """thread_id by first appearance: thread_0001 is the thread of the first row."""
-    heads = threads.select("thread_row").distinct()
-    # range-sorted positions, no single task
-    ordered = heads.orderBy("thread_row").rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + 1)).toDF("thread_row long, n long")
-    return threads.join(ordered, "thread_row").select("row_idx", "normalized_subject", F.format_string("thread_%04d", "n").alias("thread_id"))
+    heads = with_rank(threads.select("thread_row").distinct(), "thread_row", name="_n")
+    return threads.join(heads, "thread_row").select("row_idx", "normalized_subject", F.format_string("thread_%04d", "_n").alias("thread_id"))
+
+
+def threaded_records(mail: DataFrame, time: str, gap_days: int = GAP_DAYS) -> DataFrame:
+    """The mail with normalized_subject and thread_id."""
+    return mail.join(numbered(infer_threads(mail, time, gap_days)), "row_idx")

@@ -145,14 +145,23 @@ def participants(spark, d):
     return _mail(spark, d).select("row_idx", F.array_join(F.array_sort(T.participants(F.col("sender"), F.col("recipients"), F.col("cc"))), "|").alias("participants"))
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return _mail(spark, d).withColumn("wall_time", mailcsv.wall_time(F.col("date_text")))
+
+
 @query
 def gap_sessions(spark, d):
-    return threads.gap_sessions(_mail(spark, d), "loaded_at")
+    return threads.gap_sessions(_timed(spark, d), "wall_time")
 
 
 @query
 def thread_components(spark, d):
-    return threads.infer_threads(_mail(spark, d)).select("row_idx", "thread_row")
+    return threads.infer_threads(_timed(spark, d), "wall_time").select("row_idx", "thread_row")
+
+
+@query
+def thread_numbers(spark, d):
+    return threads.threaded_records(_timed(spark, d), "wall_time").select("row_idx", "thread_id", "normalized_subject")
 
 
 @query
@@ -190,10 +199,30 @@ def clean_body(spark, d):
     return cleaning.with_clean_body(_mail(spark, d).select("row_idx", "body")).select("row_idx", _digest(F.col("clean_body")).alias("digest"))
 
 
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Each mail written out as a raw message of ten headers, folded subjects, quoted-printable bodies in every third, and an attachment part where there are copies."""
+    m = _mail(spark, d)
+    many = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
+    coded = F.pmod("row_idx", F.lit(3)) == 0
+    flat = lambda c: F.regexp_replace(T.text_or_empty(c), r"[\r\n]+", " ")
+    named = {
+        "Message-ID": flat(F.col("message_id")), "Subject": F.regexp_replace(T.squeeze(T.text_or_empty(F.col("subject"))), " ", "\n "), "Date": flat(F.col("date_text")), "From": flat(F.col("sender")), "To": many("recipients"), "Cc": many("cc"),
+        "In-Reply-To": flat(F.col("in_reply_to")), "References": many("ref_ids"), "Content-Transfer-Encoding": F.when(coded, "quoted-printable").otherwise("8bit"),
+    }
+    head = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in named.items()])
+    body = T.text_or_empty(F.col("body"))
+    body = F.when(coded, F.regexp_replace(F.regexp_replace(body, "=", "=3D"), "\u00E9", "=C3=A9")).otherwise(body)
+    part = F.when(F.size("cc") > 0, "\n\nContent-Disposition: Attachment; FileName=notes.txt").otherwise("")
+    return m.select("row_idx", F.col("source_file").alias("file"), F.concat(head, F.lit("\n\n"), body, part).alias("message"))
+
+
 def _slice_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The slicer's rows: wall time of loading; a message counts as flagged if it has copies."""
-    subject = T.blank_to_null(T.normalize_subject(F.col("subject")))
-    return _mail(spark, d).select("row_idx", subject.alias("subject"), F.col("loaded_at").alias("at"), (F.coalesce(F.size("cc"), F.lit(0)) > 0).alias("flagged"), F.octet_length(T.text_or_empty(F.col("body"))).alias("size"))
+    return mailcsv.message_metadata(_raw(spark, d))
+
+
+@query
+def message_metadata(spark, d):
+    return _slice_rows(spark, d)
 
 
 @query
@@ -230,7 +259,8 @@ def slice_summary(spark, d):
     rows = _slice_rows(spark, d)
     window = slicer.choose_window(rows)
     chosen = slicer.select_threads(slicer.thread_ranks(rows, window))
-    return slicer.slice_summary(slicer.slice_rows(rows, window, chosen), window)
+    made = slicer.slice_summary(slicer.slice_rows(rows, window, chosen), window)
+    return made.withColumn("thread_message_counts", F.to_json("thread_message_counts"))
 
 
 @query
@@ -331,24 +361,23 @@ def rule_table_hint(spark, d):
     return answers.answers(asked, items, rules)
 
 
-def _raw(spark: SparkSession, d: str) -> DataFrame:
-    """Each mail written out as a raw message."""
-    m = _mail(spark, d)
-    head = F.concat_ws("\n", F.concat(F.lit("Message-ID: "), T.text_or_empty(F.col("message_id"))), F.concat(F.lit("Subject: "), F.regexp_replace(T.text_or_empty(F.col("subject")), " ", "\n ")), F.concat(F.lit("Date: "), T.text_or_empty(F.col("date_text"))), F.concat(F.lit("To: "), F.array_join(F.coalesce("recipients", F.array().cast("array<string>")), ", ")))
-    return m.select("row_idx", F.col("source_file").alias("file"), F.concat(head, F.lit("\n\n"), T.text_or_empty(F.col("body"))).alias("message"))
-
-
 @query
 def mime_parse(spark, d):
-    raw = _raw(spark, d)
-    h = mailcsv.header_map(F.col("message"))
-    return raw.select("row_idx", F.element_at(h, "message-id").alias("message_id"), F.element_at(h, "subject").alias("subject"), F.md5(mailcsv.body_of(F.col("message"))).alias("digest"))
+    h = mailcsv.headers(F.col("message"))
+    return _raw(spark, d).select("row_idx", *[mailcsv.header(h, k).alias(k.replace("-", "_")) for k in ("message-id", "subject", "from", "in-reply-to")], F.md5(mailcsv.body_of(F.col("message"))).alias("digest"))
 
 
 @query
 def structured_records(spark, d):
     s = mailcsv.structured(_raw(spark, d))
-    return s.select("source_file", "message_id", "subject", "date_text", F.array_join("recipients", "|").alias("recipients"), F.md5("body").alias("digest"))
+    return s.select("row_idx", "source_file", "message_id", "subject", "date_text", "sender", "in_reply_to", *[F.array_join(c, "|").alias(c) for c in ("recipients", "cc", "ref_ids")], F.md5("body").alias("digest"))
+
+
+@query
+def ingest_chunks(spark, d):
+    """From raw messages to chunks."""
+    _, cut = chunks.ingested(_raw(spark, d))
+    return cut.select("doc_id", "row_idx", "section", "thread_id", "message_id", "subject", "date_text", "token_count", F.md5("chunk_text").alias("digest"))
 
 
 @query

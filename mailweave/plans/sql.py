@@ -40,7 +40,40 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 _BY_TRACE = "SELECT trace_id AS query_id, thread_id, user_text AS text FROM turns"
 _LISTED = """listed AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY coalesce(date_text, ''), coalesce(message_id, ''), doc_id) AS rank FROM
 (SELECT *, row_number() OVER (PARTITION BY thread_id, message_id ORDER BY coalesce(date_text, ''), coalesce(message_id, ''), doc_id) AS n1 FROM ingest) WHERE n1 = 1)"""
-_SLICE = f"""rows1 AS (SELECT row_idx, nullif({_SUBJECT}, '') AS subject, loaded_at AS moment, coalesce(len(cc), 0) > 0 AS flagged, octet_length(encode(coalesce(body, ''))) AS size FROM email_structure),
+
+
+def _flat(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), '[\r\n]+', ' ', 'g')"
+
+
+def _joined(x: str) -> str:
+    return f"array_to_string(coalesce({x}, []), ', ')"
+
+
+def _squeezed(x: str) -> str:
+    return _strip(f"regexp_replace(coalesce({x}, ''), '{_SP}+', ' ', 'g')")
+
+
+def _entries(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, ','), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+_ZONES = "MAP {'UT': 0, 'UTC': 0, 'GMT': 0, 'Z': 0, 'AST': -240, 'ADT': -180, 'EST': -300, 'EDT': -240, 'CST': -360, 'CDT': -300, 'MST': -420, 'MDT': -360, 'PST': -480, 'PDT': -420}"
+_D1 = r"'^(?:[A-Za-z]+,? )?(\d{1,2}) ([A-Za-z]{3,9}) (\d{2,4}) (\d{1,2}):(\d{2})(?::(\d{2}))?(?: (\S+))?(?: .*)?$'"
+_D2 = r"'^[A-Z][a-z]{2} ([A-Za-z]{3,9}) (\d{1,2}) (\d{1,2}):(\d{2}):(\d{2})(?: ([A-Za-z]+))? (\d{4})$'"
+_D3 = r"'^[A-Za-z]+, ([A-Za-z]{3,9}) (\d{1,2}), (\d{4}) (\d{1,2}):(\d{2})(?: (\S+))?(?: .*)?$'"
+# a mail header's date: y|month|d|h|m|s|zone of the notations that mail parsers read, and texts in ISO form
+_DATES = rf"""d0 AS (SELECT row_idx, date_text AS x, trim(regexp_replace(coalesce(date_text, ''), '\s+', ' ', 'g')) AS t FROM email_structure),
+d1 AS (SELECT *, string_split(CASE WHEN regexp_matches(t, {_D1}) THEN regexp_replace(t, {_D1}, '\3|\2|\1|\4|\5|\6|\7') WHEN regexp_matches(t, {_D2}) THEN regexp_replace(t, {_D2}, '\7|\1|\2|\3|\4|\5|\6') WHEN regexp_matches(t, {_D3}) THEN regexp_replace(t, {_D3}, '\3|\1|\2|\4|\5||\6') END, '|') AS p FROM d0),
+d2 AS (SELECT *, try_strptime(CASE WHEN length(p[1]) > 2 THEN p[1] WHEN p[1]::INT > 68 THEN '19' || p[1] ELSE '20' || p[1] END || '-' || list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(substr(p[2], 1, 3))) || '-' || p[3] || ' ' || p[4] || ':' || p[5] || ':' || coalesce(nullif(p[6], ''), '0'), '%Y-%m-%d %H:%M:%S') AS rfc,
+CASE WHEN regexp_matches(p[7], '^[+-]\d{{4}}$') AND p[7] <> '-0000' THEN (substr(p[7], 1, 1) || '1')::INT * (substr(p[7], 2, 2)::INT * 60 + substr(p[7], 4, 2)::INT) ELSE {_ZONES}[upper(p[7])] END AS z FROM d1),
+dates AS (SELECT row_idx, rfc, strftime(rfc, '%Y-%m-%dT%H:%M:%S') || CASE WHEN z IS NULL THEN '' ELSE printf('%s%02d:%02d', CASE WHEN z < 0 THEN '-' ELSE '+' END, abs(z) // 60, abs(z) % 60) END AS iso,
+coalesce(rfc, CASE WHEN regexp_matches(x, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}(\.\d+)?(Z|[+-]\d{{2}}:?\d{{2}})?$') THEN try_strptime(substr(x, 1, 10) || ' ' || substr(x, 12, 8), '%Y-%m-%d %H:%M:%S') + to_microseconds(coalesce(nullif(rpad(regexp_extract(x, '\.(\d+)', 1), 6, '0'), '000000'), '0')::BIGINT) END) AS wall FROM d2)"""
+_RAW = rf"""raw AS (SELECT row_idx, source_file, message_id, {_squeezed("subject")} AS subject, {_strip(_flat("date_text"))} AS date_text, {_strip(_flat("sender"))} AS sender, {_strip(_flat("in_reply_to"))} AS in_reply_to,
+{_joined("recipients")} AS recipients, {_joined("cc")} AS cc, {_joined("ref_ids")} AS ref_ids, coalesce(body, '') AS body, CASE WHEN len(cc) > 0 THEN chr(10) || chr(10) || 'Content-Disposition: Attachment; FileName=notes.txt' ELSE '' END AS part,
+concat_ws(chr(10), 'Message-ID: ' || {_flat("message_id")}, 'Subject: ' || replace({_squeezed("subject")}, ' ', chr(10) || ' '), 'Date: ' || {_flat("date_text")}, 'From: ' || {_flat("sender")}, 'To: ' || {_joined("recipients")}, 'Cc: ' || {_joined("cc")}, 'In-Reply-To: ' || {_flat("in_reply_to")}, 'References: ' || {_joined("ref_ids")}, 'Content-Transfer-Encoding: ' || CASE WHEN row_idx % 3 = 0 THEN 'quoted-printable' ELSE '8bit' END)
+|| chr(10) || chr(10) || CASE WHEN row_idx % 3 = 0 THEN replace(replace(coalesce(body, ''), '=', '=3D'), 'é', '=C3=A9') ELSE coalesce(body, '') END || CASE WHEN len(cc) > 0 THEN chr(10) || chr(10) || 'Content-Disposition: Attachment; FileName=notes.txt' ELSE '' END AS message FROM email_structure)"""
+_SLICE = rf"""{_DATES}, {_RAW}, rows1 AS (SELECT row_idx, nullif({_SUBJECT}, '') AS subject, rfc AS moment, contains(lower(message), 'content-disposition: attachment') OR contains(lower(message), 'filename=') OR contains(lower(message), 'name=') AS flagged, octet_length(encode(message)) AS size FROM raw JOIN dates USING (row_idx)),
 rows2 AS (SELECT *, year(moment) * 12 + month(moment) - 1 AS month FROM rows1 WHERE subject IS NOT NULL AND moment IS NOT NULL)"""
 _WINDOWS = f"""{_SLICE}, per_subject AS (SELECT month, subject, count(*) AS n, count(*) FILTER (flagged) AS f FROM rows2 GROUP BY ALL),
 months AS (SELECT month, sum(n) AS n, sum(f) AS f FROM per_subject GROUP BY month),
@@ -104,7 +137,7 @@ packed AS (SELECT row_idx, section, string_agg(p, chr(10) || chr(10) ORDER BY k)
 SELECT row_idx, section, len({_WORDS.format("t")}) AS token_count, md5(t) AS digest FROM packed UNION ALL SELECT row_idx, 1, 0, md5({_strip("coalesce(body, '')")}) FROM email_structure WHERE row_idx NOT IN (SELECT row_idx FROM paras)""",
     "subject_normalize": f"SELECT row_idx, {_SUBJECT} AS normalized_subject FROM email_structure",
     "participants": f"SELECT row_idx, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])), lambda x: {_strip("lower(coalesce(x, ''))")}), lambda x: x <> ''))), '|'), '') AS participants FROM email_structure",
-    "gap_sessions": f"""WITH r AS (SELECT row_idx, {_SUBJECT} AS normalized_subject, loaded_at AS moment, list_filter(list_transform(list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])), lambda x: {_strip("lower(coalesce(x, ''))")}), lambda x: x <> '') AS who FROM email_structure),
+    "gap_sessions": f"""WITH {_DATES}, r AS (SELECT row_idx, {_SUBJECT} AS normalized_subject, wall AS moment, list_filter(list_transform(list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])), lambda x: {_strip("lower(coalesce(x, ''))")}), lambda x: x <> '') AS who FROM email_structure JOIN dates USING (row_idx)),
 l AS (SELECT *, lag(row_idx) OVER w AS lr, lag(moment) OVER w AS la, lag(who) OVER w AS lw FROM r WINDOW w AS (PARTITION BY normalized_subject ORDER BY moment NULLS FIRST, row_idx)),
 s AS (SELECT *, CASE WHEN lr IS NULL THEN 1 WHEN list_has_any(who, lw) OR moment IS NULL OR la IS NULL OR moment <= la + INTERVAL 14 DAY THEN 0 ELSE 1 END AS fresh FROM l)
 SELECT row_idx, normalized_subject, CAST(sum(fresh) OVER (PARTITION BY normalized_subject ORDER BY moment NULLS FIRST, row_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM s""",
@@ -115,9 +148,9 @@ SELECT row_idx, normalized_subject, CAST(sum(fresh) OVER (PARTITION BY normalize
     "month_stats": f"WITH {_SLICE} SELECT month, count(*) AS messages, count(*) FILTER (flagged) AS flagged, count(DISTINCT subject) AS subjects FROM rows2 GROUP BY month",
     "window_scores": f"WITH {_WINDOWS} SELECT start, span, messages, flagged, viable, score FROM scores",
     "window_choice": f"WITH {_WINDOWS} SELECT start, span, last, messages, flagged, viable, score FROM best",
-    "thread_rank": f"WITH {_RANKS} SELECT rank, subject, messages, flagged FROM ranks WHERE rank <= 10000",
+    "thread_rank": f"WITH {_RANKS} SELECT rank, subject, messages, flagged FROM ranks",
     "slice_cap": f"WITH RECURSIVE {_CHOSEN} SELECT row_idx, subject, CAST(running AS BIGINT) AS running_bytes FROM capped",
-    "slice_summary": f"WITH RECURSIVE {_CHOSEN} SELECT printf('%04d-%02d', start // 12, start % 12 + 1) AS window_start, printf('%04d-%02d', last // 12, last % 12 + 1) AS window_end, span AS month_span, s.* FROM best, (SELECT count(DISTINCT subject) AS threads_selected, count(*) AS messages_selected, count(*) FILTER (flagged) AS attachment_messages, CAST(coalesce(sum(size), 0) AS BIGINT) AS indexed_text_bytes, round(coalesce(sum(size), 0) / 1048576, 2) AS indexed_text_mb FROM capped) s",
+    "slice_summary": f'''WITH RECURSIVE {_CHOSEN} SELECT printf('%04d-%02d', start // 12, start % 12 + 1) AS window_start, printf('%04d-%02d', last // 12, last % 12 + 1) AS window_end, span AS month_span, s.*, c.* FROM best, (SELECT count(DISTINCT subject) AS threads_selected, count(*) AS messages_selected, count(*) FILTER (flagged) AS attachment_messages, CAST(coalesce(sum(size), 0) AS BIGINT) AS indexed_text_bytes, round(coalesce(sum(size), 0) / 1048576, 2) AS indexed_text_mb FROM capped) s, (SELECT '[' || string_agg('{{"subject":' || to_json(subject) || ',"messages":' || n || '}}', ',' ORDER BY n DESC, f) || ']' AS thread_message_counts FROM (SELECT subject, count(*) AS n, min(row_idx) AS f FROM capped GROUP BY subject)) c''',
     "history_last_n": f"WITH {_EPOCHS} SELECT trace_id, epoch, array_to_string(list(coalesce(user_text, '')) OVER (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id ROWS 4 PRECEDING), ' | ') AS history FROM epochs",
     "prev_reference": f"WITH {_EPOCHS} SELECT trace_id, coalesce(nullif(lag(rewrite) OVER w, ''), nullif(lag(answer) OVER w, ''), nullif(lag(user_text) OVER w, '')) AS reference FROM epochs WINDOW w AS (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id)",
     "needs_rewrite": f"WITH {_TURNS} SELECT trace_id, CASE WHEN t = '' THEN FALSE WHEN regexp_matches(t, '(^|[^a-z0-9_])(that|it|he|she|they|them|those|these|earlier|previous|same one|that one)($|[^a-z0-9_])') THEN TRUE ELSE NOT regexp_matches(t, '^(who|what|when|where|why|show|summarize) ') AND len(regexp_extract_all(t, '[^ \\t\\n\\r\\f\\v]+')) <= 3 END AS needs FROM (SELECT trace_id, lower({_strip("coalesce(user_text, '')")}) AS t FROM turns)",
@@ -137,8 +170,8 @@ SELECT thread_id AS query_id, string_agg(person, ', ' ORDER BY k) AS people FROM
     "quoted_printable": "SELECT row_idx, md5(coalesce(body, '')) AS digest FROM email_structure",
     "trace_roundtrip": f"WITH {_TURNS} SELECT trace_id, session_id, thread_id, user_text, len(citations) AS cited, latency_ms FROM turns",
     "html_strip": "SELECT row_idx, md5(regexp_replace(coalesce(body, ''), '<[^>]+>', ' ', 'g')) AS digest FROM email_structure",
-    "mime_parse": f"SELECT row_idx, {_strip("coalesce(message_id, '')")} AS message_id, {_strip(f"regexp_replace(coalesce(subject, ''), '{_SP}*\\n[ \\t]+', ' ', 'g')")} AS subject, md5(regexp_replace(coalesce(body, ''), '\\r\\n?', chr(10), 'g')) AS digest FROM email_structure",
-    "thread_components": f"""WITH RECURSIVE r AS (SELECT row_idx, {_SUBJECT} AS s1, loaded_at AS moment, list_filter(list_transform(list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])), lambda x: {_strip("lower(coalesce(x, ''))")}), lambda x: x <> '') AS who FROM email_structure),
+    "mime_parse": f"WITH {_RAW} SELECT row_idx, {_strip(_flat('message_id'))} AS message_id, subject, sender AS \"from\", in_reply_to, md5(regexp_replace(CASE WHEN row_idx % 3 = 0 THEN replace(replace(body, '=', '=3D'), 'é', '=C3=A9') ELSE body END || part, '\\r\\n?', chr(10), 'g')) AS digest FROM raw",
+    "thread_components": f"""WITH RECURSIVE {_DATES}, r AS (SELECT row_idx, {_SUBJECT} AS s1, wall AS moment, list_filter(list_transform(list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])), lambda x: {_strip("lower(coalesce(x, ''))")}), lambda x: x <> '') AS who FROM email_structure JOIN dates USING (row_idx)),
 l AS (SELECT *, lag(row_idx) OVER w AS lr, lag(moment) OVER w AS la, lag(who) OVER w AS lw FROM r WINDOW w AS (PARTITION BY s1 ORDER BY moment NULLS FIRST, row_idx)),
 ids AS (SELECT message_id, max(row_idx) AS target FROM email_structure WHERE message_id <> '' GROUP BY message_id),
 e AS (SELECT row_idx AS u, lr AS v FROM l WHERE lr IS NOT NULL AND (list_has_any(who, lw) OR moment IS NULL OR la IS NULL OR moment <= la + INTERVAL 14 DAY)
@@ -184,3 +217,31 @@ fold(row_idx, k, n, section) AS (SELECT row_idx, k, n, CAST(1 AS BIGINT) FROM pa
 packed AS (SELECT row_idx, section, string_agg(p, chr(10) || chr(10) ORDER BY k) AS t FROM fold JOIN paras USING (row_idx, k) GROUP BY ALL UNION ALL SELECT row_idx, 1, body FROM texts WHERE row_idx NOT IN (SELECT row_idx FROM paras))
 SELECT printf('email_%04d_%02d', row_idx, section) AS doc_id, row_idx, section, coalesce(nullif(message_id, ''), 'row_' || row_idx) AS message_id, len({_WORDS.format("t")}) AS token_count, md5(t) AS digest FROM packed JOIN texts USING (row_idx)""",
 }
+
+SQL |= {
+    "index_build": f"WITH {_INDEX} SELECT term, df, round(ln(1 + (docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, corpus",
+    "retrieved_items": f"""WITH {_TURNS}, {_scored(_BY_TRACE, True)} SELECT query_id, rank, doc_id, i.thread_id, i.message_id, page_no, filename, chunk_type, score, subject, date_text, sender, array_to_string(coalesce(recipients, []), '|') AS recipients, array_to_string(coalesce(cc, []), '|') AS cc, md5(chunk_text) AS text_digest, substr(coalesce(chunk_text, ''), 1, 280) AS text_preview
+FROM ranked JOIN ingest i USING (doc_id) WHERE rank <= 5""",
+    "date_normalize": f"WITH {_DATES} SELECT row_idx, coalesce(iso, nullif(date_text, '')) AS iso FROM dates JOIN email_structure USING (row_idx)",
+    "message_metadata": f'WITH {_SLICE} SELECT row_idx, subject, moment AS "at", flagged, size FROM rows1',
+    "structured_records": rf"""WITH {_DATES}, {_RAW} SELECT row_idx, source_file, {_strip(_flat("message_id"))} AS message_id, subject, coalesce(iso, nullif(raw.date_text, '')) AS date_text, sender, nullif(in_reply_to, '') AS in_reply_to, array_to_string({_entries("recipients")}, '|') AS recipients, array_to_string({_entries("cc")}, '|') AS cc, array_to_string({_entries("ref_ids")}, '|') AS ref_ids,
+md5({_strip("regexp_replace(body || part, '\r\n?', chr(10), 'g')")}) AS digest FROM raw JOIN dates USING (row_idx)""",
+    "thread_numbers": f"""WITH t AS ({SQL["thread_components"].replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1)}), n AS (SELECT thread_row, row_number() OVER (ORDER BY thread_row) AS n FROM (SELECT DISTINCT thread_row FROM t))
+SELECT row_idx, printf('thread_%04d', n) AS thread_id, {_SUBJECT} AS normalized_subject FROM t JOIN n USING (thread_row) JOIN email_structure USING (row_idx)""",
+}
+# one line after the other folded into what is done, a mark, and the line still open
+_OPEN = "split_part(acc, chr(1), 2)"
+_DONE = f"split_part(acc, chr(1), 1) || CASE WHEN {_OPEN} <> '' THEN {_OPEN} || chr(10) ELSE '' END"
+_FOLDED = rf"""list_reduce(list_concat([chr(1)], list_transform(l, lambda x: {_strip("x")})), lambda acc, y: CASE WHEN y = '' OR starts_with(y, '>') OR regexp_matches(y, {_HEAD}) OR starts_with(y, '-----Original Message-----') THEN {_DONE} || y || chr(10) || chr(1)
+WHEN {_OPEN} = '' THEN split_part(acc, chr(1), 1) || chr(1) || y WHEN NOT regexp_matches({_OPEN}, '[.!?:;]$') AND NOT regexp_matches(y, '^[-*]') THEN acc || ' ' || y ELSE {_DONE} || chr(1) || y END)"""
+_UNWRAPPED = f"CASE WHEN {_OPEN} <> '' THEN replace(acc, chr(1), '') ELSE regexp_replace(split_part(acc, chr(1), 1), '\\n$', '') END"
+_CLEAN = rf"""b1 AS (SELECT row_idx, {_lines("regexp_replace(regexp_replace(coalesce({0}, ''), '\r\n?', chr(10), 'g'), '<[^>]+>', ' ', 'g')")} AS l FROM {{1}}),
+b2 AS (SELECT row_idx, list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT (i > 2 AND h[i] AND h[i - 1] AND h[i - 2])), lambda i: l[i]) AS l FROM (SELECT *, list_transform(l, lambda x: regexp_matches({_strip("x")}, {_HEAD})) AS h FROM b1)),
+b3 AS (SELECT row_idx, CASE WHEN hit IS NULL THEN l ELSE string_split({_strip("array_to_string(l[1:hit - 1], chr(10))")}, chr(10)) END AS l FROM (SELECT *, nullif(list_position(list_transform(l, lambda x: regexp_matches({_strip("x")}, {_CUT})), TRUE), 0) AS hit FROM b2)),
+b4 AS (SELECT row_idx, string_split({_strip(f"array_to_string(list_transform(list_filter(CASE WHEN hit IS NULL THEN l ELSE l[1:hit - 1] END, lambda x: NOT regexp_matches({_strip('x')}, '(?i)^(https?://|\\[no worries)')), lambda x: CASE WHEN {_strip('x')} = '' THEN '' ELSE x END), chr(10))")}, chr(10)) AS l FROM (SELECT *, nullif(list_position(list_transform(l, lambda x: regexp_matches({_strip("x")}, {_NEWS})), TRUE), 0) AS hit FROM b3)),
+b5 AS (SELECT row_idx, {_UNWRAPPED} AS t FROM (SELECT row_idx, {_FOLDED} AS acc FROM b4)),
+cleaned AS (SELECT row_idx, {_strip(f"regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_strip("regexp_replace(x, '[ \\t]+', ' ', 'g')")}), chr(10)), '\\n{{{{3,}}}}', chr(10) || chr(10), 'g')")} AS clean_body FROM b5)"""
+SQL |= {
+    "unwrap_lines": f"SELECT row_idx, md5({_UNWRAPPED}) AS digest FROM (SELECT row_idx, {_FOLDED} AS acc FROM (SELECT row_idx, {_lines('body')} AS l FROM email_structure))",
+    "clean_body": f"WITH {_CLEAN.replace('{0}', 'body').replace('{1}', 'email_structure').replace('{{', '{').replace('}}', '}')} SELECT row_idx, md5(clean_body) AS digest FROM cleaned",
+}
