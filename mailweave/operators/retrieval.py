@@ -201,7 +201,7 @@ def cascade(index: Index, questions: DataFrame, top_k: int = TOP_K) -> DataFrame
     return near.unionByName(listing_of).unionByName(wide)
 
 
-def slim(hits: DataFrame) -> Column:
+def slim() -> Column:
     """The ten fields of a retrieved chunk that traces and answers keep."""
     return F.struct("doc_id", "thread_id", "message_id", F.col("page_no").cast("int").alias("page_no"), F.col("filename").cast("string").alias("filename"), "chunk_type", F.col("score").cast("double").alias("score"), "subject", "date_text", F.coalesce("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW)).alias("text_preview"))
 

@@ -329,19 +329,24 @@ def people_answer(spark, d):
     return answers.distinct_people(answers.distinct_items(_listed(spark, d)))
 
 
+def _told(df: DataFrame) -> DataFrame:
+    """Answers with their citations and used items written out."""
+    cites = F.array_join(F.transform("citations", lambda c: F.concat_ws("/", c["cite_type"], c["message_id"], c["page_no"].cast("string"))), " ")
+    return df.select("query_id", "intent", "answer", cites.alias("citations"), F.to_json("used_items").alias("used_items"))
+
+
 @query
 def answer_turns(spark, d):
-    asked = _questions(spark, d)
-    index = retrieval.build_index(_chunks(spark, d))
-    found = retrieval.cascade(index, asked).select("query_id", "rank", "doc_id").join(index.chunks, "doc_id").withColumn("text_preview", F.substring(T.text_or_empty(F.col("chunk_text")), 1, retrieval.PREVIEW))
-    return answers.answers(asked, found)
+    asked, index = _questions(spark, d), _index(spark, d)
+    found = retrieval.with_chunks(index, retrieval.cascade(index, asked).drop("tier"))
+    return _told(answers.answers(asked, found))
 
 
 def _listed_answers(text: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         items = _listed(spark, d)
         asked = items.select("query_id").distinct().withColumns({"text": F.lit(text), "evidence_text": F.lit(text)})
-        return answers.answers(asked, items)
+        return _told(answers.answers(asked, items))
 
     return run
 
@@ -358,7 +363,7 @@ def rule_table_hint(spark, d):
     rules = spark.createDataFrame([(1, "pension", "This thread is about pensions."), (2, "tariff", "This thread is about tariffs.")], "priority int, phrase string, template string")
     items = _listed(spark, d)
     asked = items.select("query_id").distinct().withColumns({"text": F.lit("give me a summary"), "evidence_text": F.lit(None).cast("string")})
-    return answers.answers(asked, items, rules)
+    return _told(answers.answers(asked, items, rules))
 
 
 @query
