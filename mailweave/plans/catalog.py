@@ -263,9 +263,32 @@ def slice_summary(spark, d):
     return made.withColumn("thread_message_counts", F.to_json("thread_message_counts"))
 
 
+def _written(turns: str) -> F.Column:
+    """A list of turns written out, field by field."""
+    cites = lambda t: F.array_join(F.transform(t["citations"], lambda c: F.concat_ws("/", c["cite_type"], c["message_id"], c["page_no"].cast("string"))), ",")
+    return F.array_join(F.transform(turns, lambda t: F.concat_ws("|", T.text_or_empty(t["user_text"]), T.text_or_empty(t["rewrite"]), T.text_or_empty(t["answer"]), cites(t), F.date_format(t["timestamp"], "yyyy-MM-dd HH:mm:ss"))), " || ")
+
+
 @query
 def history_last_n(spark, d):
-    return sessions.history(_turns(spark, d)).select("trace_id", "epoch", F.array_join("history", " | ").alias("history"))
+    return sessions.history(_turns(spark, d)).select("trace_id", "epoch", _written("history").alias("history"))
+
+
+@query
+def session_state(spark, d):
+    state = sessions.session_states(_turns(spark, d))
+    return state.select("session_id", "thread_id", _written("history").alias("history"), *[F.array_join(k, "|").alias(k) for k in sessions.NOTE_PATTERNS], "last_topic")
+
+
+@query
+def session_switch_reset(spark, d):
+    """Sessions of long questions switch to a thread of their own, those of outside searches are reset."""
+    turns = _turns(spark, d)
+    states = sessions.session_states(turns)
+    to = turns.groupBy("session_id").agg(F.max("thread_id").alias("thread_id"), F.max(F.length("user_text")).alias("n")).filter("n > 60").select("session_id", "thread_id")
+    back = turns.filter("search_outside_thread").select("session_id")
+    done = sessions.reset(sessions.switched(states, to), back)
+    return done.select("session_id", "thread_id", F.size("history").alias("turns"), F.size("people").alias("people"), "last_topic")
 
 
 @query
@@ -286,7 +309,7 @@ def needs_rewrite(spark, d):
 
 @query
 def rule_rewrite(spark, d):
-    return sessions.rule_rewrite(_turns(spark, d)).select("trace_id", "needs", "rewritten")
+    return sessions.rewritten(_turns(spark, d)).select("trace_id", "needs", "rewritten")
 
 
 @query
@@ -307,7 +330,7 @@ def content_sentences(spark, d):
 
 @query
 def entity_extract(spark, d):
-    return load(spark, d, "documents").select("doc_id", *[F.array_join(sessions.extract(F.col("text"), k), "|").alias(k) for k in ("people", "dates", "amounts")])
+    return load(spark, d, "documents").select("doc_id", *[F.array_join(sessions.extract(F.col("text"), k), "|").alias(k) for k in ("people", "dates", "amounts", "filenames")])
 
 
 @query
@@ -331,8 +354,10 @@ def people_answer(spark, d):
 
 def _told(df: DataFrame) -> DataFrame:
     """Answers with their citations and used items written out."""
-    cites = F.array_join(F.transform("citations", lambda c: F.concat_ws("/", c["cite_type"], c["message_id"], c["page_no"].cast("string"))), " ")
-    return df.select("query_id", "intent", "answer", cites.alias("citations"), F.to_json("used_items").alias("used_items"))
+    part = lambda *cols: F.concat_ws("/", *[c.cast("string") for c in cols])
+    cites = F.array_join(F.transform("citations", lambda c: part(c["cite_type"], c["message_id"], c["page_no"])), " ")
+    used = F.array_join(F.transform("used_items", lambda u: part(*[u[k] for k in ("doc_id", "thread_id", "message_id", "page_no", "filename", "chunk_type", "score", "subject", "date_text")], F.md5(u["text_preview"]))), " ")
+    return df.select("query_id", "intent", "answer", cites.alias("citations"), used.alias("used_items"))
 
 
 @query
@@ -403,11 +428,22 @@ def quoted_printable(spark, d):
     return _mail(spark, d).select("row_idx", F.md5(mailcsv.quoted_printable(escaped)).alias("digest"))
 
 
+@query
+def keyword_tokens(spark, d):
+    return _turns(spark, d).select("trace_id", F.array_join(sessions.keywords(F.col("user_text")), " ").alias("words"), sessions.valid_rewrite(F.col("user_text"), F.col("rewrite")).alias("valid"), answers.valid_compressed(F.col("answer")).alias("compressed"))
+
+
 @query
 def trace_roundtrip(spark, d):
-    """Turns written as JSON lines under a run and read back."""
-    turns = _turns(spark, d).select("trace_id", "session_id", "thread_id", "user_text", "rewrite", "answer", "citations", "latency_ms", "search_outside_thread")
+    """Turns with what was retrieved for them, written as JSON lines of thirteen fields under a run and read back."""
+    index, asked = _index(spark, d), _questions(spark, d)
+    hits = retrieval.with_chunks(index, retrieval.ranked(index, asked))
+    kept = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", retrieval.slim().alias("item")))).alias("r"))  # at most five
+    items = F.transform("r", lambda x: x["item"])
+    turns = _turns(spark, d).join(kept, F.col("trace_id") == F.col("query_id"), "left").withColumns({"retrieved": items, "used_items": F.slice(items, 1, 3)})
     path = f"{shared_folder(spark)}/trace-{uuid.uuid4().hex}"
     mailcsv.write_trace(turns, path, "run")
-    back = mailcsv.read_trace(spark, path, turns.schema)
-    return back.select("trace_id", "session_id", "thread_id", "user_text", F.size("citations").alias("cited"), F.col("latency_ms"))
+    back = mailcsv.read_trace(spark, path)
+    cites = F.array_join(F.transform("citations", lambda c: F.concat_ws("/", c["cite_type"], c["message_id"], c["page_no"].cast("string"))), " ")
+    names = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("/", x["doc_id"], x["score"].cast("string"), F.md5(x["text_preview"]))), " ")
+    return back.select("trace_id", "logged_at", "session_id", "thread_id", "user_text", "rewrite", names("retrieved").alias("retrieved"), names("used_items").alias("used_items"), "answer", cites.alias("citations"), "latency_ms", "search_outside_thread", F.size("token_counts").alias("token_counts"))

@@ -93,13 +93,6 @@ _HEAD = "'(?i)^(from|sent|to|cc|subject|date)[ \\t\\n\\r\\f\\v]*:'"
 _CUT = "'(?i)^(this e-mail and any attachment|the information contained in this email|this message may contain confidential|if you are not the intended recipient|legal stuff|this story appeared on|here is the story we were requested to send you|the information contained in this newsletter|attachment part|content-disposition:[ \\t]*attachment|[-_]{10,}$)'"
 _NEWS = "'(?i)^(welcome new hires|transfers to|nuggets & notes|in the news)'"
 
-_CITE = "'[msg: ' || coalesce(message_id, '') || ']'"
-_UNKNOWN = "'I found relevant messages in the active thread, but I do not have enough clear evidence to answer directly. Please narrow the question slightly.'"
-_ITEMS = f"""{_LISTED}, sig AS (SELECT *, row_number() OVER (PARTITION BY thread_id, lower({_strip("coalesce(subject, '')")}), lower({_strip("substr(coalesce(chunk_text, ''), 1, 280)")}) ORDER BY rank) AS m FROM listed WHERE rank <= 5),
-items AS (SELECT *, thread_id AS query_id, row_number() OVER (PARTITION BY thread_id ORDER BY rank) AS place, {_CITE} AS cite FROM sig WHERE m = 1),
-cites AS (SELECT query_id, string_agg(cite, ' ' ORDER BY place) AS cites FROM items WHERE place <= 3 GROUP BY query_id)"""
-
-
 def _cleaned(x: str) -> str:
     """SQL of a sentence without bylines, datelines and legal tails."""
     x = f"replace({x}, '>', ' ')"
@@ -110,10 +103,78 @@ def _cleaned(x: str) -> str:
     return _strip(f"regexp_replace({x}, '{_SP}+', ' ', 'g')")
 
 
-_VALUES = """list_concat(regexp_extract_all(c, '(?i)(?:\\$|USD\\s*)\\s*\\d[\\d,]*(?:\\.\\d+)?(?:/[A-Za-z]+)?'), regexp_extract_all(c, '\\d+(?:\\.\\d+)?\\s*/\\s*[A-Za-z]+'))"""
+_VALUES = """list_concat(regexp_extract_all(c, '(?i)(?:\\$|USD\\s*)\\s*\\d[\\d,]*(?:\\.\\d+)?(?:/[A-Za-z]+)?'), regexp_extract_all(c, '\\b\\d+(?:\\.\\d+)?\\s*/\\s*[A-Za-z]+\\b'))"""
 _LINES = rf"""list_filter(list_transform(string_split(regexp_replace(coalesce(chunk_text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: {_strip("x")}), lambda x: x <> '')"""
 _SENTENCES = rf"""string_split(regexp_replace({{0}}, '([.!?]){_SP}+', '\1' || chr(1), 'g'), chr(1))"""
 
+
+
+def _route(t: str) -> str:
+    """SQL of the intent of a lower-case question."""
+    return rf"""CASE WHEN regexp_matches({t}, '\b(timeline|chronology|chronological|who said what|when did)\b') THEN 'timeline' WHEN regexp_matches({t}, '\b(who is involved|who all are involved|who is talking|participants|people involved|who sent)\b') THEN 'people'
+WHEN regexp_matches({t}, '\b(decision|proposal|request|asked|asking|what.*discussed|what.*proposal|what.*request)\b') THEN 'decision' WHEN regexp_matches({t}, '\bwhy\b') THEN 'why' WHEN regexp_matches({t}, '\bwhat meeting|which meeting|meeting referred to|meeting mentioned\b') THEN 'meeting'
+WHEN regexp_matches({t}, '\b(where|location|connected to)\b') THEN 'location' WHEN regexp_matches({t}, '\b(amount|price|cost|value|cap|rate|how much)\b') THEN 'value' WHEN regexp_matches({t}, '\b(when|date|sent|approved on)\b') THEN 'date'
+WHEN regexp_matches({t}, '\b(summary|summarize|what is this about|what does it talk about|mainly about|overview)\b') THEN 'summary' ELSE 'default' END"""
+
+
+_NO_ITEMS = "'I could not find enough evidence in the active thread. What email, person, or subject should I focus on?'"
+_UNKNOWN = "'I found relevant messages in the active thread, but I do not have enough clear evidence to answer directly. Please narrow the question slightly.'"
+
+
+def _items(hits: str) -> str:
+    """SQL of the distinct items of ranked hits (query_id, rank, score, doc_id)."""
+    return f"""hits AS ({hits}), sig AS (SELECT h.query_id, h.rank, h.score, i.*, row_number() OVER (PARTITION BY h.query_id, lower({_strip("coalesce(subject, '')")}), lower({_strip("substr(coalesce(chunk_text, ''), 1, 280)")}) ORDER BY h.rank) AS m FROM hits h JOIN ingest i USING (doc_id)),
+items AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, '[msg: ' || coalesce(message_id, '') || coalesce(', page: ' || page_no, '') || ']' AS cite, concat_ws('/', chunk_type, message_id, page_no) AS src,
+concat_ws('/', doc_id, thread_id, message_id, page_no, filename, chunk_type, CAST(score AS DOUBLE), subject, date_text, md5(substr(coalesce(chunk_text, ''), 1, 280))) AS slim FROM sig WHERE m = 1 QUALIFY place <= 5)"""
+
+
+def _normal(x: str) -> str:
+    """SQL of a sentence as an answer shows it."""
+    x = _cleaned(x)
+    for pattern in [rf"(?i)^(to|cc|subject|importance):{_SP}+.*$", rf"(?i)^(here you go|good afternoon)[ \t\n\r\f\v\-:]*", rf"(?i)^(the following message was attached:{_SP}*)"]:
+        x = f"regexp_replace({x}, '{pattern}', '')"
+    return f"regexp_replace(regexp_replace({_squeezed(x)}, '^[ \\-:]+', ''), '[ \\-:]+$', '')"
+
+
+def _answered(asked: str, hits: str) -> str:
+    """SQL of the answers to ``asked`` (query_id, text, evidence) from ranked hits."""
+    first_low = "lower(substr({0}, 1, 1)) || substr({0}, 2)"
+    words = rf"len(regexp_extract_all({{0}}, '[^ \t\n\r\f\v]+'))"
+    return rf"""{_items(hits)}, routed AS (SELECT *, {_route("lower(coalesce(text, ''))")} AS intent FROM ({asked})),
+used AS (SELECT query_id, string_agg(slim, ' ' ORDER BY place) FILTER (place <= 3) AS used, string_agg(cite, ' ' ORDER BY place) FILTER (place <= 3) AS cites FROM items GROUP BY query_id),
+persons AS (SELECT query_id, place, unnest(xs) AS person, unnest(range(len(xs))) AS pos FROM (SELECT query_id, place, list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])) AS xs FROM items)),
+person_once AS (SELECT * FROM persons WHERE trim(person) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, lower({_strip("person")}) ORDER BY place, pos) = 1),
+people AS (SELECT query_id, string_agg(person, ', ' ORDER BY k) AS people FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, pos) AS k FROM person_once) WHERE k <= 8 GROUP BY query_id),
+named AS (SELECT query_id, string_agg(src, ' ' ORDER BY place) AS srcs FROM items WHERE len(list_filter(list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])), lambda x: x <> '')) > 0 GROUP BY query_id),
+told AS (SELECT query_id, place, src, coalesce(date_text, '') AS d, coalesce(message_id, '') AS m, {_strip("coalesce(nullif(date_text, ''), 'Unknown date') || ': ' || coalesce(nullif(sender, ''), 'Unknown sender') || ' re ' || coalesce(nullif(subject, ''), 'No subject') || ' ' || cite")} AS l FROM items),
+told_once AS (SELECT query_id, l, min((d, m, place)) AS o FROM told GROUP BY query_id, l),
+content AS (SELECT query_id, place, cite, src, list_filter(list_transform({_SENTENCES.format("body")}, lambda x: {_cleaned("x")}), lambda x: {words.format("x")} > 8 AND NOT regexp_matches(x, '(?i)^By\s+[A-Z][A-Za-z\s.\-'']+(?:\s+Of\s+[A-Z][A-Za-z\s.\-'']+)?$') AND NOT regexp_matches(x, '(?i)^(?:if there was an inch|more|final order|legal stuff)')) AS s
+FROM (SELECT *, CASE WHEN len(lines) > 3 THEN array_to_string(lines[4:], chr(10)) ELSE coalesce(chunk_text, '') END AS body FROM (SELECT *, {_LINES} AS lines FROM items))),
+leads AS (SELECT query_id, place, cite, src, {_normal("s[1]")} AS lead FROM content),
+requests AS (SELECT query_id, place, cite, src, list_filter(list_transform(list_filter(s, lambda x: regexp_matches(x, '(?i)approved|decided|proposed|requested|please forward|is invited|meeting|pre-meeting|ask|approval')), lambda x: {_normal("x")}), lambda x: NOT contains(lower(x), 'forwarded by'))[1] AS request FROM content),
+request AS (SELECT query_id, arg_min(struct_pack(r := request, c := cite, s := src), place) AS q FROM requests WHERE place <= 3 AND request <> '' GROUP BY query_id),
+topics AS (SELECT query_id, cite, src, CASE WHEN t <> '' THEN 'This thread is mainly about ' || {first_low.format("t")} || '.' END AS topic FROM (SELECT *, {_normal(_strip("coalesce(subject, '')"))} AS t FROM items WHERE place = 1)),
+values_of AS (SELECT query_id, place, src, CASE WHEN rated THEN coalesce(list_filter(v, lambda x: contains(x, '/') OR contains(lower(x), 'mwh'))[1], v[1]) ELSE v[1] END AS v FROM (SELECT query_id, place, src, rated, {_VALUES} AS v FROM (SELECT query_id, place, src, regexp_matches(lower(coalesce(text, '')), 'price|cap|rate') AS rated, {_cleaned("coalesce(chunk_text, '')")} AS c FROM items JOIN routed USING (query_id) WHERE intent = 'value'))),
+value_of AS (SELECT query_id, arg_min(v, place) AS v, arg_min(src, place) AS src FROM values_of WHERE v <> '' GROUP BY query_id),
+point AS (SELECT query_id, place, src, lead FROM leads WHERE place <= 3 AND {words.format("lead")} > 6),
+points AS (SELECT query_id, list(lead ORDER BY p) AS p FROM (SELECT query_id, lead, min(place) AS p FROM point GROUP BY ALL) GROUP BY query_id), pointed AS (SELECT query_id, string_agg(src, ' ' ORDER BY place) AS srcs FROM point GROUP BY query_id),
+scored_s AS (SELECT query_id, place, cite, src, s[k] AS x, k, len(list_intersect({_WORDS.format("evidence")}, {_WORDS.format("s[k]")})) AS o FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM (SELECT i.query_id, place, cite, src, evidence, list_filter(list_transform({_SENTENCES.format("coalesce(chunk_text, '')")}, lambda x: {_strip("x")}), lambda x: x <> '') AS s FROM items i JOIN routed USING (query_id) WHERE place <= 3 AND intent = 'default'))),
+bests AS (SELECT query_id, place, cite, src, {_cleaned("string_agg(x, ' ' ORDER BY n)")} AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id, place ORDER BY o DESC, k) AS n FROM scored_s) WHERE n <= 2 GROUP BY query_id, place, cite, src),
+best AS (SELECT * FROM bests WHERE {words.format("best")} >= 5), grounded AS (SELECT query_id, string_agg(t, ' ' ORDER BY p) AS t FROM (SELECT query_id, best || ' ' || string_agg(cite, ' ' ORDER BY place) AS t, min(place) AS p FROM best GROUP BY query_id, best) GROUP BY query_id), grounds AS (SELECT query_id, string_agg(src, ' ' ORDER BY place) AS srcs FROM best GROUP BY query_id),
+built AS (SELECT query_id, 'timeline' AS intent, CASE WHEN n = 1 THEN 'This thread has one indexed message. ' ELSE '' END || l AS answer, srcs AS citations FROM (SELECT query_id, string_agg(l, chr(10) ORDER BY o) AS l FROM told_once GROUP BY query_id) JOIN (SELECT query_id, count(*) AS n, string_agg(src, ' ' ORDER BY d, m, place) AS srcs FROM told GROUP BY query_id) USING (query_id)
+UNION ALL SELECT query_id, 'people', 'The conversation involves: ' || people || '. ' || cites, srcs FROM people JOIN used USING (query_id) JOIN named USING (query_id)
+UNION ALL SELECT query_id, 'decision', coalesce('The main request or proposal is: ' || q.r || ' ' || q.c, 'I do not see a formal decision in this thread. It mainly shares information: ' || topic || ' ' || cite), coalesce(q.s, src) FROM topics LEFT JOIN request USING (query_id)
+UNION ALL SELECT query_id, 'why', 'The email was forwarded to share this information more widely: ' || nullif(lead, '') || ' ' || cite, src FROM leads WHERE place = 1
+UNION ALL SELECT query_id, 'meeting', 'The thread refers to a meeting scheduled for ' || nullif(regexp_extract(coalesce(chunk_text, ''), '(?i)\b(?:meeting|luncheon meeting).{{0,60}}?(Monday,\s+[A-Za-z]+\s+\d{{1,2}})', 1), '') || '. ' || cite, src FROM items WHERE place = 1
+UNION ALL SELECT query_id, 'location', 'The meeting is connected to the law offices of ' || {_strip(r"nullif(regexp_extract(coalesce(chunk_text, ''), '(?i)\blaw offices?\s+of\s+([^.,]+)', 1), '')")} || '. ' || cite, src FROM items WHERE place = 1
+UNION ALL SELECT query_id, 'value', 'The key value mentioned is ' || v || '. ' || cites, src FROM value_of JOIN used USING (query_id)
+UNION ALL SELECT query_id, 'date', 'The message was sent on ' || coalesce(date_text, 'an unknown date') || '. ' || cite, src FROM (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(coalesce(date_text, '')) = 0, place) = 1)
+UNION ALL SELECT query_id, 'summary', coalesce(topic || ' ' || cite, 'This thread is about ' || {first_low.format("p[1]")} || CASE WHEN contains(lower(p[1]), lower(p[2])) OR contains(lower(p[2]), lower(p[1])) OR p[2] IS NULL THEN '' ELSE ' ' || p[2] END || ' ' || cites), CASE WHEN topic IS NULL THEN srcs ELSE src END FROM topics JOIN used USING (query_id) LEFT JOIN points USING (query_id) LEFT JOIN pointed USING (query_id)
+UNION ALL SELECT query_id, 'default', t, srcs FROM grounded JOIN grounds USING (query_id)),
+shown AS (SELECT r.query_id, r.intent, u.query_id IS NULL AS empty, nullif({_strip("answer")}, '') AS t, citations, used FROM routed r LEFT JOIN used u USING (query_id) LEFT JOIN built b ON b.query_id = r.query_id AND b.intent = r.intent)
+SELECT query_id, intent, CASE WHEN empty THEN {_NO_ITEMS} ELSE coalesce(t, {_UNKNOWN}) END AS answer, CASE WHEN t IS NULL THEN '' ELSE coalesce(citations, '') END AS citations, CASE WHEN t IS NULL THEN '' ELSE used END AS used_items FROM shown"""
+
+
 SQL: dict[str, str] = {
     "bm25_topk_partition": f"WITH {_TURNS}, {_scored(_BY_TRACE, True)} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 5",
     "bm25_topk_global": f"WITH {_scored('SELECT DISTINCT user_text AS query_id, NULL::VARCHAR AS thread_id, user_text AS text FROM trace_turns WHERE length(user_text) > 0', False)} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 5",
@@ -151,16 +212,9 @@ SELECT row_idx, normalized_subject, CAST(sum(fresh) OVER (PARTITION BY normalize
     "thread_rank": f"WITH {_RANKS} SELECT rank, subject, messages, flagged FROM ranks",
     "slice_cap": f"WITH RECURSIVE {_CHOSEN} SELECT row_idx, subject, CAST(running AS BIGINT) AS running_bytes FROM capped",
     "slice_summary": f'''WITH RECURSIVE {_CHOSEN} SELECT printf('%04d-%02d', start // 12, start % 12 + 1) AS window_start, printf('%04d-%02d', last // 12, last % 12 + 1) AS window_end, span AS month_span, s.*, c.* FROM best, (SELECT count(DISTINCT subject) AS threads_selected, count(*) AS messages_selected, count(*) FILTER (flagged) AS attachment_messages, CAST(coalesce(sum(size), 0) AS BIGINT) AS indexed_text_bytes, round(coalesce(sum(size), 0) / 1048576, 2) AS indexed_text_mb FROM capped) s, (SELECT '[' || string_agg('{{"subject":' || to_json(subject) || ',"messages":' || n || '}}', ',' ORDER BY n DESC, f) || ']' AS thread_message_counts FROM (SELECT subject, count(*) AS n, min(row_idx) AS f FROM capped GROUP BY subject)) c''',
-    "history_last_n": f"WITH {_EPOCHS} SELECT trace_id, epoch, array_to_string(list(coalesce(user_text, '')) OVER (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id ROWS 4 PRECEDING), ' | ') AS history FROM epochs",
     "prev_reference": f"WITH {_EPOCHS} SELECT trace_id, coalesce(nullif(lag(rewrite) OVER w, ''), nullif(lag(answer) OVER w, ''), nullif(lag(user_text) OVER w, '')) AS reference FROM epochs WINDOW w AS (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id)",
     "needs_rewrite": f"WITH {_TURNS} SELECT trace_id, CASE WHEN t = '' THEN FALSE WHEN regexp_matches(t, '(^|[^a-z0-9_])(that|it|he|she|they|them|those|these|earlier|previous|same one|that one)($|[^a-z0-9_])') THEN TRUE ELSE NOT regexp_matches(t, '^(who|what|when|where|why|show|summarize) ') AND len(regexp_extract_all(t, '[^ \\t\\n\\r\\f\\v]+')) <= 3 END AS needs FROM (SELECT trace_id, lower({_strip("coalesce(user_text, '')")}) AS t FROM turns)",
-    "intent_route": f"""WITH {_TURNS}, t AS (SELECT trace_id, lower(coalesce(user_text, '')) AS t FROM turns) SELECT trace_id, CASE
-WHEN regexp_matches(t, '\\b(timeline|chronology|chronological|who said what|when did)\\b') THEN 'timeline' WHEN regexp_matches(t, '\\b(who is involved|who all are involved|who is talking|participants|people involved|who sent)\\b') THEN 'people'
-WHEN regexp_matches(t, '\\b(decision|proposal|request|asked|asking|what.*discussed|what.*proposal|what.*request)\\b') THEN 'decision' WHEN regexp_matches(t, '\\bwhy\\b') THEN 'why' WHEN regexp_matches(t, '\\bwhat meeting|which meeting|meeting referred to|meeting mentioned\\b') THEN 'meeting'
-WHEN regexp_matches(t, '\\b(where|location|connected to)\\b') THEN 'location' WHEN regexp_matches(t, '\\b(amount|price|cost|value|cap|rate|how much)\\b') THEN 'value' WHEN regexp_matches(t, '\\b(when|date|sent|approved on)\\b') THEN 'date'
-WHEN regexp_matches(t, '\\b(summary|summarize|what is this about|what does it talk about|mainly about|overview)\\b') THEN 'summary' ELSE 'default' END AS intent FROM t""",
-    "entity_extract": """SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+(?:[ \\t\\n\\r\\f\\v]+[A-Z][a-z]+)+'), '|') AS people, array_to_string(regexp_extract_all(coalesce(text, ''), '\\d{4}-\\d{2}-\\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[ \\t\\n\\r\\f\\v]+\\d{1,2},?[ \\t\\n\\r\\f\\v]+\\d{4}'), '|') AS dates,
-array_to_string(regexp_extract_all(coalesce(text, ''), '(?:\\$|(?:USD|usd)[ \\t\\n\\r\\f\\v]?)\\d[\\d,]*(?:\\.\\d+)?'), '|') AS amounts FROM documents""",
+    "intent_route": f"WITH {_TURNS} SELECT trace_id, {_route("lower(coalesce(user_text, ''))")} AS intent FROM turns",
     "item_dedupe": f"WITH {_LISTED}, s AS (SELECT *, row_number() OVER (PARTITION BY thread_id, lower({_strip("coalesce(subject, '')")}), lower({_strip("substr(coalesce(chunk_text, ''), 1, 280)")}) ORDER BY rank) AS m FROM listed WHERE rank <= 5) SELECT thread_id AS query_id, row_number() OVER (PARTITION BY thread_id ORDER BY rank) AS place, doc_id FROM s WHERE m = 1",
     "people_answer": f"""WITH {_LISTED}, s AS (SELECT *, row_number() OVER (PARTITION BY thread_id, lower({_strip("coalesce(subject, '')")}), lower({_strip("substr(coalesce(chunk_text, ''), 1, 280)")}) ORDER BY rank) AS m FROM listed WHERE rank <= 5),
 p AS (SELECT thread_id, rank, unnest(xs) AS person, unnest(range(len(xs))) AS pos FROM (SELECT thread_id, rank, list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])) AS xs FROM s WHERE m = 1)),
@@ -168,7 +222,6 @@ f AS (SELECT *, row_number() OVER (PARTITION BY thread_id, lower({_strip("person
 SELECT thread_id AS query_id, string_agg(person, ', ' ORDER BY k) AS people FROM g WHERE k <= 8 GROUP BY thread_id""",
     "address_list": f"SELECT row_idx, array_to_string(list_filter(list_transform(string_split(array_to_string(coalesce(recipients, []), ', '), ','), lambda x: {_strip('x')}), lambda x: x <> ''), '|') AS entries FROM email_structure",
     "quoted_printable": "SELECT row_idx, md5(coalesce(body, '')) AS digest FROM email_structure",
-    "trace_roundtrip": f"WITH {_TURNS} SELECT trace_id, session_id, thread_id, user_text, len(citations) AS cited, latency_ms FROM turns",
     "html_strip": "SELECT row_idx, md5(regexp_replace(coalesce(body, ''), '<[^>]+>', ' ', 'g')) AS digest FROM email_structure",
     "mime_parse": f"WITH {_RAW} SELECT row_idx, {_strip(_flat('message_id'))} AS message_id, subject, sender AS \"from\", in_reply_to, md5(regexp_replace(CASE WHEN row_idx % 3 = 0 THEN replace(replace(body, '=', '=3D'), 'é', '=C3=A9') ELSE body END || part, '\\r\\n?', chr(10), 'g')) AS digest FROM raw",
     "thread_components": f"""WITH RECURSIVE {_DATES}, r AS (SELECT row_idx, {_SUBJECT} AS s1, wall AS moment, list_filter(list_transform(list_concat(list_concat([sender], coalesce(recipients, [])), coalesce(cc, [])), lambda x: {_strip("lower(coalesce(x, ''))")}), lambda x: x <> '') AS who FROM email_structure JOIN dates USING (row_idx)),
@@ -182,17 +235,6 @@ SELECT a AS row_idx, min(z) AS thread_row FROM reach GROUP BY a""",
 }
 
 SQL |= {
-    "date_answer": f"""WITH {_ITEMS} SELECT query_id, 'date' AS intent, 'The message was sent on ' || coalesce(date_text, 'an unknown date') || '. ' || cite AS answer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(coalesce(date_text, '')) = 0, place) AS n FROM items) WHERE n = 1""",
-    "people_reply": f"""WITH {_ITEMS}, people AS ({SQL["people_answer"]}) SELECT query_id, 'people' AS intent, coalesce('The conversation involves: ' || people || '. ' || cites, {_UNKNOWN}) AS answer FROM cites LEFT JOIN people USING (query_id)""",
-    "timeline_answer": f"""WITH {_ITEMS}, told AS (SELECT query_id, coalesce(date_text, '') AS d, coalesce(message_id, '') AS m, coalesce(nullif(date_text, ''), 'Unknown date') || ': ' || coalesce(nullif(sender, ''), 'Unknown sender') || ' re ' || coalesce(nullif(subject, ''), 'No subject') || ' ' || cite AS l, count(*) OVER (PARTITION BY query_id) AS n FROM items),
-once AS (SELECT query_id, l, min(d) AS d, min(m) AS m, min(n) AS n FROM told GROUP BY query_id, l)
-SELECT query_id, 'timeline' AS intent, {_strip("CASE WHEN min(n) = 1 THEN 'This thread has one indexed message. ' ELSE '' END || string_agg(l, chr(10) ORDER BY d, m, l)")} AS answer FROM once GROUP BY query_id""",
-    "meeting_answer": rf"""WITH {_ITEMS} SELECT query_id, 'meeting' AS intent, coalesce('The thread refers to a meeting scheduled for ' || nullif(regexp_extract(coalesce(chunk_text, ''), '(?i)\b(?:meeting|luncheon meeting).{{0,60}}?(Monday,\s+[A-Za-z]+\s+\d{{1,2}})', 1), '') || '. ' || cite, {_UNKNOWN}) AS answer FROM items WHERE place = 1""",
-    "location_answer": rf"""WITH {_ITEMS} SELECT query_id, 'location' AS intent, coalesce('The meeting is connected to the law offices of ' || {_strip(r"nullif(regexp_extract(coalesce(chunk_text, ''), '(?i)\blaw offices?\s+of\s+([^.,]+)', 1), '')")} || '. ' || cite, {_UNKNOWN}) AS answer FROM items WHERE place = 1""",
-    "value_answer": f"""WITH {_ITEMS}, found AS (SELECT query_id, place, {_VALUES} AS v FROM (SELECT query_id, place, {_cleaned("chunk_text")} AS c FROM items)),
-chosen AS (SELECT query_id, place, coalesce(list_filter(v, lambda x: contains(x, '/') OR contains(lower(x), 'mwh'))[1], v[1]) AS v FROM found),
-first_value AS (SELECT query_id, arg_min(v, place) AS v FROM chosen WHERE v <> '' GROUP BY query_id)
-SELECT query_id, 'value' AS intent, coalesce('The key value mentioned is ' || v || '. ' || cites, {_UNKNOWN}) AS answer FROM cites LEFT JOIN first_value USING (query_id)""",
     "value_extract": f"""SELECT doc_id, array_to_string({_VALUES}, '|') AS found FROM (SELECT doc_id, {_cleaned("coalesce(chunk_text, '')")} AS c FROM ingest)""",
     "content_sentences": f"""WITH a AS (SELECT doc_id, coalesce(chunk_text, '') AS t, {_LINES} AS lines FROM ingest), b AS (SELECT doc_id, CASE WHEN len(lines) > 3 THEN array_to_string(lines[4:], chr(10)) ELSE t END AS body FROM a),
 s AS (SELECT doc_id, list_filter(list_transform({_SENTENCES.format("body")}, lambda x: {_cleaned("x")}), lambda x: len(regexp_extract_all(x, '[^ \\t\\n\\r\\f\\v]+')) > 8 AND NOT regexp_matches(x, '(?i)^By\\s+[A-Z][A-Za-z\\s.\\-'']+(?:\\s+Of\\s+[A-Z][A-Za-z\\s.\\-'']+)?$') AND NOT regexp_matches(x, '(?i)^(?:if there was an inch|more|final order|legal stuff)')) AS s FROM b)
@@ -201,15 +243,6 @@ SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM s""",
 b AS (SELECT doc_id, i, s[i] AS x, len(list_intersect(asked, {_WORDS.format("s[i]")})) AS o FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM a)),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, i) AS k FROM b), best AS (SELECT doc_id, string_agg(x, '|' ORDER BY k) AS t FROM c WHERE k <= 2 GROUP BY doc_id)
 SELECT doc_id, md5(coalesce(t, '')) AS digest FROM ingest LEFT JOIN best USING (doc_id)""",
-    "entity_notes_running": f"""WITH {_EPOCHS}, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id) AS o, concat_ws(' ', nullif(user_text, ''), nullif(rewrite, ''), nullif(answer, '')) AS t, coalesce(nullif({_strip("coalesce(rewrite, '')")}, ''), nullif({_strip("coalesce(user_text, '')")}, '')) AS topic FROM epochs),
-f AS (SELECT session_id, epoch, o, 'people' AS kind, regexp_extract_all(t, '[A-Z][a-z]+(?:{_SP}+[A-Z][a-z]+)+') AS xs FROM placed
-UNION ALL SELECT session_id, epoch, o, 'dates', regexp_extract_all(t, '\\d{{4}}-\\d{{2}}-\\d{{2}}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*{_SP}+\\d{{1,2}},?{_SP}+\\d{{4}}') FROM placed
-UNION ALL SELECT session_id, epoch, o, 'amounts', regexp_extract_all(t, '(?:\\$|(?:USD|usd){_SP}?)\\d[\\d,]*(?:\\.\\d+)?') FROM placed
-UNION ALL SELECT session_id, epoch, o, 'message_ids', list_concat(regexp_extract_all(t, '<[^> \\t\\n\\r\\f\\v]+>'), list_filter(list_transform(coalesce(citations, []), lambda c: c.message_id), lambda m: length(m) > 0)) FROM placed),
-x AS (SELECT session_id, epoch, kind, o, unnest(xs) AS item, unnest(range(len(xs))) AS j FROM f), firsts AS (SELECT session_id, epoch, kind, item, min((o, j)) AS p FROM x GROUP BY ALL),
-notes AS (SELECT t.trace_id, kind, string_agg(item, '|' ORDER BY p) AS xs FROM placed t JOIN firsts i ON i.session_id IS NOT DISTINCT FROM t.session_id AND i.epoch = t.epoch AND i.p[1] <= t.o GROUP BY ALL),
-topics AS (SELECT trace_id, last_value(topic IGNORE NULLS) OVER (PARTITION BY session_id, epoch ORDER BY o ROWS UNBOUNDED PRECEDING) AS last_topic FROM placed)
-SELECT trace_id, coalesce(max(xs) FILTER (kind = 'people'), '') AS people, coalesce(max(xs) FILTER (kind = 'dates'), '') AS dates, coalesce(max(xs) FILTER (kind = 'amounts'), '') AS amounts, coalesce(max(xs) FILTER (kind = 'message_ids'), '') AS message_ids, last_topic FROM topics LEFT JOIN notes USING (trace_id) GROUP BY trace_id, last_topic""",
     "chunk_rows": rf"""WITH RECURSIVE texts AS (SELECT row_idx, message_id, {_strip("concat_ws(chr(10), nullif(subject, ''), nullif(sender, ''), nullif(array_to_string(coalesce(recipients, []), ' '), ''), nullif(array_to_string(coalesce(cc, []), ' '), ''), nullif(body, ''))")} AS body FROM email_structure),
 cut AS (SELECT row_idx, string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10) || chr(10)) AS xs FROM texts), pieces AS (SELECT row_idx, i, {_strip("xs[i]")} AS p FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM cut)),
 paras AS (SELECT row_idx, p, len({_WORDS.format("p")}) AS n, row_number() OVER (PARTITION BY row_idx ORDER BY i) AS k FROM pieces WHERE p <> ''),
@@ -245,3 +278,51 @@ SQL |= {
     "unwrap_lines": f"SELECT row_idx, md5({_UNWRAPPED}) AS digest FROM (SELECT row_idx, {_FOLDED} AS acc FROM (SELECT row_idx, {_lines('body')} AS l FROM email_structure))",
     "clean_body": f"WITH {_CLEAN.replace('{0}', 'body').replace('{1}', 'email_structure').replace('{{', '{').replace('}}', '}')} SELECT row_idx, md5(clean_body) AS digest FROM cleaned",
 }
+
+# one question put to every thread's listing, by query
+_ASKED = {
+    "timeline_answer": "show the timeline", "people_reply": "who is involved", "decision_answer": "what was the decision", "why_answer": "why was it forwarded", "meeting_answer": "which meeting", "location_answer": "where is it connected to", "value_answer": "what is the price",
+    "date_answer": "when was the mail", "summary_answer": "give me a summary", "grounded_answer": "the pension and the tariff",
+}
+_OF_LISTED = "SELECT thread_id AS query_id, rank, 0.0::DOUBLE AS score, doc_id FROM listed WHERE rank <= 5"
+SQL |= {name: f"WITH {_LISTED}, {_answered(f"SELECT DISTINCT thread_id AS query_id, '{text}' AS text, '{text}' AS evidence FROM ingest", _OF_LISTED)}" for name, text in _ASKED.items()}
+_OUTSIDE = SQL["retrieval_cascade"].replace("SELECT query_id, 1 AS tier", "SELECT query_id, score, 1 AS tier").replace("SELECT query_id, 2 AS tier", "SELECT query_id, 0.0 AS score, 2 AS tier").replace("SELECT query_id, 3 AS tier", "SELECT query_id, score, 3 AS tier")
+_OUTSIDE = _OUTSIDE.replace("third AS (SELECT query_id, thread_id, text FROM rest WHERE", "third AS (SELECT query_id, thread_id, text FROM rest WHERE query_id IN (SELECT trace_id FROM turns WHERE search_outside_thread) AND")
+_BEFORE, _HITS = _OUTSIDE.rsplit("\nSELECT * FROM near", 1)
+SQL["answer_turns"] = f"{_BEFORE}, {_answered("SELECT trace_id AS query_id, user_text AS text, coalesce(nullif(rewrite, ''), user_text) AS evidence FROM turns", 'SELECT * FROM near' + _HITS)}"
+
+_NOTED = {
+    "people": rf"\b[A-Z][a-z]+(?:{_SP}+[A-Z][a-z]+)+\b", "dates": rf"\b(?:\d{{4}}-\d{{2}}-\d{{2}}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*{_SP}+\d{{1,2}},?{_SP}+\d{{4}})\b", "amounts": rf"(?i)(?:\$|USD{_SP}?)\d[\d,]*(?:\.\d+)?",
+    "filenames": r"(?i)\b[\w,\-]+\.(?:pdf|docx?|txt|html?)\b", "message_ids": r"<[^> \t\n\r\f\v]+>",
+}
+_CITED = "list_filter(list_transform(coalesce(citations, []), lambda c: c.message_id), lambda m: length(m) > 0)"
+_FOUND = "\nUNION ALL ".join(f"SELECT session_id, epoch, o, '{k}' AS kind, {f'list_concat(regexp_extract_all(t, {chr(39)}{p}{chr(39)}), {_CITED})' if k == 'message_ids' else f'regexp_extract_all(t, {chr(39)}{p}{chr(39)})'} AS xs FROM placed" for k, p in _NOTED.items())
+_NOTES = f"""{_EPOCHS}, placed AS (SELECT *, row_number() OVER (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id) AS o, concat_ws(' ', nullif(user_text, ''), nullif(rewrite, ''), nullif(answer, '')) AS t, nullif(CASE WHEN rewrite <> '' THEN {_strip("rewrite")} WHEN user_text <> '' THEN {_strip("user_text")} END, '') AS topic FROM epochs),
+found AS ({_FOUND}), x AS (SELECT session_id, epoch, kind, o, unnest(xs) AS item, unnest(range(len(xs))) AS j FROM found), firsts AS (SELECT session_id, epoch, kind, item, min((o, j)) AS p FROM x GROUP BY ALL),
+notes AS (SELECT t.trace_id, kind, list(item ORDER BY p) AS xs FROM placed t JOIN firsts i ON i.session_id IS NOT DISTINCT FROM t.session_id AND i.epoch = t.epoch AND i.p[1] <= t.o GROUP BY ALL),
+topics AS (SELECT trace_id, last_value(topic IGNORE NULLS) OVER (PARTITION BY session_id, epoch ORDER BY o ROWS UNBOUNDED PRECEDING) AS last_topic FROM placed),
+noted AS (SELECT trace_id, last_topic, {", ".join(f"coalesce(any_value(xs) FILTER (kind = '{k}'), []) AS {k}" for k in _NOTED)} FROM topics LEFT JOIN notes USING (trace_id) GROUP BY trace_id, last_topic)"""
+_KINDS = ", ".join(f"array_to_string({k}, '|') AS {k}" for k in _NOTED)
+_TURN = "concat_ws('|', coalesce(user_text, ''), coalesce(rewrite, ''), coalesce(answer, ''), array_to_string(list_transform(coalesce(citations, []), lambda c: concat_ws('/', c.cite_type, c.message_id, c.page_no)), ','), strftime(logged_at, '%Y-%m-%d %H:%M:%S'))"
+_LAST_TURNS = f"last_turns AS (SELECT trace_id, session_id, thread_id, epoch, logged_at, list({_TURN}) OVER (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id ROWS 4 PRECEDING) AS history FROM epochs)"
+_LAST_STATE = f"{_NOTES}, {_LAST_TURNS}, state AS (SELECT * FROM last_turns JOIN noted USING (trace_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY logged_at DESC, trace_id DESC) = 1)"
+_TWO = ", ".join(f"CASE WHEN len(n.{k}) > 0 THEN '{k}: ' || array_to_string(n.{k}[-2:], ', ') END" for k in ("filenames", "message_ids", "dates", "amounts", "people"))
+_POINTED = r"'\b(that|it|he|she|they|them|those|these|earlier|previous|same one|that one)\b'"
+_KEYS = r"list_distinct(list_transform(regexp_extract_all(coalesce({0}, ''), '\b[a-zA-Z][a-zA-Z0-9./''-]{{2,}}\b'), lambda w: lower(w)))"
+_SLIM_TEXT = "concat_ws('/', i.doc_id, score, md5(substr(coalesce(i.chunk_text, ''), 1, 280)))"
+SQL |= {
+    # letters beyond ASCII are parts of words, other characters beyond it are none
+    "entity_extract": "SELECT doc_id, " + ", ".join(f"array_to_string(regexp_extract_all(t, '{_NOTED[k]}'), '|') AS {k}" for k in ("people", "dates", "amounts")) + r", array_to_string(regexp_extract_all(coalesce(text, ''), '(?i)[\p{L}\p{N}_,\-]+\.(?:pdf|docx?|txt|html?)\b'), '|') AS filenames FROM (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F\p{L}\p{N}]', '~', 'g'), '[^\x00-\x7F]', '_', 'g') AS t FROM documents)",
+    "entity_notes_running": f"WITH {_NOTES} SELECT trace_id, last_topic, {_KINDS} FROM noted",
+    "history_last_n": f"WITH {_EPOCHS}, {_LAST_TURNS} SELECT trace_id, epoch, array_to_string(history, ' || ') AS history FROM last_turns",
+    "session_state": f"WITH {_LAST_STATE} SELECT session_id, thread_id, array_to_string(history, ' || ') AS history, {_KINDS}, last_topic FROM state",
+    "session_switch_reset": f"""WITH {_LAST_STATE}, moved AS (SELECT session_id, max(thread_id) AS other FROM turns GROUP BY session_id HAVING max(length(user_text)) > 60), s AS (SELECT state.*, other, other IS NOT NULL OR session_id IN (SELECT session_id FROM turns WHERE search_outside_thread) AS fresh FROM state LEFT JOIN moved USING (session_id))
+SELECT session_id, coalesce(other, thread_id) AS thread_id, CASE WHEN fresh THEN 0 ELSE len(history) END AS turns, CASE WHEN fresh THEN 0 ELSE len(people) END AS people, CASE WHEN NOT fresh THEN last_topic END AS last_topic FROM s""",
+    "rule_rewrite": rf"""WITH {_NOTES}, r AS (SELECT trace_id, {_strip("coalesce(user_text, '')")} AS t, lag(trace_id) OVER w AS before, coalesce(nullif(lag(rewrite) OVER w, ''), nullif(lag(answer) OVER w, ''), nullif(lag(user_text) OVER w, '')) AS reference FROM epochs WINDOW w AS (PARTITION BY session_id, epoch ORDER BY logged_at, trace_id)),
+h AS (SELECT r.*, list_filter([CASE WHEN n.last_topic <> '' THEN 'topic: ' || n.last_topic END, {_TWO}], lambda x: x IS NOT NULL) AS hints, needs FROM r JOIN ({SQL["needs_rewrite"]}) USING (trace_id) LEFT JOIN noted n ON n.trace_id = r.before)
+SELECT trace_id, needs, CASE WHEN needs AND regexp_matches(lower(t), {_POINTED}) THEN {_strip("substr(concat_ws(' ', t, reference, hints[1], hints[2]), 1, 240)")} WHEN needs THEN {_strip("substr(t, 1, 240)")} ELSE t END AS rewritten FROM h""",
+    "keyword_tokens": rf"""WITH {_TURNS} SELECT trace_id, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), ' ') AS words, coalesce(length({_strip("rewrite")}) > 0 AND NOT regexp_matches(rewrite, '(?i)\b(not_duplicate|return one short search query|duplicate)\b') AND len({_KEYS.format("rewrite")}) BETWEEN 1 AND 18 AND (len(w) = 0 OR list_has_any(w, {_KEYS.format("rewrite")})), FALSE) AS valid,
+len(regexp_extract_all(coalesce(answer, ''), '[^ \t\n\r\f\v]+')) >= 4 AND lower({_strip("coalesce(answer, '')")}) NOT IN ('true', 'false', 'yes', 'no') AS compressed FROM (SELECT *, list_transform(regexp_extract_all(coalesce(user_text, ''), '\b[a-zA-Z][a-zA-Z0-9./''-]{{2,}}\b'), lambda x: lower(x)) AS w FROM turns)""",
+    "trace_roundtrip": f"""WITH {_TURNS}, {_scored(_BY_TRACE, True)}, hits AS (SELECT query_id AS trace_id, string_agg({_SLIM_TEXT}, ' ' ORDER BY rank) AS retrieved, string_agg({_SLIM_TEXT}, ' ' ORDER BY rank) FILTER (rank <= 3) AS used_items FROM ranked JOIN ingest i USING (doc_id) WHERE rank <= 5 GROUP BY query_id)
+SELECT trace_id, logged_at, session_id, thread_id, user_text, rewrite, coalesce(retrieved, '') AS retrieved, coalesce(used_items, '') AS used_items, answer, array_to_string(list_transform(coalesce(citations, []), lambda c: concat_ws('/', c.cite_type, c.message_id, c.page_no)), ' ') AS citations, latency_ms, search_outside_thread, 0 AS token_counts FROM turns LEFT JOIN hits USING (trace_id)""",
+}
