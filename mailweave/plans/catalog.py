@@ -385,7 +385,9 @@ for _name, _text in {
 
 @query
 def rule_table_hint(spark, d):
-    rules = spark.createDataFrame([(1, "pension", "This thread is about pensions."), (2, "tariff", "This thread is about tariffs.")], "priority int, phrase string, template string")
+    """Fixed sentences about the organisations of the directory, the first one that the text names."""
+    named = load(spark, d, "contacts").filter("contact_kind = 'organisation'")
+    rules = named.select(F.col("contact_id").alias("priority"), F.lower("full_name").alias("phrase"), F.concat(F.lit("This thread is about "), "full_name", F.lit(".")).alias("template"))
     items = _listed(spark, d)
     asked = items.select("query_id").distinct().withColumns({"text": F.lit("give me a summary"), "evidence_text": F.lit(None).cast("string")})
     return _told(answers.answers(asked, items, rules))
@@ -428,6 +430,14 @@ def quoted_printable(spark, d):
     return _mail(spark, d).select("row_idx", F.md5(mailcsv.quoted_printable(escaped)).alias("digest"))
 
 
+@query
+def raw_csv(spark, d):
+    """Raw messages written as CSV with quoted cells of many lines, and read back."""
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    mailcsv.write_slice(_raw(spark, d), path)
+    return mailcsv.read_raw(spark, path).select("file", F.md5("message").alias("digest"))
+
+
 @query
 def keyword_tokens(spark, d):
     return _turns(spark, d).select("trace_id", F.array_join(sessions.keywords(F.col("user_text")), " ").alias("words"), sessions.valid_rewrite(F.col("user_text"), F.col("rewrite")).alias("valid"), answers.valid_compressed(F.col("answer")).alias("compressed"))

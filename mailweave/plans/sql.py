@@ -326,3 +326,23 @@ len(regexp_extract_all(coalesce(answer, ''), '[^ \t\n\r\f\v]+')) >= 4 AND lower(
     "trace_roundtrip": f"""WITH {_TURNS}, {_scored(_BY_TRACE, True)}, hits AS (SELECT query_id AS trace_id, string_agg({_SLIM_TEXT}, ' ' ORDER BY rank) AS retrieved, string_agg({_SLIM_TEXT}, ' ' ORDER BY rank) FILTER (rank <= 3) AS used_items FROM ranked JOIN ingest i USING (doc_id) WHERE rank <= 5 GROUP BY query_id)
 SELECT trace_id, logged_at, session_id, thread_id, user_text, rewrite, coalesce(retrieved, '') AS retrieved, coalesce(used_items, '') AS used_items, answer, array_to_string(list_transform(coalesce(citations, []), lambda c: concat_ws('/', c.cite_type, c.message_id, c.page_no)), ' ') AS citations, latency_ms, search_outside_thread, 0 AS token_counts FROM turns LEFT JOIN hits USING (trace_id)""",
 }
+
+_HINTED = SQL["summary_answer"].replace("topics AS (", "named_by AS (", 1).replace(
+    "values_of AS (",
+    """hints AS (SELECT query_id, 'This thread is about ' || arg_min(full_name, contact_id) || '.' AS hint FROM items JOIN contacts ON contact_kind = 'organisation' AND contains(lower(coalesce(chunk_text, '')), lower(full_name)) WHERE place = 1 GROUP BY query_id),
+topics AS (SELECT query_id, cite, src, coalesce(hint, topic) AS topic FROM named_by LEFT JOIN hints USING (query_id)),
+values_of AS (""",
+    1,
+)
+_AS_PARSED = f"""{_DATES.replace("SELECT row_idx, date_text AS x", f"SELECT row_idx, {_strip(_flat('date_text'))} AS x")}, {_RAW},
+parsed AS (SELECT row_idx, {_strip(_flat("message_id"))} AS message_id, subject, coalesce(iso, nullif(raw.date_text, '')) AS date_text, wall, sender, nullif(in_reply_to, '') AS in_reply_to, {_entries("recipients")} AS recipients, {_entries("cc")} AS cc, {_entries("ref_ids")} AS ref_ids, {_strip("regexp_replace(body || part, '\\r\\n?', chr(10), 'g')")} AS body FROM raw JOIN dates USING (row_idx))"""
+_REACHED = SQL["thread_components"].split(", r AS (", 1)[1].replace("email_structure JOIN dates USING (row_idx)", "parsed").replace("email_structure", "parsed").rsplit("\nSELECT a AS row_idx", 1)[0]
+_CUT_UP = SQL["chunk_rows"].split("cut AS (", 1)[1].rsplit("\nSELECT printf", 1)[0]
+_TEXTS = f"texts AS (SELECT row_idx, message_id, {_strip("concat_ws(chr(10), nullif(subject, ''), nullif(sender, ''), nullif(array_to_string(recipients, ' '), ''), nullif(array_to_string(cc, ' '), ''), coalesce(nullif(clean_body, ''), nullif(body, '')))")} AS body FROM parsed JOIN cleaned USING (row_idx))"
+SQL |= {
+    "rule_table_hint": _HINTED,
+    "raw_csv": f"WITH {_RAW} SELECT source_file AS file, md5(message) AS digest FROM raw",
+    "ingest_chunks": f"""WITH RECURSIVE {_AS_PARSED}, r AS ({_REACHED}, threads AS (SELECT a AS row_idx, min(z) AS thread_row FROM reach GROUP BY a), numbers AS (SELECT thread_row, row_number() OVER (ORDER BY thread_row) AS n FROM (SELECT DISTINCT thread_row FROM threads)),
+{_CLEAN.replace('{0}', 'body').replace('{1}', 'parsed').replace('{{', '{').replace('}}', '}')}, {_TEXTS}, cut AS ({_CUT_UP}
+SELECT printf('email_%04d_%02d', row_idx, section) AS doc_id, row_idx, section, printf('thread_%04d', numbers.n) AS thread_id, coalesce(nullif(parsed.message_id, ''), 'row_' || row_idx) AS message_id, subject, date_text, len({_WORDS.format("t")}) AS token_count, md5(t) AS digest FROM packed JOIN parsed USING (row_idx) JOIN threads USING (row_idx) JOIN numbers USING (thread_row)""",
+}

@@ -8,6 +8,7 @@ from email.utils import parsedate_to_datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mailweave.functions.text import blank_to_null, normalize_subject, strip, text_or_empty
 
@@ -21,7 +22,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 def write_slice(rows: DataFrame, path: str) -> None:
     """Rows (row_idx, file, message) as CSV in source order."""
-    rows.orderBy("row_idx").select("file", "message").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    rows.orderBy("row_idx").select("file", "message").write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
@@ -93,7 +94,7 @@ def list_field(col: Column) -> Column:
     return F.filter(F.transform(F.split(text_or_empty(col), ","), strip), lambda x: x != "")
 
 
-@F.pandas_udf("iso string, wall string")
+@F.pandas_udf(StructType().add("iso", "string").add("wall", "string"))
 def _dates(text: pd.Series) -> pd.DataFrame:
     """The date of a mail header in ISO form, and its wall time, also of texts in ISO form; there is no built-in for the header's grammar."""
 

@@ -1,4 +1,7 @@
 import random
+import time
+from datetime import datetime
+from email.utils import parsedate_to_datetime
 
 import duckdb
 import pytest
@@ -39,7 +42,8 @@ def test_packing(spark):
 
 def test_headers(spark):
     message = "A: 1\nSubject: one\n two\nnot a header\na: 2\n\nbody: x"
-    assert one(spark, mailcsv.header_map, message) == {"a": "2", "subject": "one two"}
+    assert [tuple(r) for r in one(spark, mailcsv.headers, message)] == [("a", "1"), ("subject", "one two"), ("a", "2")]
+    assert one(spark, lambda m: mailcsv.header(mailcsv.headers(m), "a"), message) == "2" and one(spark, lambda m: mailcsv.header(mailcsv.headers(m), "b"), message) is None
     assert one(spark, mailcsv.quoted_printable, "a=\nb =C3=A9 50% 1+1") == "ab é 50% 1+1"
     assert one(spark, mailcsv.iso_date, "Thu, 29 Mar 2001 21:05:09 -0600 (CST)") == "2001-03-29T21:05:09-06:00"
     assert one(spark, mailcsv.iso_date, "garbage") == "garbage"
@@ -108,7 +112,74 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["bm25_topk_partition", "retrieval_cascade", "chunk_pack", "gap_sessions", "thread_components", "slice_cap", "people_answer", "history_last_n"])
+def test_dates(spark):
+    """As the standard library reads them, and wall times of ISO texts."""
+    texts = ["Thu, 29 Mar 2001 21:05:09 -0600 (CST)", "Fri, 01 Aug 2003 13:24:08 -0000", "29 Mar 01 21:05 EST", "Fri Apr 11 09:39:26 CDT 2003", "Thu, 29 Mar 2001 21:05:09 GMT", "29 Mar 70 21:05:09", "2001-03-29T21:05:09.5+02:00", "31 Feb 2001 10:00:00", "soon", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(mailcsv.iso_date(F.col("t")).alias("iso"), mailcsv.header_time(F.col("t")).alias("at"), mailcsv.wall_time(F.col("t")).alias("wall"))
+    for t, r in zip(texts, df.collect()):
+        try:
+            want = parsedate_to_datetime(t)
+        except (TypeError, ValueError):
+            want = None
+        assert r.iso == (want.isoformat() if want else t or None) and r["at"] == (want and want.replace(tzinfo=None))
+        assert r.wall == (datetime(2001, 3, 29, 21, 5, 9, 500000) if t and "T21" in t else r["at"])
+
+
+def test_message_metadata(spark):
+    rows = [(1, "Subject: Re: A  b\nDate: 1 Mar 2001 10:00:00 -0600\n\nsee FileName=x"), (2, "Subject : no\nDate: 1 Mar 2001 10:00\n\nx"), (3, "Subject: a\n \t\nDate: 1 Mar 2001 10:00\n\nx"), (4, "\nSubject: a\n\n"), (5, "Subject: a\r\nDate: never\r\n\r\né")]
+    got = {r.row_idx: (r.subject, r["at"], r.flagged, r["size"]) for r in mailcsv.message_metadata(spark.createDataFrame(rows, "row_idx long, message string")).collect()}
+    told = {1: ("a b", datetime(2001, 3, 1, 10), True), 2: (None, datetime(2001, 3, 1, 10), False), 3: ("a", None, False), 4: (None, None, False), 5: ("a", None, False)}
+    assert got == {i: (*told[i], len(m.encode())) for i, m in rows}
+
+
+def test_long_bodies_of_headers(spark):
+    body = "\n".join(["Subject: x"] * 20_000)
+    began = time.time()
+    assert one(spark, cleaning.drop_header_runs, body) == "Subject: x\nSubject: x" and time.time() - began < 20
+
+
+def test_slice(spark, tmp_path):
+    """A window over the turn of a year, threads with attachments first, the caps, and the summary."""
+    rows = [(i, f"t{i % 12}", f"{2000 + (i % 4 > 1)}-{[11, 12, 1, 2][i % 4]:02}-05", i % 12 < 3) for i in range(1, 145)]
+    df = spark.createDataFrame(rows, "row_idx long, subject string, t string, flagged boolean").select("row_idx", "subject", F.col("t").cast("timestamp_ntz").alias("at"), "flagged", F.lit(10).alias("size"))
+    window = slicer.choose_window(df)
+    chosen = slicer.select_threads(slicer.thread_ranks(df, window))
+    assert {r.subject for r in chosen.collect()} == {f"t{i}" for i in range(10)}
+    part = slicer.slice_rows(df, window, chosen)
+    made = slicer.slice_summary(part, window)
+    r = made.first()
+    assert (r.window_start, r.window_end, r.month_span, r.threads_selected, r.messages_selected, r.attachment_messages) == ("2000-11", "2001-02", 4, 10, 120, 36)
+    assert [tuple(x) for x in r.thread_message_counts][:2] == [("t1", 12), ("t2", 12)]
+    mailcsv.write_summary(made, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).first().messages_selected == 120
+
+
+def test_gaps_over_ranges(spark):
+    """One subject over many ranges, times missing, against a plain walk."""
+    rng = random.Random(7)
+    rows = [(i, "hot" if i % 3 else f"s{i % 5}", None if rng.random() < 0.02 else rng.randrange(4000), rng.choice("abcdefghij") + str(rng.randrange(40))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "row_idx long, subject string, day int, sender string").withColumns({"recipients": F.array().cast("array<string>"), "cc": F.lit(None).cast("array<string>")})
+    df = df.withColumn("at", F.expr("cast(date_add(date'2001-01-01', day) as timestamp_ntz)"))
+    want = {}
+    for subject in {r[1] for r in rows}:
+        before, n = None, 0
+        for r in sorted((r for r in rows if r[1] == subject), key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+            if before is None or not (r[3] == before[3] or r[2] is None or before[2] is None or r[2] - before[2] <= 14):
+                n += 1
+            want[r[0]], before = n, r
+    assert {r.row_idx: r.session for r in threads.gap_sessions(df, "at").collect()} == want
+
+
+def test_ingest(spark):
+    rows = [(1, "f/1", "Message-ID: <a>\nSubject: Hi\nFrom: x@y\nTo: \"B, C\" <b@y>\nDate: 1 Mar 2001 10:00:00 -0600\n\none &lt;b&gt; two"), (2, "f/2", "Message-ID: <b>\nSubject: other\nFrom: z@y\nReply-To: <a>\nDate: 1 Mar 2001 11:00:00 -0600\n\n<br>"), (3, "f/3", "Subject: third\nX-cc: q@y\nReferences: <zz>\n\n")]
+    records, cut = chunks.ingested(spark.createDataFrame(rows, "row_idx long, file string, message string"))
+    assert {r.row_idx: (r.thread_id, r.clean_body, r.normalized_subject, r.recipients, r.cc) for r in records.collect()} == {1: ("thread_0001", "one two", "hi", ['"B', 'C" <b@y>'], []), 2: ("thread_0001", "", "other", [], []), 3: ("thread_0002", "", "third", [], ["q@y"])}
+    assert {r.doc_id: (r.thread_id, r.message_id, r.page_no, r.chunk_text) for r in cut.collect()} == {
+        "email_0001_01": ("thread_0001", "<a>", None, 'Hi\nx@y\n"B C" <b@y>\none two'), "email_0002_01": ("thread_0001", "<b>", None, "other\nz@y\n<br>"), "email_0003_01": ("thread_0002", "row_3", None, "third\nq@y"),
+    }
+
+
+@pytest.mark.parametrize("name", ["bm25_topk_global", "trace_roundtrip", "clean_body", "structured_records", "rule_rewrite", "answer_turns", "bm25_topk_partition", "retrieval_cascade", "chunk_pack", "gap_sessions", "thread_components", "slice_cap", "people_answer", "history_last_n"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("ingest", "email_structure", "trace_turns", "documents"):
