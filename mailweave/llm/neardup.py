@@ -4,8 +4,9 @@ Each record's set of word shingles is sketched as ``groups`` 64-bit words of sev
 the points of the projective plane of order two; for each of its seven lines there is one bit mask that ignores the line's
 three fields and keeps the other four. Any two differing fields lie on a line, so two words that differ in at most two fields
 agree under some mask: every pair of records that differs in fewer than ``3 * groups`` fields collides in some table. Beyond
-that radius collisions are likely, not certain. Every colliding pair whose sizes allow the similarity is verified by the
-Jaccard similarity of the whole shingle sets; in a pair of texts shingles are told apart by 32 bits, which takes two different
+that radius collisions are likely, not certain. Of colliding pairs only those are set aside that can't reach the similarity:
+by their sizes, and by bit maps of the shingles' hashes, as each bit that one text has and the other lacks is a shingle they
+don't share. All others are verified by the Jaccard similarity of the whole shingle sets; in a pair of texts shingles are told apart by 32 bits, which takes two different
 ones for equal once in a hundred thousand pairs and so can only matter for a pair that misses the threshold by one shingle.
 
 Records with equal shingle sets are sketched once. ``similar_groups`` gives every record its group; ``similar_pairs`` writes
@@ -31,12 +32,14 @@ from mailweave.sources.tables import checkpointed, sized_join
 FIELDS, BITS = 7, 9
 #: The lines of the projective plane of order two, by point.
 LINES = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5)]
+#: Longs of a text's bit map.
+MAP = 8
 #: Per line the mask that keeps the fields off the line.
 MASKS = [sum(((1 << BITS) - 1) << (BITS * f) for f in range(FIELDS) if f not in line) for line in LINES]
 
 
 def _sketches(width: int, groups: int, least: int):
-    """Task: (id, size, set_a, set_b, words) of each text with at least ``least`` distinct shingles."""
+    """Task: (id, size, set_a, set_b, words, bits) of each text with at least ``least`` distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = FIELDS * groups
@@ -63,8 +66,11 @@ def _sketches(width: int, groups: int, least: int):
                 sketch = (fields.reshape(-1, groups, FIELDS) << shifts).sum(axis=2, dtype=np.uint64).astype(np.int64)
                 set_a = np.add.reduceat(shingle, begins).astype(np.int64)
                 set_b = np.add.reduceat(mix(shingle + np.uint64(77)), begins).astype(np.int64)
+                held = np.zeros((len(begins), MAP * 64), dtype=bool)
+                held[np.repeat(np.arange(len(begins)), size), (mix(shingle + np.uint64(99)) % np.uint64(MAP * 64)).astype(np.int64)] = True
+                bits = np.packbits(held, axis=1, bitorder="little").view(np.int64)
                 keep = size >= least
-                yield pd.DataFrame({"id": ids[part][doc[begins]][keep], "size": size[keep].astype(np.int32), "set_a": set_a[keep], "set_b": set_b[keep], "words": list(sketch[keep])})
+                yield pd.DataFrame({"id": ids[part][doc[begins]][keep], "size": size[keep].astype(np.int32), "set_a": set_a[keep], "set_b": set_b[keep], "words": list(sketch[keep]), "bits": list(bits[keep])})
 
     return run
 
@@ -86,7 +92,7 @@ def _shingle_sets(width: int):
 
 def representative_pairs(texts: DataFrame, similarity: float = 0.6, width: int = 3, least: int = 20, groups: int = 9) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of representatives whose shingle sets reach ``similarity``, and (id, rep) of the records that have copies."""
-    sketched = texts.select("id", "text").mapInPandas(_sketches(width, groups, least), "id long, size int, set_a long, set_b long, words array<long>")
+    sketched = texts.select("id", "text").mapInPandas(_sketches(width, groups, least), "id long, size int, set_a long, set_b long, words array<long>, bits array<long>")
     sketched = checkpointed(sketched)
     sets = sketched.groupBy("set_a", "set_b", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = checkpointed(sketched.join(sets.filter("copies > 1").drop("copies"), ["set_a", "set_b", "size"]).select("id", "rep"))
@@ -96,8 +102,11 @@ def representative_pairs(texts: DataFrame, similarity: float = 0.6, width: int =
     keyed = F.transform(F.col("words"), lambda w, g: F.transform(masks, lambda k, t: F.xxhash64(w.bitwiseAND(k), g * len(MASKS) + t)))
     tables = single.select("id", F.explode(F.flatten(keyed)).alias("key"))
     collided = tables.withColumnRenamed("id", "a").join(tables.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b").distinct()
-    near = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    sized = collided.join(single.select(F.col("id").alias("a"), F.col("size").alias("n")), "a").join(single.select(F.col("id").alias("b"), F.col("size").alias("m")), "b")
+    mapped = lambda key, n, bits: single.select(F.col("id").alias(key), F.col("size").alias(n), F.col("bits").alias(bits))
+    sized = collided.join(mapped("a", "n", "x"), "a").join(mapped("b", "m", "y"), "b")
+    lacking = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(MAP)), F.lit(0))
+    most = F.least(F.col("n") - lacking(F.col("x"), F.col("y")), F.col("m") - lacking(F.col("y"), F.col("x")))
+    near = most >= similarity * (F.col("n") + F.col("m") - most)
     likely = checkpointed(sized.filter(near).select("a", "b"))
     # whole sets of the texts that are still in question only
     asked = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
