@@ -131,9 +131,11 @@ def linked_names(names: DataFrame, contacts: DataFrame, jaccard: float = 0.3, ac
     close = F.when(F.least(F.length("token"), F.length("target")) > 2, _one_edit(F.col("token"), F.col("target"))).otherwise(F.col("token") == F.col("target"))
     pairs = checkpointed(joined.filter(close).select(F.col("token").alias("part"), "target"))
     found = spelled.join(pairs, "part").filter(~F.col("login") | (F.col("part") == F.col("target")))
-    # of the tokens of a spelling that are like a family name the likest; grouped by spelling, which spreads the costly scoring
+    # of the tokens of a spelling that are like a family name the likest
     likest = found.groupBy("name", "address", "typed", "target").agg(F.min(F.struct(F.levenshtein("part", "target").alias("far"), "login", "token")).alias("l"))
     candidates = likest.join(entry, F.col("family") == F.col("target")).select("name", "address", "typed", "l.token", "contact_id", "full_name", "contact_kind", "email", "tokens", "family")
+    # narrow rows, but scoring them is the costly part: spread over the session's partitions
+    candidates = candidates.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name", "address")
 
     person = F.col("contact_kind") == "person"
     is_login = person & (F.size("typed") == 1) & (F.col("token") != F.col("family"))
