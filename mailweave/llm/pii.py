@@ -258,9 +258,11 @@ def _voted(mail: DataFrame, contacts: DataFrame) -> DataFrame:
     for n, vote in enumerate(VOTES):
         chosen = F.coalesce(*[F.when(F.col("kind") == k, votes[k][n]) for k in KINDS])
         spans = spans.withColumn(vote, F.coalesce(chosen, F.lit(False)))
-    pattern = F.concat_ws("", *[F.col(v).cast("int").cast("string") for v in VOTES])
-    shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("value"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\d", "9"), 1, 24)
-    told = [F.lit(""), pattern, F.concat(pattern, F.lit(" "), shape), F.regexp_extract(flat, r"(\S+) ?$", 1), F.regexp_extract(right, r"^[\s>|]*(\S+)", 1), field]
+    pattern = sum((F.col(v).cast("int") * (1 << n) for n, v in enumerate(VOTES)), F.lit(0))
+    small, capitals, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shape = F.translate("value", capitals + digits + small, "A" * len(capitals) + "9" * len(digits))  # small letters fall out
+    before, after = F.substring_index(F.rtrim(flat), " ", -1), F.substring_index(F.ltrim(F.translate(right, "\n>|", "   ")), " ", 1)
+    told = [F.lit(0), pattern, shape, before, after, field]
     features = F.array(*[F.pmod(F.xxhash64("kind", F.lit(n), f), F.lit(BUCKETS)).cast("int") for n, f in enumerate(told)])
     return spans.select("row_idx", "field", "item", "kind", "start", "stop", "run", key(F.col("value")).alias("value_key"), *VOTES, features.alias("features"))
 
