@@ -229,7 +229,9 @@ def _voted(mail: DataFrame, contacts: DataFrame) -> DataFrame:
     front = F.col("value").contains(",") | (F.length(F.element_at("w", -1)) == 1)
     first, last = _letters(F.when(front, F.element_at("w", 2)).otherwise(F.element_at("w", 1))), _letters(F.when(front, F.element_at("w", 1)).otherwise(F.element_at("w", -1)))
     empty = F.lit("")
-    whole = lambda df, a, b: df.withColumn("start", F.explode(F.expr("filter(sequence(0, length(e) - 1), i -> substring(e, i + 1, length(value)) = value)"))).select("row_idx", "kind", "start", (F.col("start") + F.length("value")).alias("stop"), F.lit(0).alias("run"), "value", empty.alias("left"), empty.alias("right"), a.alias("first"), empty.alias("m1"), empty.alias("m2"), b.alias("last"), F.lit(False).alias("turned"), "field", "item")
+    # where the value stands in the entry: once, as a rule
+    places = F.expr("case when instr(e, value) = 0 then array() when locate(value, e, instr(e, value) + 1) = 0 then array(instr(e, value) - 1) else filter(sequence(0, length(e) - 1), i -> substring(e, i + 1, length(value)) = value) end")
+    whole = lambda df, a, b: df.withColumn("start", F.explode(places)).select("row_idx", "kind", "start", (F.col("start") + F.length("value")).alias("stop"), F.lit(0).alias("run"), "value", empty.alias("left"), empty.alias("right"), a.alias("first"), empty.alias("m1"), empty.alias("m2"), b.alias("last"), F.lit(False).alias("turned"), "field", "item")
     spans = body.unionByName(whole(address, empty, empty)).unionByName(whole(named, first, last))
 
     spans = sized_join(spans, given.withColumnRenamed("token", "first"), "first", "left")
