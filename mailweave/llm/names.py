@@ -86,8 +86,9 @@ def token_join(left: DataFrame, right: DataFrame, jaccard: float) -> DataFrame:
         keep = F.col("n") - F.ceil(F.lit(jaccard) * F.col("n")).cast("int") + 1
         return own.select(key, F.explode(F.slice(F.transform("o", lambda g: g["gram"]), 1, keep)).alias("gram"))
 
-    # narrow rows, but comparing them is the work: spread over the session's partitions
-    pairs = prefixes(a, "token").join(prefixes(b, "target"), "gram").select("token", "target").distinct().repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    # narrow rows, but joining and comparing them is the work: spread over the session's partitions
+    spread = lambda df: df.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    pairs = spread(spread(prefixes(a, "token")).join(prefixes(b, "target"), "gram").select("token", "target").distinct())
     x, y = _grams(F.col("token")), _grams(F.col("target"))
     common = F.size(F.array_intersect(x, y))
     return pairs.filter(common >= jaccard * (F.size(x) + F.size(y) - common))
