@@ -1,9 +1,9 @@
 """Long exact spans shared between records: super-k-mer partitioning.
 
 Each text is cut into maximal runs of consecutive windows of ``width`` characters that have the same minimiser (the least
-hash of their m-grams). Runs whose minimiser occurs in one text only are dropped before any text is moved; the others travel
-as one packed string each. Their windows are told apart by 128 bits and counted exactly; windows found in the same set of
-texts are represented by one of them, whose texts are paired.
+hash of their m-grams). Runs whose minimiser occurs in one text only are dropped before any text is read again; the others are
+cut out as one packed string each, whose windows are hashed to 128 bits beside the text and counted exactly. Windows found in
+the same set of texts are represented by one of them, whose texts are paired.
 
 Defined results: texts that are null or shorter than ``width`` share nothing; equal texts are worked on once and expanded at
 the end; an empty table gives no rows; other columns are ignored; document ids are taken as unique.
