@@ -98,7 +98,7 @@ def _probe(index, run_words: int, miss: float, bits: int = 22):
                 found = pd.DataFrame({"w": w, "item_id": hit}).drop_duplicates()
                 w = found["w"].to_numpy()
                 spans = [words.data[words.start[a] : words.end[min(z, len(words.end)) - 1]].decode("utf-8", "replace") for a, z in zip(start[w], end[w])]
-                yield pd.DataFrame({"doc_id": ids[part][doc[w]], "item_id": found["item_id"].to_numpy(), "passage": spans})
+                yield pd.DataFrame({"doc_id": ids[part][doc[w]], "item_id": found["item_id"].to_numpy(), "passage": pd.Series(spans, dtype=object)})
 
     return run
 

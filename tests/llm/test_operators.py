@@ -178,6 +178,9 @@ def test_leaks(spark):
     for most in (2_000_000, 200):  # whole, and in parts
         assert {tuple(r) for r in leakage.leaked_items(df, test, max_index_rows=most).collect()} == want
     assert leakage.leaked_items(df.limit(0), test).collect() == []
+    clean = spark.createDataFrame([(1, "no word of any item stands in this text"), (2, None)], "doc_id long, text string")
+    assert leakage.leaked_items(clean, test).collect() == []
+    assert leakage.leaked_items(clean.filter("text is null"), test).collect() == []
 
 
 def test_mixture(spark):
