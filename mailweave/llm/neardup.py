@@ -70,6 +70,8 @@ def _sketches(width: int, groups: int, least: int):
                 held[np.repeat(np.arange(len(begins)), size), (mix(shingle + np.uint64(99)) % np.uint64(MAP * 64)).astype(np.int64)] = True
                 bits = np.packbits(held, axis=1, bitorder="little").view(np.int64)
                 keep = size >= least
+                if not keep.any():
+                    continue
                 yield pd.DataFrame({"id": ids[part][doc[begins]][keep], "size": size[keep].astype(np.int32), "set_a": set_a[keep], "set_b": set_b[keep], "words": list(sketch[keep]), "bits": list(bits[keep])})
 
     return run

@@ -84,6 +84,12 @@ def test_near_duplicates(spark):
     assert neardup.similar_pairs(spark.createDataFrame([], "id long, text string")).collect() == []
 
 
+def test_texts_too_short_to_be_alike(spark):
+    rows = [{"subject": "Prices", "body": "a few more words than three stand here"}] * 3 + [{"body": None}, {"body": ""}]
+    assert neardup.similar_mail(mail(spark, rows)).collect() == []
+    assert neardup.grouped_mail(mail(spark, rows)).collect() == []
+
+
 def test_masks_cover():
     for a, b in itertools.combinations(range(7), 2):
         assert any(all(not (mask >> (9 * f)) & 511 for f in (a, b)) for mask in neardup.MASKS)
