@@ -4,38 +4,37 @@ Statistics of terms are those of the whole corpus, also where a question is scop
 counts as often. Scores are rounded to four digits; equal ones keep the order of the index. Of chunks with one message and one
 leading text only the first that shares a word with the question is ranked.
 
-All joins and rankings move narrow rows of numbers and ids; texts are joined to the few chunks that are left.
+Scores are summed inside tasks, see ``scoring``: what moves is each chunk once, as numbers of the words that are asked, and the
+few best chunks of each question and task. Texts are joined to the chunks that are left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailweave.functions.text import blank_to_null, strip, text_or_empty, tokens
-from mailweave.sources.tables import checkpointed
+from mailweave.operators import scoring
+from mailweave.operators.scoring import B as B
+from mailweave.operators.scoring import K1 as K1
+from mailweave.sources.tables import checkpointed, sized_join
 
-K1, B = 1.5, 0.75
 SIGNATURE, PREVIEW, TOP_K = 180, 280, 5
-#: What rounding to four digits may hide.
-_ROUNDING = 1e-4
 
 
 @dataclass(frozen=True)
 class Index:
     """The chunks and the index over them.
 
-    ``docs`` (doc_id, thread_id, row_idx, grp, dl, first): grp is that of message and leading text, first whether the chunk is
-    the first of its group. ``postings`` (term, doc_id, thread_id, row_idx, grp, first, part): part is the chunk's share of the
-    score per unit of the term's weight. ``terms`` (term, df, idf, top, fifth): the greatest part, and the TOP_K-th greatest
-    among first chunks. ``corpus``: one row (docs, avg_length).
+    ``docs`` (doc_id, thread_id, row_idx, grp, dl, words): grp is that of message and leading text, words are those of the chunk
+    as often as they stand there. ``terms`` (term, df, idf). ``corpus``: one row (docs, avg_length).
     """
 
     chunks: DataFrame
     docs: DataFrame
-    postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
@@ -45,41 +44,29 @@ def signature(text: str = "chunk_text") -> Column:
 
 
 def _docs(chunks: DataFrame, text: str) -> DataFrame:
-    narrow = chunks.select("doc_id", "thread_id", "row_idx", F.xxhash64("message_id", signature(text)).alias("grp"), F.size(tokens(F.col(text))).alias("dl"))
-    first = narrow.groupBy("grp").agg(F.min(F.struct("row_idx", "doc_id")).alias("f"))
-    return narrow.join(first.select("grp", F.col("f.doc_id").alias("first_id")), "grp").select("doc_id", "thread_id", "row_idx", "grp", "dl", (F.col("doc_id") == F.col("first_id")).alias("first"))
+    cut = chunks.select("doc_id", "thread_id", F.col("row_idx").cast("long").alias("row_idx"), F.xxhash64("message_id", signature(text)).alias("grp"), tokens(F.col(text)).alias("words"))
+    return cut.select("doc_id", "thread_id", "row_idx", "grp", F.size("words").alias("dl"), "words")
 
 
 def _corpus(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_length"))
 
 
-def _postings(chunks: DataFrame, docs: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
-    words = chunks.select("doc_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_length")))
-    joined = words.join(docs, "doc_id").join(F.broadcast(corpus))  # one row of corpus statistics
-    return joined.select("term", "doc_id", "thread_id", "row_idx", "grp", "first", part.alias("part"))
-
-
-def _terms(postings: DataFrame, corpus: DataFrame) -> DataFrame:
-    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("top"))
-    # no more than TOP_K rows of a term leave a task
-    ranked = postings.filter("first").select("term", "part", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("part"))).alias("n")).filter(F.col("n") <= TOP_K)
-    fifth = ranked.filter(F.col("n") == TOP_K).select("term", F.col("part").alias("fifth"))
+def _terms(docs: DataFrame, corpus: DataFrame) -> DataFrame:
+    counted = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return counted.join(fifth, "term", "left").join(F.broadcast(corpus)).select("term", "df", idf.alias("idf"), "top", F.coalesce("fifth", F.lit(0.0)).alias("fifth"))
+    return counted.join(F.broadcast(corpus)).select("term", "df", idf.alias("idf"))  # one row of corpus statistics
 
 
 def build_index(chunks: DataFrame, text: str = "chunk_text") -> Index:
     """The index as plans over the chunks, for a corpus that is searched once; ``store_index`` keeps it."""
     docs = _docs(chunks, text)
     corpus = _corpus(docs)
-    postings = _postings(chunks, docs, corpus, text)
-    return Index(chunks, docs, postings, _terms(postings, corpus), corpus)
+    return Index(chunks, docs, _terms(docs, corpus), corpus)
 
 
 def store_index(chunks: DataFrame, path: str, text: str = "chunk_text") -> Index:
-    """The index written under ``path``, each part from the one before it, and read back; files of postings are sorted by term, so that scans skip what no question asks."""
+    """The index written under ``path``, each part from the one before it, and read back."""
     spark = chunks.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -88,76 +75,52 @@ def store_index(chunks: DataFrame, path: str, text: str = "chunk_text") -> Index
 
     docs = kept(_docs(chunks, text), "docs")
     corpus = kept(_corpus(docs), "corpus")
-    postings = kept(_postings(chunks, docs, corpus, text).sortWithinPartitions("term"), "postings")
-    return Index(chunks, docs, postings, kept(_terms(postings, corpus), "terms"), corpus)
+    return Index(chunks, docs, kept(_terms(docs, corpus), "terms"), corpus)
 
 
 def open_index(spark: SparkSession, chunks: DataFrame, path: str) -> Index:
     """An index stored before over the same chunks."""
-    return Index(chunks, *[spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "corpus")])
-
-
-def _weighted(index: Index, questions: DataFrame) -> DataFrame:
-    """(query_id, thread_id, term, weight, top, fifth): the terms of each question; top and fifth are of the weighted parts."""
-    asked = questions.select("query_id", "thread_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "thread_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weight = F.col("times") * F.col("idf")
-    return asked.join(index.terms, "term").select("query_id", "thread_id", "term", weight.alias("weight"), (weight * F.col("top")).alias("top"), (weight * F.col("fifth")).alias("fifth"))
-
-
-def _sums(hits: DataFrame) -> DataFrame:
-    total = F.round(F.sum(F.col("weight") * F.col("part")), 4)
-    return hits.groupBy("query_id", "doc_id", "row_idx", "grp").agg(total.alias("score")).filter("score > 0")
+    return Index(chunks, *[spark.read.parquet(f"{path}/{name}") for name in ("docs", "terms", "corpus")])
+
+
+def _scored(index: Index, questions: DataFrame, scoped: bool, score: Callable, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(q, ...) as ``score`` gives them over blocks of chunks, and the questions (q, query_id): those of one scope that ask the same words share a number."""
+    spark = questions.sparkSession
+    scope = F.col("thread_id").cast("string") if scoped else F.lit("")
+    asked = questions.select("query_id", scope.alias("scope"), F.array_join(F.array_sort(tokens(F.col("text"))), " ").alias("key")).filter("scope is not null and key <> ''")
+    asked = checkpointed(asked)
+    numbered = checkpointed(asked.select("scope", "key").distinct().withColumn("q", F.monotonically_increasing_id()))
+    terms = index.terms.join(numbered.select(F.explode(F.split("key", " ")).alias("term")).distinct(), "term").select("term", "idf")
+    # the distinct questions go to every task
+    known = spark.sparkContext.broadcast(scoring.Asked(numbered.select("q", "scope", "key").toArrow(), terms.toArrow(), index.corpus.first()["avg_length"]))
+    docs = index.docs.select("doc_id", (F.col("thread_id").cast("string") if scoped else scope).alias("scope"), "row_idx", "grp", "dl", "words")
+    if scoped:
+        docs = sized_join(docs, numbered.select("scope").distinct(), "scope", "left_semi").select(docs.columns)
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    packed = docs.mapInArrow(scoring.packed(known), ", ".join(f"{c} {kind[c]}" for c in docs.columns[:-1]) + ", ids binary, times binary")
+    # groups lie whole in a task
+    blocks = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "scope", "grp").sortWithinPartitions("scope", "grp", "row_idx", "doc_id")
+    kind |= {"q": "long", "score": "double"}
+    return blocks.mapInArrow(score(known), ", ".join(f"{c} {kind[c]}" for c in columns)), asked.join(numbered, ["scope", "key"]).select("q", "query_id")
 
 
 def scores(index: Index, questions: DataFrame, scoped: bool) -> DataFrame:
     """(query_id, doc_id, row_idx, grp, score) of all chunks that share a word with the question (query_id, thread_id, text)."""
-    weighted = _weighted(index, questions)
-    if scoped:
-        return _sums(index.postings.join(weighted, ["thread_id", "term"]))
-    return _sums(index.postings.drop("thread_id").join(weighted, "term"))
-
-
-def _leading(index: Index, questions: DataFrame, top_k: int) -> DataFrame:
-    """The scores, as ``scores`` has them unscoped, of all chunks in the groups that can be among a question's ``top_k``.
-
-    A question's ``top_k``-th score is at least the fifth greatest part of its heaviest term (of first chunks, which stand for
-    their group in any search). Terms whose greatest parts together stay below that can't bring a chunk there alone: chunks are
-    looked up by the others, and kept only if their sum and the rest could still reach the bound.
-    """
-    weighted = checkpointed(_weighted(index, questions).drop("thread_id"))
-    of_question = Window.partitionBy("query_id")  # a question's own terms
-    bound = F.max("fifth").over(of_question) if top_k <= TOP_K else F.lit(0.0)
-    up_to = F.sum("top").over(of_question.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0))
-    split = weighted.withColumns({"bound": bound - 2 * _ROUNDING, "up_to": up_to}).withColumn("light", F.col("up_to") < F.col("bound"))
-    split = split.withColumn("rest", F.coalesce(F.sum(F.when(F.col("light"), F.col("top"))).over(of_question), F.lit(0.0)))
-    heavy = split.filter("not light").select("query_id", "term", "weight", "bound", "rest")
-    hits = index.postings.select("term", "doc_id", "grp", "first", "part").join(heavy, "term")
-    sums = hits.groupBy("query_id", "doc_id", "grp", "first", "bound", "rest").agg(F.sum(F.col("weight") * F.col("part")).alias("sum")).filter(F.col("sum") + F.col("rest") >= F.col("bound"))
-    sums = checkpointed(sums)
-    # the sums of first chunks so far give a second, higher bound
-    ranked = sums.filter("first").select("query_id", "sum", F.row_number().over(of_question.orderBy(F.desc("sum"))).alias("n")).filter(F.col("n") <= top_k)
-    higher = ranked.filter(F.col("n") == top_k).select("query_id", (F.col("sum") - 2 * _ROUNDING).alias("higher"))
-    able = sums.join(higher, "query_id", "left").filter(F.col("higher").isNull() | (F.col("sum") + F.col("rest") >= F.col("higher"))).select("query_id", "grp").distinct()
-    # earlier chunks of the same message and leading text take their place, whatever they score
-    members = able.join(index.docs.select("grp", "doc_id", "row_idx"), "grp")
-    pairs = members.join(weighted.select("query_id", "term", "weight"), "query_id")
-    return _sums(pairs.join(index.postings.select("term", "doc_id", "part"), ["term", "doc_id"]))
+    found, owners = _scored(index, questions, scoped, scoring.every, ["q", "doc_id", "row_idx", "grp", "score"])
+    return sized_join(found, owners, "q").select("query_id", "doc_id", "row_idx", "grp", "score")
 
 
 def ranked(index: Index, questions: DataFrame, scoped: bool = True, top_k: int = TOP_K) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``top_k`` chunks of each question."""
-    # numbers for the questions' ids, which may be long texts
-    asked = checkpointed(questions.select(F.col("query_id").alias("_id"), F.monotonically_increasing_id().alias("query_id"), "thread_id", "text"))
-    found = scores(index, asked, True) if scoped else _leading(index, asked, top_k)
-    one = found.groupBy("query_id", "grp").agg(F.min(F.struct("row_idx", "doc_id", "score")).alias("c")).select("query_id", "c.*")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_idx", "doc_id"))
-    best = one.withColumn("rank", place).filter(F.col("rank") <= top_k)
-    return best.join(asked.select("query_id", "_id"), "query_id").select(F.col("_id").alias("query_id"), "doc_id", "score", "rank")
+    found, owners = _scored(index, questions, scoped, lambda known: scoring.best(known, top_k), ["q", "doc_id", "row_idx", "score"])
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row_idx", "doc_id"))
+    best = found.withColumn("rank", place).filter(F.col("rank") <= top_k)
+    return best.join(owners, "q").select("query_id", "doc_id", "score", "rank")
 
 
 def with_chunks(index: Index, hits: DataFrame) -> DataFrame:
-    """Ranked hits with the columns of their chunks and the preview."""
-    return hits.join(index.chunks, "doc_id").withColumn("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW))
+    """Ranked hits with the columns of their chunks and the preview; the hits go to the chunks where they are few, so that texts stay where they are."""
+    return sized_join(index.chunks, hits, "doc_id").withColumn("text_preview", F.substring(text_or_empty(F.col("chunk_text")), 1, PREVIEW))
 
 
 def search(index: Index, questions: DataFrame, scoped: bool = True, top_k: int = TOP_K) -> DataFrame:
