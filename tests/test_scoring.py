@@ -74,3 +74,12 @@ def test_blocks_prune_exactly(monkeypatch, block):
     assert got == {q: want for q, t in enumerate(texts) if (want := plain_search(rows, t))}
     pairs = [x for b in scoring.every(known)(done.to_batches(max_chunksize=4)) for x in b.to_pylist()]
     assert len(pairs) == sum(bool(set(t.split()) & set(s)) for t in texts for s in split)
+
+
+def test_cascade_moves_no_pairs(spark, tmp_path):
+    """In one thread, and over all for questions of other threads."""
+    index = retrieval.store_index(chunks(spark, MANY), str(tmp_path / "i"))
+    for thread, tier in (("t", 1), ("elsewhere", 3)):
+        got, rows = moved(spark, lambda: retrieval.cascade(index, asked(spark, ASKED, thread)).collect())
+        assert {r.tier for r in got} == {tier} and found(got) == {q: plain_search(MANY, t) for q, t in enumerate(ASKED)}
+        assert rows < PAIRS / 4
