@@ -83,3 +83,10 @@ def test_cascade_moves_no_pairs(spark, tmp_path):
         got, rows = moved(spark, lambda: retrieval.cascade(index, asked(spark, ASKED, thread)).collect())
         assert {r.tier for r in got} == {tier} and found(got) == {q: plain_search(MANY, t) for q, t in enumerate(ASKED)}
         assert rows < PAIRS / 4
+
+
+def test_thread_search_moves_no_pairs(spark, tmp_path):
+    index = retrieval.store_index(chunks(spark, MANY), str(tmp_path / "i"))
+    got, rows = moved(spark, lambda: retrieval.ranked(index, asked(spark, ASKED, "t")).collect())
+    assert found(got) == {q: plain_search(MANY, t) for q, t in enumerate(ASKED)}
+    assert rows < PAIRS / 4
