@@ -9,6 +9,8 @@ from types import SimpleNamespace
 import pyarrow as pa
 import pytest
 
+import __spark_entry__ as entry
+
 from mailweave.operators import retrieval, scoring
 from test_conversation import chunks, plain_search
 
@@ -90,3 +92,20 @@ def test_thread_search_moves_no_pairs(spark, tmp_path):
     got, rows = moved(spark, lambda: retrieval.ranked(index, asked(spark, ASKED, "t")).collect())
     assert found(got) == {q: plain_search(MANY, t) for q, t in enumerate(ASKED)}
     assert rows < PAIRS / 4
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A thread of all the chunks, asked once by each of many turns."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    chunks(spark, MANY).write.parquet(f"{folder}/ingest.parquet")
+    turns = [(f"{i}", "s", "t", text, "", "", None, 1.0, False) for i, text in enumerate(ASKED)]
+    schema = "trace_id string, session_id string, thread_id string, user_text string, rewrite string, answer string, citations array<struct<cite_type:string,message_id:string,page_no:int>>, latency_ms double, search_outside_thread boolean"
+    spark.createDataFrame(turns, schema).selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as logged_at").write.parquet(f"{folder}/trace_turns.parquet")
+    return folder
+
+
+def test_trace_moves_no_pairs(spark, tables):
+    got, rows = moved(spark, lambda: entry.queries()["trace_roundtrip"](spark, tables).collect())
+    assert {int(r.trace_id): [x.rsplit("/", 1)[0] for x in r.retrieved.split()] for r in got} == {q: [f"{d}/{s}" for d, s in plain_search(MANY, t)] for q, t in enumerate(ASKED)}
+    assert rows < PAIRS / 4
