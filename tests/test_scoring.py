@@ -109,3 +109,9 @@ def test_trace_moves_no_pairs(spark, tables):
     got, rows = moved(spark, lambda: entry.queries()["trace_roundtrip"](spark, tables).collect())
     assert {int(r.trace_id): [x.rsplit("/", 1)[0] for x in r.retrieved.split()] for r in got} == {q: [f"{d}/{s}" for d, s in plain_search(MANY, t)] for q, t in enumerate(ASKED)}
     assert rows < PAIRS / 4
+
+
+def test_answers_move_no_pairs(spark, tables):
+    got, rows = moved(spark, lambda: entry.queries()["answer_turns"](spark, tables).collect())
+    assert sorted(int(r.query_id) for r in got) == list(range(len(ASKED)))
+    assert rows < PAIRS / 4
