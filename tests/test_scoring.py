@@ -115,3 +115,10 @@ def test_answers_move_no_pairs(spark, tables):
     got, rows = moved(spark, lambda: entry.queries()["answer_turns"](spark, tables).collect())
     assert sorted(int(r.query_id) for r in got) == list(range(len(ASKED)))
     assert rows < PAIRS / 4
+
+
+def test_items_move_no_pairs(spark, tables):
+    got, rows = moved(spark, lambda: entry.queries()["retrieved_items"](spark, tables).collect())
+    assert found(got) == {q: plain_search(MANY, t) for q, t in enumerate(ASKED)}
+    assert {r.text_preview for r in got} <= {r["chunk_text"] for r in MANY}
+    assert rows < PAIRS / 4
