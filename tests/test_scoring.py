@@ -122,3 +122,24 @@ def test_items_move_no_pairs(spark, tables):
     assert found(got) == {q: plain_search(MANY, t) for q, t in enumerate(ASKED)}
     assert {r.text_preview for r in got} <= {r["chunk_text"] for r in MANY}
     assert rows < PAIRS / 4
+
+
+def steps(plan):
+    """The nodes of a plan that ran."""
+    yield plan
+    kind = plan.getClass().getSimpleName()
+    below = plan.children()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [below.apply(i) for i in range(below.size())]
+    for p in inner:
+        yield from steps(p)
+
+
+def test_scores_are_summed_in_place(spark, tables):
+    """Every chunk shares words with every question: all scores come out, and no step has more rows than that, as one for each shared word."""
+    df = entry.queries()["bm25_repeated_terms"](spark, tables)
+    got = df.collect()
+    assert len({(r.query_id, r.doc_id) for r in got}) == len(got) == PAIRS
+    best = {q: max(r.score for r in got if r.query_id == str(q)) for q in range(0, len(ASKED), 9)}
+    assert best == {q: plain_search(MANY, ASKED[q])[0][1] for q in best}
+    rows = [m.get().value() for p in steps(df._jdf.queryExecution().executedPlan()) if (m := p.metrics().get("numOutputRows")).isDefined()]
+    assert rows and max(rows) <= PAIRS
