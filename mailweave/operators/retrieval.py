@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ from mailweave.operators.scoring import B as B
 from mailweave.operators.scoring import K1 as K1
 from mailweave.sources.tables import checkpointed, sized_join
 
+# tasks need not be able to import this package
+cloudpickle.register_pickle_by_value(scoring)
+
 SIGNATURE, PREVIEW, TOP_K = 180, 280, 5
 
 
@@ -92,7 +96,7 @@ def _scored(index: Index, questions: DataFrame, scoped: bool, score: Callable, c
     numbered = checkpointed(asked.select("scope", "key").distinct().withColumn("q", F.monotonically_increasing_id()))
     terms = index.terms.join(numbered.select(F.explode(F.split("key", " ")).alias("term")).distinct(), "term").select("term", "idf")
     # the distinct questions go to every task
-    known = spark.sparkContext.broadcast(scoring.Asked(numbered.select("q", "scope", "key").toArrow(), terms.toArrow(), index.corpus.first()["avg_length"]))
+    known = spark.sparkContext.broadcast(scoring.Asked(numbered.select("q", "scope", "key").toArrow(), terms.toArrow(), index.corpus.first()["avg_length"]).__dict__)
     docs = index.docs.select("doc_id", (F.col("thread_id").cast("string") if scoped else scope).alias("scope"), "row_idx", "grp", "dl", "words")
     if scoped:
         docs = sized_join(docs, numbered.select("scope").distinct(), "scope", "left_semi").select(docs.columns)

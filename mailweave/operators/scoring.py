@@ -45,6 +45,15 @@ class Asked:
         self.weights = times * terms["idf"].to_numpy()[self.terms]
         self.at = np.searchsorted(of, np.arange(len(scopes) + 1))
 
+    @classmethod
+    def sent(cls, value: "Asked | dict") -> "Asked":
+        """The questions in a task, where they come as a plain dict of their fields."""
+        if isinstance(value, cls):
+            return value
+        made = cls.__new__(cls)
+        made.__dict__.update(value)
+        return made
+
     def of_question(self, i: int) -> tuple[list[int], list[float]]:
         a, b = self.at[i], self.at[i + 1]
         return self.terms[a:b].tolist(), self.weights[a:b].tolist()
@@ -54,7 +63,7 @@ def packed(asked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """Replaces the column words of chunks by ids and times of asked words; chunks without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = asked.value.vocabulary
+        vocabulary = Asked.sent(asked.value).vocabulary
         for batch in batches:
             of, ids, times = counted(batch.column("words"), vocabulary)
             offsets = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32) * 4
@@ -144,7 +153,7 @@ def every(asked) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     """(q, doc_id, row_idx, grp, score) of all chunks that share a word with a question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = asked.value
+        known = Asked.sent(asked.value)
         names, qs, docs, scores, held = ("doc_id", "row_idx", "grp"), [], [], [], 0
         for table in _blocks(batches):
             table = table.combine_chunks()
@@ -182,7 +191,7 @@ def best(asked, top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = asked.value
+        known = Asked.sent(asked.value)
         kept: dict[int, list[tuple]] = {}
         kind = None
         for table in _blocks(batches):
