@@ -120,7 +120,8 @@ def distinct_items(items: DataFrame, keep: int = 5) -> DataFrame:
     """Items without repeated subject and preview, renumbered as ``place`` from 1."""
     sign = [F.lower(strip(text_or_empty(F.col("subject")))), F.lower(strip(text_or_empty(F.col("text_preview"))))]
     w = Window.partitionBy("query_id", "_a", "_b").orderBy("rank")
-    one = items.withColumns({"_a": sign[0], "_b": sign[1]}).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_a", "_b")
+    # texts move once: rows of one question lie together for both windows
+    one = items.repartition("query_id").withColumns({"_a": sign[0], "_b": sign[1]}).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_a", "_b")
     return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("place") <= keep)
 
 

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-from mailweave.operators import retrieval, scoring
+from mailweave.operators import answers, retrieval, scoring
 from test_conversation import chunks, plain_search
 
 MANY = [{"chunk_text": f"the price of gas and power at hub {i % 37} rose by {i}", "message_id": f"<{i // 3 if i % 5 == 0 else i}>"} for i in range(400)]
@@ -143,3 +143,12 @@ def test_scores_are_summed_in_place(spark, tables):
     assert best == {q: plain_search(MANY, ASKED[q])[0][1] for q in best}
     rows = [m.get().value() for p in steps(df._jdf.queryExecution().executedPlan()) if (m := p.metrics().get("numOutputRows")).isDefined()]
     assert rows and max(rows) <= PAIRS
+
+
+def test_items_of_answers_move_once(spark):
+    """Their texts are shuffled to their question once, not again for each window."""
+    rows = [(str(q), k, "s", f"text {k % 4}") for q in range(40) for k in range(1, 6)]
+    items = spark.createDataFrame(rows, "query_id string, rank int, subject string, text_preview string")
+    got, moves = moved(spark, lambda: answers.distinct_items(items).collect())
+    assert sorted((int(r.query_id), r.place, r["rank"]) for r in got) == [(q, k, k) for q in range(40) for k in range(1, 5)]
+    assert moves <= len(rows)
